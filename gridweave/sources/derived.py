@@ -160,3 +160,75 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(no_image, F.lit(None)).otherwise(F.lit(PAGE_IMG_HEIGHT)).cast("int").alias("img_height"),
         (F.col("page_id") % 10 != 0).alias("is_valid"),
     )
+
+
+# --- scorers backed by the derived tables --------------------------------------
+# A classifier maps images to ``scores``; a detector maps images to detection
+# rows. These join the derived tables on a source image id, so they stand in
+# for model scorers wherever a plan takes one.
+
+def crop_source_image() -> F.Column:
+    """Source image of a table crop ``(page_id, cluster_id)``: its event id div 8."""
+    return F.floor((F.col("page_id") * 10 + F.col("cluster_id")) / 8).cast("bigint")
+
+
+def table_classifier(spark: SparkSession, sf_dir: str, keys=("image_id",), src: F.Column | None = None):
+    scores = class_scores(spark, sf_dir).withColumnRenamed("image_id", "_src")
+
+    def classify(imgs: DataFrame) -> DataFrame:
+        s = src if src is not None else F.col(keys[0])
+        return imgs.select(*keys, s.alias("_src")).join(scores, "_src").drop("_src")
+
+    return classify
+
+
+def cell_detector(spark: SparkSession, sf_dir: str, variant: int = 0, keys=("image_id",), src: F.Column | None = None):
+    """Detector ``variant`` 0 (wired) reports the derived scores, 1 (wireless) ``1 - score``."""
+    dets = detections(spark, sf_dir).withColumnRenamed("image_id", "_src")
+    if variant == 1:
+        dets = dets.withColumn("score", F.lit(1.0) - F.col("score"))
+
+    def detect(imgs: DataFrame) -> DataFrame:
+        s = src if src is not None else F.col(keys[0])
+        return imgs.select(*keys, s.alias("_src")).join(dets, "_src").drop("_src")
+
+    return detect
+
+
+def layout_detector(spark: SparkSession, sf_dir: str):
+    dets = layout_detections(spark, sf_dir)
+
+    def detect(pgs: DataFrame) -> DataFrame:
+        return dets.join(pgs.select("page_id"), "page_id", "left_semi")
+
+    return detect
+
+
+def cluster_text_cells(spark: SparkSession, sf_dir: str, clusters: DataFrame, scale: float = 2.0) -> DataFrame:
+    """Text cells of each table cluster in page units: the crop's C2 texts / scale + cluster origin."""
+    tx = text_cells(spark, sf_dir).withColumnRenamed("image_id", "_src")
+    c = clusters.select("page_id", "cluster_id", crop_source_image().alias("_src"),
+                        F.col("l").alias("_cl"), F.col("t").alias("_ct"))
+    j = c.join(tx, "_src")
+    s = F.lit(float(scale))
+    return j.select(
+        "page_id", "cluster_id", "text_idx", "text",
+        (F.col("l") / s + F.col("_cl")).alias("l"), (F.col("t") / s + F.col("_ct")).alias("t"),
+        (F.col("r") / s + F.col("_cl")).alias("r"), (F.col("b") / s + F.col("_ct")).alias("b"),
+    )
+
+
+def page_text_words(spark: SparkSession, sf_dir: str, clusters: DataFrame, scale: float = 2.0) -> DataFrame:
+    """Page-wide words for the fallback lookup: shifted C2 words of every table cluster, in page units."""
+    w = page_words(spark, sf_dir).withColumnRenamed("image_id", "_src")
+    c = clusters.select("page_id", "cluster_id", crop_source_image().alias("_src"),
+                        F.col("l").alias("_cl"), F.col("t").alias("_ct"))
+    j = c.join(w, "_src")
+    s = F.lit(float(scale))
+    return j.select(
+        "page_id",
+        (F.col("cluster_id") * 1000 + F.col("word_idx")).cast("int").alias("word_idx"),
+        "text",
+        (F.col("l") / s + F.col("_cl")).alias("l"), (F.col("t") / s + F.col("_ct")).alias("t"),
+        (F.col("r") / s + F.col("_cl")).alias("r"), (F.col("b") / s + F.col("_ct")).alias("b"),
+    )
