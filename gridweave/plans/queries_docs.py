@@ -16,6 +16,7 @@ from gridweave.plans import documents as DOC
 from gridweave.plans import oracle as O
 from gridweave.plans.queries import kept_detections, register
 from gridweave.plans.tables import recognize_tables
+from gridweave.session import materialize
 from gridweave.sources import derived as D
 from gridweave.sources import files as FS
 
@@ -195,8 +196,9 @@ def _doc_scorers(spark, sf_dir):
 
 
 def _document(spark, sf_dir, threshold=0.5):
+    """The table stage reads the layout stage's output, materialized once (a stage boundary)."""
     pages = D.pages(spark, sf_dir)
-    clusters = _clusters(spark, sf_dir)
+    clusters = materialize(_clusters(spark, sf_dir))
     tcl = DOC.table_clusters(pages, clusters)
     cl, dets = _doc_scorers(spark, sf_dir)
     texts = D.cluster_text_cells(spark, sf_dir, tcl)

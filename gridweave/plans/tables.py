@@ -9,6 +9,11 @@ Routing is a filter per detector and a ``unionByName`` of their outputs, so
 each detector only sees its own images and an unused detector costs nothing.
 Results are recombined with images by key (never by position) through a
 left join, so an image without detections still yields a 1 x 1 table.
+
+Scorer outputs are stage boundaries: the classification feeds every
+detector branch and the detections feed both the anchor aggregate and the
+cell join, so both are materialized once (see :func:`gridweave.session.materialize`)
+instead of being re-scored by each consumer.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from gridweave.operators import classify as C
 from gridweave.operators import structure as S
 from gridweave.operators.filters import DEFAULT_THRESHOLD, confidence_filter
+from gridweave.session import materialize
 
 Classifier = Callable[[DataFrame], DataFrame]
 Detector = Callable[[DataFrame], DataFrame]
@@ -84,11 +90,16 @@ def recognize_tables(
     tolerance: float = S.DEFAULT_TOLERANCE,
     assign=identity_model_idx,
     key: str = "image_id",
+    stage_outputs: bool = True,
 ) -> Recognized:
     """The table-recognition composition as DataFrame transformations."""
     keys = _keys(key)
     classes = classify_images(images, classifier, assign, keys)
+    if stage_outputs:
+        classes = materialize(classes)
     dets = route(images, classes, detectors, keys)
+    if stage_outputs:
+        dets = materialize(dets)
     kept = confidence_filter(dets, threshold)
     anchors = S.grid_anchors(kept, keys, tolerance)
     base = keys + ["det_idx", "model_idx", "score", "l", "t", "r", "b"]
@@ -122,10 +133,10 @@ def debug_tables(
     """
     keys = _keys(key)
     if detector_idx is None:
-        classes = classify_images(images, classifier, key=keys)
+        classes = materialize(classify_images(images, classifier, key=keys))
     else:
         classes = images.select(*keys).withColumn("model_idx", F.lit(int(detector_idx)))
-    raw = confidence_filter(route(images, classes, detectors, key), 0.0)
+    raw = materialize(confidence_filter(route(images, classes, detectors, key), 0.0))
     kept = confidence_filter(raw, threshold)
     shapes = S.table_shapes(S.grid_anchors(kept, keys, tolerance), keys, images)
     return shapes, raw

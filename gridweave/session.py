@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a local run; a cluster submit overrides all of these.
 LOCAL_CONF = {
@@ -68,3 +69,26 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder as fallback")
     sc.setCheckpointDir(fallback)
     return fallback
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The session's shared checkpoint folder, or None when none is configured."""
+    sc = spark.sparkContext
+    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a stage output once and cut its lineage.
+
+    With a shared ``spark.checkpoint.dir`` this is a reliable checkpoint (it
+    survives the loss of any executor). Without one it is a disk-backed
+    persist, which Spark recomputes from lineage if an executor is lost;
+    never a machine-local folder.
+    """
+    spark = df.sparkSession
+    d = checkpoint_dir(spark)
+    if d:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -35,22 +35,26 @@ def _image_of(order_key: str) -> F.Column:
     return F.floor(F.col(order_key) / 8).cast("bigint")
 
 
-def _lineitem_images(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+def _lineitem_images(spark: SparkSession, sf_dir: str, *extra: str, only: DataFrame | None = None) -> DataFrame:
     # image_id is projected before any window on it so that the window and a
-    # later group-by on image_id share one hash exchange.
+    # later group-by on image_id share one hash exchange. ``only`` (a frame of
+    # image ids) keeps whole images before the window, which is exact because
+    # the window is partitioned by image.
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", *extra
     )
     li = li.withColumn("image_id", _image_of("l_orderkey"))
+    if only is not None:
+        li = li.join(only.select("image_id").distinct(), "image_id", "left_semi")
     w = Window.partitionBy("image_id").orderBy(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
     )
     return li.withColumn("det_idx", (F.row_number().over(w) - 1).cast("int"))
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """``(image_id, det_idx, l, t, r, b FLOAT, score DOUBLE)`` cell detections."""
-    li = _lineitem_images(spark, sf_dir)
+    li = _lineitem_images(spark, sf_dir, only=only)
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     x0 = F.lit(150) * (sk % 4) + pk % 13
     y0 = F.lit(60) * (ln - 1) + pk % 14
@@ -67,9 +71,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """``(image_id, text_idx, text, l, t, r, b DOUBLE)`` text boxes; a third have zero area."""
-    li = _lineitem_images(spark, sf_dir, "l_returnflag", "l_linestatus")
+    li = _lineitem_images(spark, sf_dir, "l_returnflag", "l_linestatus", only=only)
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     x0 = F.lit(150) * (sk % 4) + pk % 160
     y0 = F.lit(60) * (ln - 1) + pk % 50
@@ -84,9 +88,9 @@ def text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_words(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Fallback page text (J5): C2 boxes shifted by 7 px, text = ship year."""
-    li = _lineitem_images(spark, sf_dir, "l_shipdate")
+    li = _lineitem_images(spark, sf_dir, "l_shipdate", only=only)
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     x0 = F.lit(150) * (sk % 4) + pk % 160 + 7
     y0 = F.lit(60) * (ln - 1) + pk % 50 + 7
@@ -172,25 +176,29 @@ def crop_source_image() -> F.Column:
     return F.floor((F.col("page_id") * 10 + F.col("cluster_id")) / 8).cast("bigint")
 
 
-def table_classifier(spark: SparkSession, sf_dir: str, keys=("image_id",), src: F.Column | None = None):
-    scores = class_scores(spark, sf_dir).withColumnRenamed("image_id", "_src")
+def _src_ids(wanted: DataFrame) -> DataFrame:
+    return wanted.select(F.col("_src").alias("image_id"))
+
 
+def table_classifier(spark: SparkSession, sf_dir: str, keys=("image_id",), src: F.Column | None = None):
     def classify(imgs: DataFrame) -> DataFrame:
         s = src if src is not None else F.col(keys[0])
-        return imgs.select(*keys, s.alias("_src")).join(scores, "_src").drop("_src")
+        want = imgs.select(*keys, s.alias("_src"))
+        scores = class_scores(spark, sf_dir).withColumnRenamed("image_id", "_src")
+        return want.join(scores, "_src").drop("_src")
 
     return classify
 
 
 def cell_detector(spark: SparkSession, sf_dir: str, variant: int = 0, keys=("image_id",), src: F.Column | None = None):
     """Detector ``variant`` 0 (wired) reports the derived scores, 1 (wireless) ``1 - score``."""
-    dets = detections(spark, sf_dir).withColumnRenamed("image_id", "_src")
-    if variant == 1:
-        dets = dets.withColumn("score", F.lit(1.0) - F.col("score"))
-
     def detect(imgs: DataFrame) -> DataFrame:
         s = src if src is not None else F.col(keys[0])
-        return imgs.select(*keys, s.alias("_src")).join(dets, "_src").drop("_src")
+        want = imgs.select(*keys, s.alias("_src"))
+        dets = detections(spark, sf_dir, only=_src_ids(want)).withColumnRenamed("image_id", "_src")
+        if variant == 1:
+            dets = dets.withColumn("score", F.lit(1.0) - F.col("score"))
+        return want.join(dets, "_src").drop("_src")
 
     return detect
 
@@ -206,10 +214,9 @@ def layout_detector(spark: SparkSession, sf_dir: str):
 
 def cluster_text_cells(spark: SparkSession, sf_dir: str, clusters: DataFrame, scale: float = 2.0) -> DataFrame:
     """Text cells of each table cluster in page units: the crop's C2 texts / scale + cluster origin."""
-    tx = text_cells(spark, sf_dir).withColumnRenamed("image_id", "_src")
     c = clusters.select("page_id", "cluster_id", crop_source_image().alias("_src"),
                         F.col("l").alias("_cl"), F.col("t").alias("_ct"))
-    j = c.join(tx, "_src")
+    j = c.join(text_cells(spark, sf_dir, only=_src_ids(c)).withColumnRenamed("image_id", "_src"), "_src")
     s = F.lit(float(scale))
     return j.select(
         "page_id", "cluster_id", "text_idx", "text",
@@ -220,10 +227,9 @@ def cluster_text_cells(spark: SparkSession, sf_dir: str, clusters: DataFrame, sc
 
 def page_text_words(spark: SparkSession, sf_dir: str, clusters: DataFrame, scale: float = 2.0) -> DataFrame:
     """Page-wide words for the fallback lookup: shifted C2 words of every table cluster, in page units."""
-    w = page_words(spark, sf_dir).withColumnRenamed("image_id", "_src")
     c = clusters.select("page_id", "cluster_id", crop_source_image().alias("_src"),
                         F.col("l").alias("_cl"), F.col("t").alias("_ct"))
-    j = c.join(w, "_src")
+    j = c.join(page_words(spark, sf_dir, only=_src_ids(c)).withColumnRenamed("image_id", "_src"), "_src")
     s = F.lit(float(scale))
     return j.select(
         "page_id",
