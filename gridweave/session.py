@@ -22,6 +22,8 @@ LOCAL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # image rows are large: keep Arrow batches to the Python workers small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.driver.memory": "16g",
 }
 
