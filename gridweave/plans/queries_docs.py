@@ -551,3 +551,26 @@ FROM imgs""",
 def q_resize_geometry(spark, sf_dir):
     g = P.resize_geometry(D.images(spark, sf_dir))
     return g.select("image_id", F.round("scale", 9).alias("scale"), "new_w", "new_h", "crop_top", "crop_left")
+
+
+# --- U12: the SQL surface ----------------------------------------------------------------------
+
+@register("sql_table_structure", O.with_(O.LI_IMAGES, O.DET, O.kept(), *O.structure_ctes(), recursive=True)
+          + 'SELECT image_id, det_idx, "row", col, row_span, col_span, num_rows, num_cols FROM cells')
+def q_sql_table_structure(spark, sf_dir):
+    """The flagship written in Spark SQL over a temporary view with the registered SQL functions."""
+    from gridweave.plans.sql import register_functions, register_views
+
+    register_functions(spark)
+    register_views({"gw_detections": kept_detections(spark, sf_dir)})
+    return spark.sql(
+        """
+        WITH a AS (
+          SELECT image_id, gw_anchors(collect_set(t), 10) AS ra, gw_anchors(collect_set(l), 10) AS ca
+          FROM gw_detections GROUP BY image_id)
+        SELECT d.image_id, d.det_idx,
+          gw_index(a.ra, d.t) AS row, gw_index(a.ca, d.l) AS col,
+          gw_span(a.ra, d.t, d.b, 10) AS row_span, gw_span(a.ca, d.l, d.r, 10) AS col_span,
+          size(a.ra) AS num_rows, size(a.ca) AS num_cols
+        FROM gw_detections d JOIN a USING (image_id)"""
+    )
