@@ -1,0 +1,119 @@
+"""Exact, distributed row/column anchors for images that hold very many cells.
+
+The default anchor computation gathers the distinct start values of an image
+into one row. That is bounded for detector output (a detector emits at most
+300 cells per image), but an input where one image holds a large share of
+all rows must not be gathered. For such images the anchors are computed as
+a distributed job:
+
+1. ``next(s) = min{ v : fl(v - s) > tol }`` for every distinct start ``s``.
+   ``fl(v - s)`` grows with ``v``, so ``next(s)`` is the first value at or
+   above the exact threshold ``T(s)`` (the smallest representable ``x`` with
+   ``fl(x - s) > tol``; an Arrow UDF finds it with ``nextafter``). The lookup
+   is a running-min window over ``(image, value bucket)``; a start whose
+   successor lies in a later bucket takes it from a small per-bucket table.
+2. The anchors are the chain ``a0 = min(s), next(a0), next(next(a0)), ...``.
+   Pointer doubling builds jump tables ``J(k+1) = J(k) o J(k)`` (self-joins,
+   each materialized) and then marks the chain from ``a0`` level by level,
+   so ``log2(chain length)`` joins replace the sequential walk. The chain
+   holds at most ``extent / tol + 1`` anchors per image.
+
+No step collects an image's cells or starts into one row or task.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType
+
+from gridweave.session import materialize
+
+
+def _threshold_udf(tol: float, dtype: DataType):
+    np_t = np.float32 if isinstance(dtype, FloatType) else np.float64
+
+    @F.pandas_udf(dtype)
+    def threshold(a: pd.Series) -> pd.Series:
+        s = a.to_numpy(dtype=np_t)
+        t = np_t(tol)
+        x = (s + t).astype(np_t)
+        for _ in range(4):  # step down while the predecessor still passes
+            prev = np.nextafter(x, np_t(-np.inf)).astype(np_t)
+            x = np.where((prev - s).astype(np_t) > t, prev, x)
+        for _ in range(4):  # step up while x itself fails
+            up = np.nextafter(x, np_t(np.inf)).astype(np_t)
+            x = np.where((x - s).astype(np_t) > t, x, up)
+        return pd.Series(x)
+
+    return threshold
+
+
+def successors(starts: DataFrame, keys: list[str], tol: float, bucket: float) -> DataFrame:
+    """``(keys, s, nxt)``: the next anchor candidate after each distinct start (null if none)."""
+    dtype = starts.schema["s"].dataType
+    thr = _threshold_udf(tol, dtype)
+    null = F.lit(None).cast(dtype)
+    probes = starts.select(*keys, F.col("s").alias("_src"), thr(F.col("s")).alias("_pos"), F.lit(0).alias("_kind"), null.alias("_val"))
+    vals = starts.select(*keys, null.alias("_src"), F.col("s").alias("_pos"), F.lit(1).alias("_kind"), F.col("s").alias("_val"))
+    u = probes.unionByName(vals).withColumn("_bkt", F.floor(F.col("_pos") / F.lit(float(bucket))))
+    # descending order, values before probes at equal position: a running min over
+    # the rows seen so far is the smallest value >= the probe position
+    w = Window.partitionBy(*keys, "_bkt").orderBy(F.col("_pos").desc(), F.col("_kind").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    u = u.withColumn("_succ", F.min("_val").over(w))
+    local = u.filter(F.col("_kind") == 0).select(*keys, F.col("_src").alias("s"), "_bkt", "_succ")
+    # buckets of values and of probes; for each, the smallest value in any later bucket
+    bmin = u.groupBy(*keys, "_bkt").agg(F.min("_val").alias("_bmin"))
+    wb = Window.partitionBy(*keys).orderBy(F.col("_bkt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = bmin.withColumn("_after", F.min("_bmin").over(wb)).select(*keys, "_bkt", "_after")
+    return local.join(after, keys + ["_bkt"]).select(*keys, "s", F.coalesce("_succ", "_after").alias("nxt"))
+
+
+def chain_anchors(starts: DataFrame, keys: list[str], tol: float, levels: int, bucket: float) -> DataFrame:
+    """``(keys, s)``: the anchors, by pointer doubling over the successor table."""
+    jump = materialize(successors(starts, keys, tol, bucket))
+    tables = [jump]
+    for _ in range(levels):
+        a, b = tables[-1].alias("a"), tables[-1].alias("b")
+        cond = [F.col("a." + k) == F.col("b." + k) for k in keys] + [F.col("a.nxt") == F.col("b.s")]
+        nxt = a.join(b, cond, "left").select(*[F.col("a." + k) for k in keys], F.col("a.s"), F.col("b.nxt").alias("nxt"))
+        tables.append(materialize(nxt))
+    marked = starts.groupBy(*keys).agg(F.min("s").alias("s"))
+    for t in reversed(tables):
+        step = marked.join(t, keys + ["s"]).filter(F.col("nxt").isNotNull()).select(*keys, F.col("nxt").alias("s"))
+        marked = materialize(marked.unionByName(step))
+    return marked
+
+
+def heavy_axis_anchors(
+    dets: DataFrame, keys: Sequence[str], start: str, tol: float, name: str, max_chain: int, bucket: float | None = None
+) -> DataFrame:
+    """``(keys, name ARRAY)`` for the given images, computed without gathering their starts."""
+    keys = list(keys)
+    starts = dets.select(*keys, F.col(start).alias("s")).distinct()
+    levels = max(1, math.ceil(math.log2(max(max_chain, 2))))
+    width = bucket or max(float(tol), 1.0)
+    anchors = chain_anchors(starts, keys, tol, levels, width)
+    return anchors.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias(name))
+
+
+def chain_bound(dets: DataFrame, keys: Sequence[str], tol: float) -> int:
+    """An upper bound on the number of anchors of any given image (one small job)."""
+    ext = dets.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.max("t") - F.min("t")).cast(DoubleType()).alias("et"),
+        (F.max("l") - F.min("l")).cast(DoubleType()).alias("el"),
+    ).agg(F.max("n").alias("n"), F.max(F.greatest("et", "el")).alias("e")).first()
+    if ext is None or ext["n"] is None:
+        return 1
+    by_count = int(ext["n"])
+    if tol > 0 and ext["e"] is not None:
+        return min(by_count, int(ext["e"] / tol) + 2)
+    return by_count

@@ -73,15 +73,35 @@ def axis_span(anchors: Column, start: Column, end: Column, tol: Column) -> Colum
     return (1 + F.size(F.filter(anchors, lambda a: (a > start) & ((end - a) >= tol)))).cast("int")
 
 
+HEAVY_IMAGE_CELLS = 1 << 16  # images above this many cells take the distributed anchor path
+
+
 def grid_anchors(
     dets: DataFrame,
     key: str | Sequence[str] = "image_id",
     tolerance: float = DEFAULT_TOLERANCE,
     rows: bool = True,
     cols: bool = True,
+    heavy_threshold: int | None = HEAVY_IMAGE_CELLS,
 ) -> DataFrame:
-    """Per image: ``row_anchors`` / ``col_anchors`` arrays (one small row per image)."""
+    """Per image: ``row_anchors`` / ``col_anchors`` arrays (one small row per image).
+
+    Images with at most ``heavy_threshold`` cells fold their sorted distinct
+    starts in one aggregate. Larger images (found by one small count job)
+    take the exact distributed path of :mod:`gridweave.operators.heavy`; the
+    set of such images is at most ``total cells / heavy_threshold`` keys, so
+    it is broadcast to split the input.
+    """
     keys = _keys(key)
+    if heavy_threshold is not None:
+        sizes = dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        heavy_keys = sizes.filter(F.col("_n") > F.lit(int(heavy_threshold))).select(*keys)
+        if not heavy_keys.isEmpty():
+            return _split_anchors(dets, keys, tolerance, rows, cols, heavy_keys)
+    return _light_anchors(dets, keys, tolerance, rows, cols)
+
+
+def _light_anchors(dets: DataFrame, keys: list[str], tolerance: float, rows: bool, cols: bool) -> DataFrame:
     aggs = []
     if rows:
         aggs.append(F.collect_set("t").alias("_ts"))
@@ -98,6 +118,23 @@ def grid_anchors(
     return g.select(*out)
 
 
+def _split_anchors(dets: DataFrame, keys: list[str], tolerance: float, rows: bool, cols: bool, heavy_keys: DataFrame) -> DataFrame:
+    from gridweave.operators import heavy as H
+    from gridweave.session import materialize
+
+    hk = F.broadcast(materialize(heavy_keys))
+    light = _light_anchors(dets.join(hk, keys, "left_anti"), keys, tolerance, rows, cols)
+    big = dets.join(hk, keys, "left_semi")
+    bound = H.chain_bound(big, keys, tolerance)
+    parts = []
+    if rows:
+        parts.append(H.heavy_axis_anchors(big, keys, "t", tolerance, "row_anchors", bound))
+    if cols:
+        parts.append(H.heavy_axis_anchors(big, keys, "l", tolerance, "col_anchors", bound))
+    heavy = parts[0] if len(parts) == 1 else parts[0].join(parts[1], keys)
+    return light.unionByName(heavy.select(*light.columns))
+
+
 def threshold_literal_any(value: float, dtype: DataType) -> Column:
     """A tolerance literal in the column's type (float32 geometry compares in float32)."""
     return F.lit(float(value)).cast(dtype)
@@ -124,6 +161,7 @@ def assign_cells(
     cols: bool = True,
     form: str = "join",
     carry: Sequence[str] = (),
+    heavy_threshold: int | None = HEAVY_IMAGE_CELLS,
 ) -> DataFrame:
     """Every cell with its ``row, col, row_span, col_span``.
 
@@ -134,7 +172,7 @@ def assign_cells(
     base = keys + ["det_idx", "l", "t", "r", "b"] + [c for c in carry if c not in keys]
     if form == "array":
         return _assign_cells_array(dets.select(*base), keys, tolerance, rows, cols)
-    anchors = grid_anchors(dets, keys, tolerance, rows, cols)
+    anchors = grid_anchors(dets, keys, tolerance, rows, cols, heavy_threshold)
     joined = dets.select(*base).join(anchors, keys)
     return joined.select(*base, *_project_axes(joined, tolerance, rows, cols))
 

@@ -148,3 +148,19 @@ def test_argsort_is_stable(spark):
     df = frame(spark, {0: [(5, 3, 9, 9), (1, 3, 9, 9), (5, 1, 9, 9)]})
     ranks = sorted((r.det_idx, r.rank_t) for r in S.argsort(df, "t").collect())
     assert ranks == [(0, 1), (1, 2), (2, 0)]
+
+
+@pytest.mark.parametrize("tol", [10.0, 0.0, 3.5])
+def test_distributed_anchor_path_matches_loop(spark, tol):
+    """Every image forced onto the distributed path (threshold 2) must equal the sequential loop."""
+    data = random_images(np.random.default_rng(11), 24, 60)
+    data[99] = [(float(np.float32(0.1 * i)), float(np.float32(9.95 + 0.05 * i)), 5.0, 20.0) for i in range(40)]
+    df = frame(spark, data)
+    got = {(r.image_id, r.det_idx): r for r in S.assign_cells(df, tolerance=tol, heavy_threshold=2).collect()}
+    shapes = {r.image_id: r for r in S.table_shapes(S.grid_anchors(df, tolerance=tol, heavy_threshold=2)).collect()}
+    for img, boxes in data.items():
+        row, col, rs, cs, nr, nc = loop_table(boxes, tol)
+        assert (shapes[img].num_rows, shapes[img].num_cols) == (nr, nc), img
+        for i in range(len(boxes)):
+            g = got[(img, i)]
+            assert (g.row, g.col, g.row_span, g.col_span) == (row[i], col[i], rs[i], cs[i]), (img, i)
