@@ -6,7 +6,7 @@ higher-order expressions, so classification adds no exchange of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import labels as L
@@ -44,15 +44,7 @@ def class_ordinal(
     ``(class, bucket)`` gives each bucket its offset by a prefix sum, and the
     rank inside a bucket is a bounded window.
     """
-    b = F.floor(F.col(key) / F.lit(bucket_width)).cast("bigint")
-    df = classified.withColumn("_bucket", b)
-    sizes = df.groupBy(model_idx, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    wp = Window.partitionBy(model_idx).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(wp), F.lit(0))).drop("_n")
-    wl = Window.partitionBy(model_idx, "_bucket").orderBy(key)
-    local = df.withColumn("_rk", F.row_number().over(wl) - 1)
-    return (
-        local.join(offsets, [model_idx, "_bucket"])
-        .withColumn("ordinal", (F.col("_off") + F.col("_rk")).cast("int"))
-        .drop("_bucket", "_off", "_rk")
-    )
+    from gridweave.operators.ranking import bucketed_row_number
+
+    bucket = F.floor(F.col(key) / F.lit(bucket_width)).cast("bigint")
+    return bucketed_row_number(classified, [model_idx], [F.col(key)], bucket, "ordinal")

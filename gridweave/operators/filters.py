@@ -155,10 +155,10 @@ def top_detections(dets: DataFrame, k: int = 300, key: str | Sequence[str] = "im
     return dets.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
 
 
-def reading_order(dets: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
-    """O1: 0-based rank in reading order ``l + 100 * t`` (ties by ``det_idx``)."""
-    from pyspark.sql import Window
+def reading_order(dets: DataFrame, key: str | Sequence[str] = "image_id", bucket_width: float = 6400.0) -> DataFrame:
+    """O1: 0-based rank in reading order ``l + 100 * t`` (ties by ``det_idx``), ranked by ranges."""
+    from gridweave.operators.ranking import bucketed_row_number
 
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(G.reading_order_key(), F.col("det_idx"))
-    return dets.withColumn("reading_rank", (F.row_number().over(w) - 1).cast("int"))
+    k = G.reading_order_key()
+    return bucketed_row_number(dets, keys, [k, F.col("det_idx")], F.floor(k / F.lit(bucket_width)), "reading_rank")

@@ -248,11 +248,16 @@ def nest_tables(cells: DataFrame, shapes: DataFrame, key: str | Sequence[str] =
     )
 
 
-def argsort(dets: DataFrame, by: str, key: str | Sequence[str] = "image_id", name: str | None = None) -> DataFrame:
+def argsort(
+    dets: DataFrame, by: str, key: str | Sequence[str] = "image_id", name: str | None = None, bucket_width: float = 64.0
+) -> DataFrame:
     """Stable rank of each cell by one edge (``t``, ``b``, ``l`` or ``r``), 0-based.
 
-    Ties keep input order, which is ``det_idx``.
+    Ties keep input order, which is ``det_idx``. Ranges of ``bucket_width``
+    pixels are ranked in parallel (see :mod:`gridweave.operators.ranking`).
     """
+    from gridweave.operators.ranking import bucketed_row_number
+
     keys = _keys(key)
-    w = Window.partitionBy(*keys).orderBy(F.col(by), F.col("det_idx"))
-    return dets.withColumn(name or f"rank_{by}", (F.row_number().over(w) - 1).cast("int"))
+    bucket = F.floor(F.col(by) / F.lit(float(bucket_width)))
+    return bucketed_row_number(dets, keys, [F.col(by), F.col("det_idx")], bucket, name or f"rank_{by}")

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.geometry import reading_order_key
+from gridweave.operators.ranking import bucketed_row_number
 
 SCORE_TOLERANCE = 0.01   # absolute, strict
 POSITION_TOLERANCE = 5   # pixels, absolute, strict
@@ -58,10 +59,11 @@ def verify_detections(
     keys = _keys(key)
 
     def ranked(df: DataFrame, p: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(reading_order_key(), F.col("det_idx"))
-        return df.select(
+        k = reading_order_key()
+        r = bucketed_row_number(df, keys, [k, F.col("det_idx")], F.floor(k / F.lit(6400.0)), "rank")
+        return r.select(
             *keys,
-            (F.row_number().over(w) - 1).cast("int").alias("rank"),
+            "rank",
             *[F.col(e).cast("double").alias(p + e) for e in "ltrb"],
             F.col("score").cast("double").alias(p + "score"),
         )
