@@ -140,7 +140,7 @@ def threshold_literal_any(value: float, dtype: DataType) -> Column:
     return F.lit(float(value)).cast(dtype)
 
 
-def _project_axes(df: DataFrame, tolerance: float, rows: bool, cols: bool) -> list[Column]:
+def _project_axes(df: DataFrame, tolerance: float, rows: bool, cols: bool, with_shape: bool = False) -> list[Column]:
     out = []
     if rows:
         tol = threshold_literal_any(tolerance, _dtype(df, "t"))
@@ -150,6 +150,10 @@ def _project_axes(df: DataFrame, tolerance: float, rows: bool, cols: bool) -> li
         tol = threshold_literal_any(tolerance, _dtype(df, "l"))
         ca, l, r = F.col("col_anchors"), F.col("l"), F.col("r")
         out += [axis_index(ca, l).alias("col"), axis_span(ca, l, r, tol).alias("col_span")]
+    if with_shape and rows:
+        out.append(F.size("row_anchors").cast("int").alias("num_rows"))
+    if with_shape and cols:
+        out.append(F.size("col_anchors").cast("int").alias("num_cols"))
     return out
 
 
@@ -162,22 +166,26 @@ def assign_cells(
     form: str = "join",
     carry: Sequence[str] = (),
     heavy_threshold: int | None = HEAVY_IMAGE_CELLS,
+    with_shape: bool = False,
 ) -> DataFrame:
     """Every cell with its ``row, col, row_span, col_span``.
 
     ``dets`` needs the key columns, ``det_idx`` and ``l, t, r, b``. Extra
-    columns named in ``carry`` are passed through.
+    columns named in ``carry`` are passed through; ``with_shape`` adds the
+    image's ``num_rows, num_cols`` (the anchor counts, no extra aggregation).
     """
     keys = _keys(key)
     base = keys + ["det_idx", "l", "t", "r", "b"] + [c for c in carry if c not in keys]
     if form == "array":
-        return _assign_cells_array(dets.select(*base), keys, tolerance, rows, cols)
+        return _assign_cells_array(dets.select(*base), keys, tolerance, rows, cols, with_shape)
     anchors = grid_anchors(dets, keys, tolerance, rows, cols, heavy_threshold)
     joined = dets.select(*base).join(anchors, keys)
-    return joined.select(*base, *_project_axes(joined, tolerance, rows, cols))
+    return joined.select(*base, *_project_axes(joined, tolerance, rows, cols, with_shape))
 
 
-def _assign_cells_array(dets: DataFrame, keys: list[str], tolerance: float, rows: bool, cols: bool) -> DataFrame:
+def _assign_cells_array(
+    dets: DataFrame, keys: list[str], tolerance: float, rows: bool, cols: bool, with_shape: bool = False
+) -> DataFrame:
     payload = [c for c in dets.columns if c not in keys]
     g = dets.groupBy(*keys).agg(F.collect_list(F.struct(*payload)).alias("_cells"))
     extra = []
@@ -192,7 +200,7 @@ def _assign_cells_array(dets: DataFrame, keys: list[str], tolerance: float, rows
             anchor_fold(F.transform("_cells", lambda c: c["l"]), threshold_literal_any(tolerance, lt), lt).alias("col_anchors")
         )
     flat = g.select(*keys, *extra, F.inline("_cells"))
-    return flat.select(*keys, *payload, *_project_axes(flat, tolerance, rows, cols))
+    return flat.select(*keys, *payload, *_project_axes(flat, tolerance, rows, cols, with_shape))
 
 
 def table_shapes(

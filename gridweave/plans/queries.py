@@ -59,20 +59,8 @@ def q_confidence_filter(spark, sf_dir):
     + 'SELECT image_id, det_idx, "row", col, row_span, col_span, num_rows, num_cols FROM cells',
 )
 def q_table_structure(spark, sf_dir):
-    dets = kept_detections(spark, sf_dir)
-    anchors = S.grid_anchors(dets)
-    j = dets.select("image_id", "det_idx", "l", "t", "r", "b").join(anchors, "image_id")
-    tol = F.lit(S.DEFAULT_TOLERANCE).cast("float")
-    return j.select(
-        "image_id",
-        "det_idx",
-        S.axis_index(F.col("row_anchors"), F.col("t")).alias("row"),
-        S.axis_index(F.col("col_anchors"), F.col("l")).alias("col"),
-        S.axis_span(F.col("row_anchors"), F.col("t"), F.col("b"), tol).alias("row_span"),
-        S.axis_span(F.col("col_anchors"), F.col("l"), F.col("r"), tol).alias("col_span"),
-        F.size("row_anchors").cast("int").alias("num_rows"),
-        F.size("col_anchors").cast("int").alias("num_cols"),
-    )
+    cells = S.assign_cells(kept_detections(spark, sf_dir), with_shape=True)
+    return cells.select("image_id", "det_idx", "row", "col", "row_span", "col_span", "num_rows", "num_cols")
 
 
 @register(
@@ -81,14 +69,8 @@ def q_table_structure(spark, sf_dir):
 )
 def q_table_structure_array(spark, sf_dir):
     """Same result through the one-shuffle array form (bounded images)."""
-    dets = kept_detections(spark, sf_dir)
-    cells = S.assign_cells(dets, form="array")
-    shapes = cells.groupBy("image_id").agg(
-        (F.max("row") + 1).cast("int").alias("num_rows"), (F.max("col") + 1).cast("int").alias("num_cols")
-    )
-    return cells.join(shapes, "image_id").select(
-        "image_id", "det_idx", "row", "col", "row_span", "col_span", "num_rows", "num_cols"
-    )
+    cells = S.assign_cells(kept_detections(spark, sf_dir), form="array", with_shape=True)
+    return cells.select("image_id", "det_idx", "row", "col", "row_span", "col_span", "num_rows", "num_cols")
 
 
 @register(
