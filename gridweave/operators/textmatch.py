@@ -94,11 +94,41 @@ def match_texts(
     cell_id: str = "det_idx",
     text_id: str = "text_idx",
 ) -> DataFrame:
-    """J3 + A5: every cell with its matched ``text`` (``""`` when none)."""
+    """J3 + A5: every cell with its matched ``text`` (``""`` when none).
+
+    One pass: the cell tiles are left-joined to the text tiles and grouped
+    by cell, so every cell appears once and ``cells`` is read once; a text
+    that does not qualify contributes a null, which ``collect_list`` skips.
+    """
     keys = _keys(key)
-    pairs = candidate_pairs(cells, texts, keys, overlap, tile, cell_id, text_id)
-    joined = concat_ordered(pairs, keys, cell_id, text_id)
-    return cells.join(joined, keys + [cell_id], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    payload = [c for c in cells.columns if c not in keys and c not in (cell_id, "text")]
+    c = cells.select(
+        *keys, cell_id, F.struct(*payload).alias("_cell"), *[F.col(e).cast("double").alias("c_" + e) for e in "ltrb"]
+    )
+    x = texts.select(*keys, text_id, "text", *[F.col(e).cast("double").alias("x_" + e) for e in "ltrb"])
+    x = x.filter((F.col("x_r") - F.col("x_l")) * (F.col("x_b") - F.col("x_t")) > 0)
+    if tile:
+        c = _tiles(c, tile, "c_")
+        x = _tiles(x, tile, "x_")
+        j = c.join(x, keys + ["_tx", "_ty"], "left")
+        t = F.lit(float(tile))
+        own_tile = (F.col("_tx") == F.floor(F.greatest("c_l", "x_l") / t)) & (
+            F.col("_ty") == F.floor(F.greatest("c_t", "x_t") / t)
+        )
+    else:
+        j = c.join(x, keys, "left")
+        own_tile = F.lit(True)
+    cl, ct, cr, cb, xl, xt, xr, xb = (F.col(n) for n in ["c_l", "c_t", "c_r", "c_b", "x_l", "x_t", "x_r", "x_b"])
+    hits = (cl < xr) & (xl < cr) & (ct < xb) & (xt < cb)
+    iw = F.least(cr, xr) - F.greatest(cl, xl)
+    ih = F.least(cb, xb) - F.greatest(ct, xt)
+    ok = hits & own_tile & ((iw * ih) / ((xr - xl) * (xb - xt)) > F.lit(float(overlap)))
+    piece = F.when(ok, F.struct(F.col(text_id).alias("i"), py_strip("text").alias("s")))
+    g = j.groupBy(*keys, cell_id).agg(F.first("_cell").alias("_cell"), F.sort_array(F.collect_list(piece)).alias("_m"))
+    return g.select(
+        *keys, cell_id, *[F.col("_cell." + p).alias(p) for p in payload],
+        F.array_join(F.transform("_m", lambda m: m["s"]), " ").alias("text"),
+    )
 
 
 def match_text_one(texts: DataFrame, box: tuple[float, float, float, float], overlap: float = DEFAULT_OVERLAP,
