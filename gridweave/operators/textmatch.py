@@ -32,13 +32,17 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _tiles(df: DataFrame, tile: float, prefix: str) -> DataFrame:
+def _tiles(df: DataFrame, tile: float, prefix: str, active: Column | None = None) -> DataFrame:
     t = F.lit(float(tile))
 
     def rng(lo: str, hi: str) -> Column:
         a = F.floor(F.col(prefix + lo) / t)
         b = F.floor(F.col(prefix + hi) / t)
-        return F.sequence(a, F.greatest(a, b))
+        seq = F.sequence(a, F.greatest(a, b))
+        if active is None:
+            return seq
+        # inactive rows get one tile index no text can have
+        return F.when(active, seq).otherwise(F.array(F.lit(-(2**62)).cast("bigint")))
 
     return df.withColumn("_tx", F.explode(rng("l", "r"))).withColumn("_ty", F.explode(rng("t", "b")))
 
@@ -85,30 +89,32 @@ def concat_ordered(pairs: DataFrame, keys: list[str], cell_id: str, text_id: str
     return g.select(*keys, cell_id, F.array_join(F.transform("_m", lambda m: m["s"]), " ").alias("text"))
 
 
-def match_texts(
+def _tile_join_group(
     cells: DataFrame,
     texts: DataFrame,
-    key: str | Sequence[str] = "image_id",
-    overlap: float = DEFAULT_OVERLAP,
-    tile: float | None = DEFAULT_TILE,
-    cell_id: str = "det_idx",
-    text_id: str = "text_idx",
+    keys: list[str],
+    overlap: float,
+    tile: float | None,
+    cell_id: str,
+    text_id: str,
+    strip: bool,
+    active: Column | None = None,
 ) -> DataFrame:
-    """J3 + A5: every cell with its matched ``text`` (``""`` when none).
+    """Every cell once, with ``_m``: its qualifying texts as sorted ``(text_id, text)`` structs.
 
-    One pass: the cell tiles are left-joined to the text tiles and grouped
-    by cell, so every cell appears once and ``cells`` is read once; a text
-    that does not qualify contributes a null, which ``collect_list`` skips.
+    Cell tiles are left-joined to text tiles and grouped by cell, so ``cells``
+    is read once and cells without texts survive. Cells where ``active`` is
+    false get one dummy tile that no text shares.
     """
-    keys = _keys(key)
-    payload = [c for c in cells.columns if c not in keys and c not in (cell_id, "text")]
+    payload = [c for c in cells.columns if c not in keys and c != cell_id]
     c = cells.select(
-        *keys, cell_id, F.struct(*payload).alias("_cell"), *[F.col(e).cast("double").alias("c_" + e) for e in "ltrb"]
+        *keys, cell_id, F.struct(*payload).alias("_payload"), *[F.col(e).cast("double").alias("c_" + e) for e in "ltrb"],
+        (active if active is not None else F.lit(True)).alias("_active"),
     )
     x = texts.select(*keys, text_id, "text", *[F.col(e).cast("double").alias("x_" + e) for e in "ltrb"])
-    x = x.filter((F.col("x_r") - F.col("x_l")) * (F.col("x_b") - F.col("x_t")) > 0)
+    x = x.filter((F.col("x_r") - F.col("x_l")) * (F.col("x_b") - F.col("x_t")) > 0)  # zero area never matches
     if tile:
-        c = _tiles(c, tile, "c_")
+        c = _tiles(c, tile, "c_", F.col("_active"))
         x = _tiles(x, tile, "x_")
         j = c.join(x, keys + ["_tx", "_ty"], "left")
         t = F.lit(float(tile))
@@ -117,18 +123,36 @@ def match_texts(
         )
     else:
         j = c.join(x, keys, "left")
-        own_tile = F.lit(True)
+        own_tile = F.col("_active")
     cl, ct, cr, cb, xl, xt, xr, xb = (F.col(n) for n in ["c_l", "c_t", "c_r", "c_b", "x_l", "x_t", "x_r", "x_b"])
     hits = (cl < xr) & (xl < cr) & (ct < xb) & (xt < cb)
     iw = F.least(cr, xr) - F.greatest(cl, xl)
     ih = F.least(cb, xb) - F.greatest(ct, xt)
     ok = hits & own_tile & ((iw * ih) / ((xr - xl) * (xb - xt)) > F.lit(float(overlap)))
-    piece = F.when(ok, F.struct(F.col(text_id).alias("i"), py_strip("text").alias("s")))
-    g = j.groupBy(*keys, cell_id).agg(F.first("_cell").alias("_cell"), F.sort_array(F.collect_list(piece)).alias("_m"))
-    return g.select(
-        *keys, cell_id, *[F.col("_cell." + p).alias(p) for p in payload],
-        F.array_join(F.transform("_m", lambda m: m["s"]), " ").alias("text"),
-    )
+    txt = py_strip("text") if strip else F.col("text")
+    piece = F.when(ok, F.struct(F.col(text_id).alias("i"), txt.alias("s")))
+    g = j.groupBy(*keys, cell_id).agg(F.first("_payload").alias("_payload"), F.sort_array(F.collect_list(piece)).alias("_m"))
+    return g.select(*keys, cell_id, *[F.col("_payload." + p).alias(p) for p in payload], "_m")
+
+
+def _joined(m: str = "_m") -> Column:
+    return F.array_join(F.transform(m, lambda x: x["s"]), " ")
+
+
+def match_texts(
+    cells: DataFrame,
+    texts: DataFrame,
+    key: str | Sequence[str] = "image_id",
+    overlap: float = DEFAULT_OVERLAP,
+    tile: float | None = DEFAULT_TILE,
+    cell_id: str = "det_idx",
+    text_id: str = "text_idx",
+) -> DataFrame:
+    """J3 + A5: every cell with its matched ``text`` (``""`` when none), in one pass over ``cells``."""
+    keys = _keys(key)
+    base = cells.drop("text") if "text" in cells.columns else cells
+    g = _tile_join_group(base, texts, keys, overlap, tile, cell_id, text_id, strip=True)
+    return g.withColumn("text", _joined()).drop("_m")
 
 
 def match_text_one(texts: DataFrame, box: tuple[float, float, float, float], overlap: float = DEFAULT_OVERLAP,
@@ -156,15 +180,11 @@ def with_fallback_text(
     """A cell whose matched text is blank takes the page text under its box.
 
     The page lookup keeps words covering more than ``overlap`` of their own
-    area and joins their raw text with one space in page order. Only blank
-    cells enter the second spatial join.
+    area and joins their raw text with one space in page order. One pass over
+    ``matched``: only blank cells are tiled against the words; the others
+    pass through with their text.
     """
     keys = _keys(key)
-    blank = matched.filter(py_strip("text") == "")
-    pairs = candidate_pairs(blank, page_words, keys, overlap, tile, cell_id, word_id)
-    fb = concat_ordered(pairs, keys, cell_id, word_id, strip=False).withColumnRenamed("text", "_fb")
-    return (
-        matched.join(fb, keys + [cell_id], "left")
-        .withColumn("text", F.when(py_strip("text") == "", F.coalesce("_fb", F.lit(""))).otherwise(F.col("text")))
-        .drop("_fb")
-    )
+    blank = py_strip("text") == ""
+    g = _tile_join_group(matched, page_words, keys, overlap, tile, cell_id, word_id, strip=False, active=blank)
+    return g.withColumn("text", F.when(py_strip("text") == "", _joined()).otherwise(F.col("text"))).drop("_m")

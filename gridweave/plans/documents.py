@@ -127,9 +127,10 @@ def build_document_tables(
     cells = page_cells.withColumnRenamed("start_row", "row").withColumnRenamed("start_col", "col")
     matched = T.match_texts(cells, cluster_texts, CROP_KEY, overlap, tile, text_id="text_idx")
     if page_words is not None:
-        m2 = matched.withColumn("_cell", F.struct("cluster_id", "det_idx"))
+        # page-wide lookup: words are keyed by page, a cell by (cluster, det_idx) within it
+        m2 = matched.withColumn("_cell", F.struct("cluster_id", "det_idx")).drop("cluster_id", "det_idx")
         fb = T.with_fallback_text(m2, page_words, "page_id", T.BACKEND_OVERLAP, tile, cell_id="_cell", word_id="word_idx")
-        matched = fb.drop("_cell")
+        matched = fb.select("*", F.col("_cell.cluster_id").alias("cluster_id"), F.col("_cell.det_idx").alias("det_idx")).drop("_cell")
     return matched.withColumnRenamed("row", "start_row").withColumnRenamed("col", "start_col")
 
 
