@@ -23,10 +23,12 @@ def bucketed_row_number(
     """0-based ``name`` = position within ``keys`` by ``order``; ``bucket`` is monotone in ``order``."""
     keys = list(keys)
     d = df.withColumn("_bkt", bucket)
-    sizes = d.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    wp = Window.partitionBy(*keys).orderBy(F.col("_bkt").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(wp), F.lit(0))).drop("_n")
     wl = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     local = d.withColumn("_rk", F.row_number().over(wl) - 1)
+    # counts come from the ranked rows (already partitioned by range), so the
+    # input is shuffled once and both branches share that exchange
+    sizes = local.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    wp = Window.partitionBy(*keys).orderBy(F.col("_bkt").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(wp), F.lit(0))).drop("_n")
     joined = local.join(offsets, keys + ["_bkt"], "inner") if keys else local.join(offsets, ["_bkt"])
     return joined.withColumn(name, (F.col("_off") + F.col("_rk")).cast("int")).drop("_bkt", "_off", "_rk")
