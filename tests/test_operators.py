@@ -198,3 +198,22 @@ def test_streaming_matches_batch(spark, scratch):
     q2.awaitTermination(300)
     got2 = spark.read.parquet(out2).select("image_id", "det_idx", "row", "col", "row_span", "col_span")
     assert got2.exceptAll(batch).count() == 0 and got2.count() == batch.count()
+
+
+def test_debug_tables_forced_detector_and_api_tables(spark):
+    from gridweave.plans.tables import debug_tables
+
+    imgs = D.images(spark, SF_SMALL)
+    cl = D.table_classifier(spark, SF_SMALL)
+    dets = [D.cell_detector(spark, SF_SMALL, 0), D.cell_detector(spark, SF_SMALL, 1)]
+    shapes0, raw0 = debug_tables(imgs, cl, dets, detector_idx=0)
+    shapes1, raw1 = debug_tables(imgs, cl, dets, detector_idx=1)
+    # forcing a detector: every image goes to it, and raw output is everything above 0.0
+    assert raw0.select("model_idx").distinct().collect() == [Row(model_idx=0)]
+    n_all = D.detections(spark, SF_SMALL).count()
+    assert raw0.count() == D.detections(spark, SF_SMALL).filter("score > 0").count() <= n_all
+    assert raw1.count() == D.detections(spark, SF_SMALL).filter("score < 1").count()
+    assert shapes0.count() == shapes1.count() == imgs.count()
+    rec = api.tables(imgs, cl, dets)
+    assert rec.shapes.count() == imgs.count()
+    assert rec.cells.filter("score <= 0.5").count() == 0
