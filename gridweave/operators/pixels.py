@@ -159,15 +159,17 @@ def crop_pixels(
     """P19 + P20: cut each cluster's window out of its page image.
 
     ``page_images`` holds one rendered page per ``page_key``; ``windows`` the
-    P14 columns ``crop_top, crop_bottom, crop_left, crop_right``. The join
-    brings a page to each of its windows; slicing is NumPy in the task.
-    Output rows follow the image schema, keyed by ``keys`` (packed into
-    ``image_id`` by the caller when a single key is needed).
+    P14 columns ``crop_top, crop_bottom, crop_left, crop_right``. Windows are
+    grouped per page first (a page has at most the layout model's detection
+    slots), so each page image is joined once, not copied per window; the
+    task slices every window out of it with NumPy.
     """
     keys = list(keys)
-    j = windows.select(*keys, "crop_top", "crop_bottom", "crop_left", "crop_right").join(
-        page_images.select(page_key, "height", "width", "nChannels", "data"), page_key
+    other = [k for k in keys if k != page_key]
+    per_page = windows.groupBy(page_key).agg(
+        F.collect_list(F.struct(*other, "crop_top", "crop_bottom", "crop_left", "crop_right")).alias("_w")
     )
+    j = per_page.join(page_images.select(page_key, "height", "width", "nChannels", "data"), page_key)
     schema = StructType(
         [StructField(k, LongType() if k == page_key else IntegerType()) for k in keys]
         + [
@@ -182,16 +184,17 @@ def crop_pixels(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for _, r in b.iterrows():
-                img = to_array(r["height"], r["width"], r["nChannels"], r["data"])
-                t0, t1 = max(int(r["crop_top"]), 0), min(int(r["crop_bottom"]), img.shape[0])
-                l0, l1 = max(int(r["crop_left"]), 0), min(int(r["crop_right"]), img.shape[1])
-                part = img[t0:t1, l0:l1, :]
-                if rgb_to_bgr:
-                    part = part[:, :, ::-1]
-                part = np.ascontiguousarray(part)
-                rows.append({**{k: r[k] for k in keys}, "height": part.shape[0], "width": part.shape[1],
-                             "nChannels": part.shape[2], "mode": 16, "data": part.tobytes()})
+            for page, h, w, c, data, wins in zip(b[page_key], b["height"], b["width"], b["nChannels"], b["data"], b["_w"]):
+                img = to_array(int(h), int(w), int(c), data)
+                for win in wins:
+                    t0, t1 = max(int(win["crop_top"]), 0), min(int(win["crop_bottom"]), img.shape[0])
+                    l0, l1 = max(int(win["crop_left"]), 0), min(int(win["crop_right"]), img.shape[1])
+                    part = img[t0:t1, l0:l1, :]
+                    if rgb_to_bgr:
+                        part = part[:, :, ::-1]
+                    part = np.ascontiguousarray(part)
+                    rows.append({page_key: page, **{k: win[k] for k in other}, "height": part.shape[0],
+                                 "width": part.shape[1], "nChannels": part.shape[2], "mode": 16, "data": part.tobytes()})
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     return j.mapInPandas(run, schema)
