@@ -8,7 +8,7 @@ the header, cells are padded by one space, and there is no trailing newline.
 Text is treated as text (no numeric re-formatting); ``|`` is escaped.
 
 Work is split so nothing is gathered per cell: slots are joined on
-``(key, row, col)``, widths are a group-by on ``(key, col)``, lines a
+``(key, row, col)``, widths are a window over ``(key, col)``, lines a
 group-by on ``(key, row)`` over at most ``num_cols`` pieces, and only the
 finished lines are joined per table.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import md_escape
@@ -57,32 +57,30 @@ def full_grid(shapes: DataFrame, slots: DataFrame, key: str | Sequence[str] = "i
 
 
 def markdown_lines(grid: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
-    """``(key, line_no, line)``: header, dash line, body rows of each table."""
+    """``(key, line_no, line)``: header, dash line, body rows of each table.
+
+    Column widths are a window over ``(key, column)`` (one exchange, no join
+    back), and the dash line is built from the header row's widths inside the
+    same per-row aggregation, so the grid is consumed once.
+    """
     keys = _keys(key)
     g = grid.withColumn("text", md_escape("text")).withColumn("_len", F.length("text"))
-    widths = g.groupBy(*keys, "grid_col").agg(
-        F.greatest(
-            F.max("_len"),
-            F.max(F.when(F.col("grid_row") == 0, F.col("_len") + 2)),
-        ).alias("_w")
+    wc = Window.partitionBy(*keys, "grid_col")
+    width = F.greatest(F.max("_len").over(wc), F.max(F.when(F.col("grid_row") == 0, F.col("_len") + 2)).over(wc))
+    padded = g.withColumn("_w", width).withColumn("_cell", F.rpad("text", F.col("_w"), " "))
+    rows = padded.groupBy(*keys, "grid_row").agg(
+        F.sort_array(F.collect_list(F.struct("grid_col", "_cell", "_w"))).alias("_cells")
     )
-    padded = g.join(widths, keys + ["grid_col"]).withColumn("_cell", F.rpad("text", F.col("_w"), " "))
-    rows = padded.groupBy(*keys, "grid_row").agg(F.sort_array(F.collect_list(F.struct("grid_col", "_cell"))).alias("_cells"))
-    body = rows.select(
-        *keys,
-        F.when(F.col("grid_row") == 0, F.lit(0)).otherwise(F.col("grid_row") + 1).alias("line_no"),
-        F.concat(F.lit("| "), F.array_join(F.transform("_cells", lambda c: c["_cell"]), " | "), F.lit(" |")).alias("line"),
+    line = F.concat(F.lit("| "), F.array_join(F.transform("_cells", lambda c: c["_cell"]), " | "), F.lit(" |"))
+    dash = F.concat(
+        F.lit("|"), F.array_join(F.transform("_cells", lambda c: F.repeat(F.lit("-"), c["_w"] + 2)), "|"), F.lit("|")
     )
-    dash = widths.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("grid_col", "_w"))).alias("_ws")).select(
-        *keys,
-        F.lit(1).alias("line_no"),
-        F.concat(
-            F.lit("|"),
-            F.array_join(F.transform("_ws", lambda w: F.repeat(F.lit("-"), w["_w"] + 2)), "|"),
-            F.lit("|"),
-        ).alias("line"),
+    header = F.array(
+        F.struct(F.lit(0).alias("line_no"), line.alias("line")), F.struct(F.lit(1).alias("line_no"), dash.alias("line"))
     )
-    return body.unionByName(dash)
+    body = F.array(F.struct((F.col("grid_row") + 1).alias("line_no"), line.alias("line")))
+    out = rows.select(*keys, F.explode(F.when(F.col("grid_row") == 0, header).otherwise(body)).alias("_l"))
+    return out.select(*keys, F.col("_l.line_no").alias("line_no"), F.col("_l.line").alias("line"))
 
 
 def markdown(lines: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
