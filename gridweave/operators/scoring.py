@@ -209,12 +209,3 @@ def grid_detector(columns: int = 3, invert: bool = False):
         return run
 
     return factory
-
-
-def score_summary(df: DataFrame, key: str = "image_id") -> DataFrame:
-    """Per image: tensor length and rounded sum (a compact view of a tensor column)."""
-    return df.select(
-        key,
-        F.size("tensor").alias("n_values"),
-        F.round(F.aggregate("tensor", F.lit(0.0).cast("double"), lambda a, v: a + v), 2).alias("checksum"),
-    )
