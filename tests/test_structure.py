@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, IntegerType, LongType, StructField, StructType
 
 from gridweave.operators import structure as S
@@ -164,3 +165,19 @@ def test_distributed_anchor_path_matches_loop(spark, tol):
         for i in range(len(boxes)):
             g = got[(img, i)]
             assert (g.row, g.col, g.row_span, g.col_span) == (row[i], col[i], rs[i], cs[i]), (img, i)
+
+
+def test_composite_key_light_and_distributed_agree(spark):
+    data = random_images(np.random.default_rng(5), 12, 30)
+    rows = [(img // 4, img % 4, i, *map(float, b)) for img, boxes in data.items() for i, b in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "page_id bigint, cluster_id int, det_idx int, l float, t float, r float, b float")
+    keys = ["page_id", "cluster_id"]
+    cols = keys + ["det_idx", "row", "col", "row_span", "col_span"]
+    light = S.assign_cells(df, keys, heavy_threshold=None).select(*cols)
+    heavy = S.assign_cells(df, keys, heavy_threshold=3).select(*cols)
+    assert light.count() == heavy.count() == len(rows)
+    assert light.exceptAll(heavy).count() == 0
+    for img, boxes in data.items():
+        row, col, rs, cs, _, _ = loop_table(boxes, 10.0)
+        got = {r.det_idx: r for r in heavy.filter((F.col("page_id") == img // 4) & (F.col("cluster_id") == img % 4)).collect()}
+        assert [(got[i].row, got[i].col, got[i].row_span, got[i].col_span) for i in range(len(boxes))] == list(zip(row, col, rs, cs))
