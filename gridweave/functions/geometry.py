@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from gridweave.constants import READING_ORDER_ROW_WEIGHT
+
 EDGES = ("l", "t", "r", "b")
 
 
@@ -79,7 +81,7 @@ def narrow(x: str | Column) -> Column:
 
 def reading_order_key(l="l", t="t") -> Column:
     """O1: reading-order sort key ``l + 100 * t``."""
-    return col(l) + F.lit(100) * col(t)
+    return col(l) + F.lit(READING_ORDER_ROW_WEIGHT) * col(t)
 
 
 def edge_map(prefix: str = "", names=EDGES) -> dict:

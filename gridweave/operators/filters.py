@@ -11,10 +11,7 @@ from gridweave.functions import geometry as G
 from gridweave.functions import labels as L
 from gridweave.functions.scores import threshold_literal, validate_threshold
 
-DEFAULT_THRESHOLD = 0.5
-CELL_INPUT = 640     # cell detector input edge (P5)
-LAYOUT_INPUT = 800   # layout detector input edge (P5)
-TABLE_SCALE = 2.0    # page render scale for table crops (P14)
+from gridweave.constants import CELL_INPUT, DEFAULT_THRESHOLD, LAYOUT_INPUT, TABLE_SCALE  # noqa: E402,F401
 
 
 def confidence_filter(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, score: str = "score") -> DataFrame:

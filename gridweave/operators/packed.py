@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FIXED_SLOTS = 300  # a fixed-slot detector emits exactly this many rows per image
+from gridweave.constants import DETECTION_SLOTS as FIXED_SLOTS  # noqa: E402
 
 
 def count_ranges(counts: DataFrame, batch: str = "batch_id", seq: str = "seq", cnt: str = "cnt") -> DataFrame:

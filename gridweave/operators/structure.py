@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType
 
 
-DEFAULT_TOLERANCE = 10.0
+from gridweave.constants import GROUPING_TOLERANCE as DEFAULT_TOLERANCE  # noqa: E402
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:

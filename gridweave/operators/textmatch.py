@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.text import py_strip
 
-DEFAULT_OVERLAP = 0.3
+from gridweave.constants import TEXT_OVERLAP as DEFAULT_OVERLAP  # noqa: E402
+
 BACKEND_OVERLAP = 0.5  # page-text lookup under a box (fallback)
 DEFAULT_TILE = 64.0
 

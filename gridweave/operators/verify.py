@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from gridweave.functions.geometry import reading_order_key
 from gridweave.operators.ranking import bucketed_row_number
 
-SCORE_TOLERANCE = 0.01   # absolute, strict
-POSITION_TOLERANCE = 5   # pixels, absolute, strict
+from gridweave.constants import POSITION_TOLERANCE, SCORE_TOLERANCE  # noqa: E402
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
