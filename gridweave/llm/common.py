@@ -216,3 +216,36 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit hashes as Spark's long."""
     return x.view(np.int64)
+
+
+# ---------------------------------------------------------------- a bitmap of fixed size
+
+BLOOM_BITS = 1 << 24  # two megabytes, whatever the number of values
+
+
+def bloom(values: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter over a long column, built by one aggregation into words of 64 bits.
+
+    Its size is fixed, so it may be broadcast. It only spares rows a shuffle:
+    what it lets pass wrongly, the join behind it drops.
+    """
+    h = F.col(column).cast("long")
+    bits = values.select(
+        F.explode(F.array(F.pmod(h, F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned(h, 24), F.lit(BLOOM_BITS)))).alias("bit")
+    )
+    word = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")
+    )
+    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    got = word.toArrow()  # at most BLOOM_BITS / 64 rows
+    out[got["word"].to_numpy()] = got["mask"].to_numpy()
+    return out.view(_U)
+
+
+def in_bloom(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes may be in the filter."""
+    mask = _U(BLOOM_BITS - 1)
+    hit = np.ones(len(h), bool)
+    for bit in (h & mask, (h >> _U(24)) & mask):
+        hit &= (words[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
+    return hit

@@ -25,6 +25,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridweave.llm.training_order import training_order
 
@@ -34,6 +40,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_token_counts": op4_token_counts,
+    "op7_near_duplicates": op7_near_duplicates,
     "op10_training_order": op10_training_order,
 }
 ORACLES: dict[str, str] = {}
