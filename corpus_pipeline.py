@@ -22,10 +22,9 @@ from gridweave.llm.queries import TOKENIZER
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from gridweave.llm.toxicity import fit, toxic_score
+    from gridweave.llm.toxicity import drop_toxic, fit
 
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.filter(toxic_score(model, F.col("text")) < 0.5)
+    return drop_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,22 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(held, name)
 
 
+class Shared:
+    """A broadcast object of this package; workers need no installed copy of its class."""
+
+    def __init__(self, spark: SparkSession, held: object):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(held))
+
+    @property
+    def value(self) -> object:
+        if "held" not in self.__dict__:
+            self.held = cloudpickle.loads(self.sent.value)
+        return self.held
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent}
+
+
 # ---------------------------------------------------------------- text columns
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

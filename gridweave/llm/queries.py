@@ -19,6 +19,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridweave.llm.token_counts import count_tokens
 
@@ -31,6 +37,19 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.toxicity import fit, scored
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridweave.llm.training_order import training_order
 
@@ -39,8 +58,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_nearest": op8_nearest,
+    "op9_toxicity": op9_toxicity,
     "op10_training_order": op10_training_order,
 }
 ORACLES: dict[str, str] = {}
