@@ -19,7 +19,6 @@ from gridweave.session import checkpoint_dir
 
 SLICE_BYTES = 1 << 20  # text handled at once inside a task (or one text, if that is longer)
 _U = np.uint64
-_MULT = _U(0x9E3779B97F4A7C15)
 
 
 # ---------------------------------------------------------------- staging
@@ -133,32 +132,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, kept per worker."""
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so both have inverses
+
+
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash base and of its inverse, kept per worker."""
     held = worker_cache("powers", dict)
-    if len(held.get("up", ())) < n:
+    if len(held.get((base, "up"), ())) < n:
         m = max(n, 1 << 20) + 1
-        base, inv = int(_MULT), pow(int(_MULT), -1, 1 << 64)
-        for name, r in (("up", base), ("down", inv)):
+        for name, r in (("up", _BASES[base]), ("down", pow(_BASES[base], -1, 1 << 64))):
             p = np.ones(1, _U)
-            step = r
             while len(p) < m:  # doubling: p[k + i] = p[k] * p[i]
                 p = np.concatenate([p, p * _U(pow(r, len(p), 1 << 64))])
-            held[name] = p[:m]
-            del step
-    return held["up"], held["down"]
+            held[base, name] = p[:m]
+    return held[base, "up"], held[base, "down"]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, base: int = 0) -> np.ndarray:
     """``H`` with ``span_hash(H, s, e)`` the hash of ``data[s:e]`` wherever it stands."""
-    up, _ = powers(len(data) + 1)
+    up, _ = powers(len(data) + 1, base)
     out = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=out[1:])
     return out
 
 
-def span_hash(pre: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    _, down = powers(len(pre))
+def span_hash(pre: np.ndarray, s: np.ndarray, e: np.ndarray, base: int = 0) -> np.ndarray:
+    _, down = powers(len(pre), base)
     return mix((pre[e] - pre[s]) * down[s])
 
 
@@ -240,29 +239,31 @@ def signed(x: np.ndarray) -> np.ndarray:
 BLOOM_BITS = 1 << 24  # two megabytes, whatever the number of values
 
 
-def bloom(values: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter over a long column, built by one aggregation into words of 64 bits.
+def bloom(values: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of ``bits`` (a power of two) over a long column, built by one aggregation into 64-bit words.
 
     Its size is fixed, so it may be broadcast. It only spares rows a shuffle:
-    what it lets pass wrongly, the join behind it drops.
+    what it lets pass wrongly, the exact step behind it drops.
     """
     h = F.col(column).cast("long")
-    bits = values.select(
-        F.explode(F.array(F.pmod(h, F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned(h, 24), F.lit(BLOOM_BITS)))).alias("bit")
+    shift = bits.bit_length() - 1
+    spots = values.select(
+        F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, shift), F.lit(bits)))).alias("bit")
     )
-    word = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+    word = spots.groupBy(F.shiftright("bit", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")
     )
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    got = word.toArrow()  # at most BLOOM_BITS / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    got = word.toArrow()  # at most bits / 64 rows
     out[got["word"].to_numpy()] = got["mask"].to_numpy()
     return out.view(_U)
 
 
 def in_bloom(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the unsigned hashes may be in the filter."""
-    mask = _U(BLOOM_BITS - 1)
+    bits = len(words) * 64
+    mask, shift = _U(bits - 1), _U(bits.bit_length() - 1)
     hit = np.ones(len(h), bool)
-    for bit in (h & mask, (h >> _U(24)) & mask):
+    for bit in (h & mask, (h >> shift) & mask):
         hit &= (words[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
     return hit

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Words, bloom, in_bloom, mix, shingles, signed, slices, stage, text_rows
+from gridweave.llm.common import Shared, Words, bloom, in_bloom, mix, shingles, signed, slices, stage, text_rows
 from gridweave.llm.components import components
 
 SHINGLE_WORDS, BANDS, BAND_ROWS, SKETCH_BITS, SKETCH_FLOOR, BLOCK = 5, 40, 5, 512, 0.55, 256
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stage(in_bands.join(size.select("band", "n", "lead"), "band"), "buckets")
 
     wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "digest", F.col("least").alias("doc_id"))
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(_low_eight("digest").alias("h")), "h"))
+    bits = Shared(docs.sparkSession, bloom(wanted.select(_low_eight("digest").alias("h")), "h"))
     full = rows.mapInArrow(_set_batches(bits), f"doc_id {id_type}, digest binary, shingles binary")
     sets = stage(
         full.join(wanted, ["doc_id", "digest"]).dropDuplicates(["class"]).select("class", "shingles"), "sets"

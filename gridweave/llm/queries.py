@@ -25,12 +25,24 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.pii import find
+
+    return find(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridweave.llm.token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridweave.llm.near_dup import near_duplicates
 
@@ -59,7 +71,9 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
+    "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
