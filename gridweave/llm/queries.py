@@ -43,6 +43,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridweave.llm.near_dup import near_duplicates
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_licenses": op6_licenses,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
