@@ -41,18 +41,22 @@ SENTENCES = {
     "lgpl": "you can redistribute it and or modify it under the terms of the gnu lesser general public license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "mpl": "this source code form is subject to the terms of the mozilla public license",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by": "licensed under a creative commons attribution 4 0 international license",
     "public-domain": "this is free and unencumbered software released into the public domain",
     "all-rights-reserved": "copyright all rights reserved",
 }
 SLACK, ENOUGH = 3, 0.6
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Words in lower case A-Z; what is not a letter, a digit or beyond ASCII stands between them."""
-    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), "")
+    """Words in lower case; what is not a letter, a digit or beyond ASCII stands between them.
+
+    ``lower`` changes letters beyond A-Z too. That makes no word of them equal
+    to a template's: only the Kelvin sign turns into an ASCII letter (k), and
+    no template has a k.
+    """
+    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
 
 def templates(docs: DataFrame) -> DataFrame:
