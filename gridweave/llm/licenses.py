@@ -86,25 +86,21 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id", "key", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p", "x")
     ).select("doc_id", "key", "p", F.col("x.a"), F.col("x.b")).filter(F.col("b").isNotNull())
     t = templates(docs)
-    hits = pairs.withColumn("hash", F.xxhash64("a", "b")).join(t, "hash").filter((F.col("a") == F.col("first")) & (F.col("b") == F.col("second")))
+    hits = pairs.withColumn("hash", F.xxhash64("a", "b")).join(F.broadcast(t), "hash").filter((F.col("a") == F.col("first")) & (F.col("b") == F.col("second")))
     by = ["doc_id", "key", "template", "label", "base", "size"]
     voted = hits.groupBy(*by, (F.col("p") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("places"), F.max("p").alias("last")
     )  # a set of at most the template's places
-    exact = voted.filter(F.col("base") & (F.size("places") == F.col("size"))).select(
-        "doc_id", "key", "label", "base", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("size")).alias("last_word"), F.lit(1.0).alias("coverage")
-    )
     near = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
-    starts = (F.col("diagonal") - F.lag("diagonal").over(near) > SLACK).cast("int")
-    runs = voted.filter(~F.col("base")).withColumn("run", F.coalesce(F.sum(F.coalesce(starts, F.lit(0))).over(near), F.lit(0)))
+    parted = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(near) > SLACK)  # a phrase stands on one diagonal
+    runs = voted.withColumn("parted", F.coalesce(parted, F.lit(False)).cast("int")).withColumn("run", F.sum("parted").over(near))
     merged = runs.groupBy(*by, "run").agg(
         F.min("diagonal").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("places")
     )  # at most SLACK + 1 diagonals a word of the span, and a set of places each
     share = F.size("places") / F.col("size")
-    verified = merged.filter(share >= ENOUGH).select(
+    return merged.filter(share >= F.when(F.col("base"), 1.0).otherwise(ENOUGH)).select(
         "doc_id", "key", "label", "base", F.greatest("first", F.lit(0)).alias("first_word"), (F.col("last") + 1).alias("last_word"), share.alias("coverage")
     )
-    return exact.unionByName(verified)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
