@@ -17,9 +17,9 @@ positions that are ranked together:
 * The others are ranked again at a greater length, as ranges of 16 positions
   and then as single ones, whose stretch is the string itself.
 * A range whose *whole* extent (``LENGTH + n - 1`` bytes) stands elsewhere
-  is repeated at all its positions. Of such equal ranges one goes on as their
-  witness; the others need no further ranking. So large groups of copies
-  shrink to one row at the first chance.
+  is repeated at all its positions. If others share its rank besides, one of
+  the equal ranges goes on as their witness; none of the rest needs further
+  ranking. So large groups of copies are settled at the first chance.
 
 Ranks are compared by hash: 64 bits where a clash only costs work, 128 bits
 where a repeat is accepted. After the first ranking only texts with a
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.common import Shared, bloom, buffers, in_bloom, mix, prefix_hash, signed, slices, span_hash, stage, text_rows
 
-LENGTH, GRAM, WIDE, FINE, FILTER_BITS = 400, 16, 128, 16, 1 << 27
+LENGTH, GRAM, LEVELS, FILTER_BITS = 400, 16, (128, 16, 1), 1 << 27
 _U = np.uint64
 _PART = 4 << 20  # longest stretch of one text handled at once
 _MASK = _U((1 << 24) - 1)
@@ -65,13 +65,13 @@ class Ranges:
     def __init__(self, a: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         self.a, self.lo, self.hi = a, lo, hi
 
-    def cut(self, n: int) -> tuple[Ranges, np.ndarray]:
-        """Cut at multiples of ``n``; also says which range each part comes from."""
+    def cut(self, n: int) -> Ranges:
+        """Cut at multiples of ``n``."""
         first = self.lo // n
         count = self.hi // n - first + 1
         of = np.repeat(np.arange(len(self.a)), count)
         b = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
-        return Ranges(self.a[of], np.maximum(self.lo[of], b * n), np.minimum(self.hi[of], b * n + n - 1)), of
+        return Ranges(self.a[of], np.maximum(self.lo[of], b * n), np.minimum(self.hi[of], b * n + n - 1))
 
     def take(self, at: np.ndarray) -> Ranges:
         return Ranges(self.a[at], self.lo[at], self.hi[at])
@@ -92,7 +92,7 @@ class Ranges:
 
 
 def ranges(data: np.ndarray, offs: np.ndarray) -> tuple[Ranges, np.ndarray]:
-    """Ranges of ``WIDE`` over some texts one behind the other, and their first-round ranks."""
+    """Ranges of the first level over some texts one behind the other, and their first-round ranks."""
     n = len(data)
     if n < LENGTH:
         none = np.zeros(0, np.int64)
@@ -110,8 +110,8 @@ def ranges(data: np.ndarray, offs: np.ndarray) -> tuple[Ranges, np.ndarray]:
     new = np.flatnonzero((np.diff(p) != 1) | (np.diff(lead[p]) != 0)) + 1
     first, last = p[np.concatenate([[0], new])], p[np.concatenate([new - 1, [len(p) - 1]])]
     a = lead[first]
-    got, _ = Ranges(a, a - last, a - first).cut(WIDE)
-    return got, got.core(pre, WIDE)
+    got = Ranges(a, a - last, a - first).cut(LEVELS[0])
+    return got, got.core(pre, LEVELS[0])
 
 
 def stretches(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -165,47 +165,43 @@ def _second(bits):
 class Text:
     """A text on its way through the rounds, rebuilt from its row and the marks found so far.
 
-    A mark is ``4 * number + 2 * whole + witness``: the numbered range's rank
-    is repeated, or (``whole``) its extent is; the witness of equal extents
-    goes on for them.
+    A mark is ``4 * number + 2 * whole + witness`` with a count: so many rows
+    have the rank of the numbered range, or (``whole``) its extent.
     """
 
-    def __init__(self, raw: bytes, packed: bytes, marks: list):
+    def __init__(self, raw: bytes, packed: bytes, marks: list[tuple]):
         self.data = np.frombuffer(raw, np.uint8)
-        self.ranges = Ranges(*np.frombuffer(packed, "<i4").astype(np.int64).reshape(3, -1))
-        self.marks = [np.array(m if m is not None else [], np.int64) for m in marks]
+        self.marks = marks
         self.done: list[Ranges] = []  # ranges repeated at all positions
+        self.now = Ranges(*np.frombuffer(packed, "<i4").astype(np.int64).reshape(3, -1))
+        for level, (mark, count) in zip(LEVELS, marks, strict=False):
+            self._step(level, mark, count)
         self._pre: list = []
 
+    def _step(self, level: int, mark: np.ndarray, count: np.ndarray) -> None:
+        """Leave out what the marks settle; cut the rest for the next level."""
+        core, whole, witness = (np.zeros(len(self.now.a), np.int64) for _ in range(3))
+        is_whole = mark & 2 == 2
+        core[mark[~is_whole] >> 2] = count[~is_whole]
+        whole[mark[is_whole] >> 2] = count[is_whole]
+        witness[mark[is_whole] >> 2] = mark[is_whole] & 1
+        if level == 1:
+            self.done.append(self.now.take(np.flatnonzero(core)))
+            return
+        self.done.append(self.now.take(np.flatnonzero(whole)))
+        # a witness is needed only by others with this rank, besides those of equal extent
+        on = (core > 0) & ((whole == 0) | ((witness == 1) & (core > whole)))
+        self.now = self.now.take(np.flatnonzero(on)).cut(LEVELS[LEVELS.index(level) + 1])
+
     def pre(self, base: int) -> np.ndarray:
         while len(self._pre) <= base:
             self._pre.append(prefix_hash(self.data, len(self._pre)))
         return self._pre[base]
 
-    def wide(self) -> Ranges:
-        return self.ranges
-
-    def fine(self) -> Ranges:
-        m = self.marks[0]
-        self.done.append(self.ranges.take(m >> 2))
-        on = np.ones(len(self.ranges.a), bool)
-        on[(m >> 2)[m & 1 == 0]] = False
-        return self.ranges.take(np.flatnonzero(on)).cut(FINE)[0]
-
-    def single(self) -> Ranges:
-        r, m = self.fine(), self.marks[1]
-        whole = m[m & 2 == 2]
-        self.done.append(r.take(whole >> 2))
-        on = np.zeros(len(r.a), bool)
-        on[(m >> 2)[m & 2 == 0]] = True
-        on[(whole >> 2)[whole & 1 == 0]] = False
-        return r.take(np.flatnonzero(on)).cut(1)[0]
-
     def removed(self) -> np.ndarray:
-        """Which bytes go."""
-        r = self.single()
+        """Which bytes go, after all rounds."""
         edge = np.zeros(len(self.data) + 1, np.int64)
-        for x in [*self.done, r.take(self.marks[2] >> 2)]:
+        for x in self.done:
             np.add.at(edge, x.a - x.hi, 1)
             np.add.at(edge, x.a - x.lo + LENGTH, -1)
         return np.cumsum(edge[:-1]) > 0
@@ -213,8 +209,12 @@ class Text:
 
 def _texts(batch: pa.RecordBatch, rounds: int) -> Iterator[tuple[int, Text]]:
     col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+
+    def longs(name: str, i: int) -> np.ndarray:
+        return np.array(col[name][i].as_py() or [], np.int64)
+
     for i in range(batch.num_rows):
-        marks = [col[f"m{k}"][i].as_py() for k in range(rounds)]
+        marks = [(longs(f"m{k}", i), longs(f"n{k}", i)) for k in range(rounds)]
         yield i, Text(col["bytes"][i].as_py(), col["ranges"][i].as_py(), marks)
 
 
@@ -230,16 +230,12 @@ def _ranked(rounds: int):
         for batch in batches:
             out, size = [], 0
             for i, t in _texts(batch, rounds):
-                r = (t.wide, t.fine, t.single)[rounds]()
+                r, n = t.now, LEVELS[rounds]
                 if not len(r.a):
                     continue
-                parts = []
                 number = np.arange(len(r.a))
-                if rounds:
-                    n = (FINE, 1)[rounds - 1]
-                    parts.append((r.core(t.pre(0), n), r.core(t.pre(1), n, 1), number * 4))
-                if rounds < 2:
-                    n = (WIDE, FINE)[rounds]
+                parts = [(r.core(t.pre(0), n), r.core(t.pre(1), n, 1), number * 4)]
+                if n > 1:
                     f = r.full(n)
                     x = r.take(f)
                     parts.append((x.extent(t.pre(0), n), x.extent(t.pre(1), n, 1), number[f] * 4 + 2))
@@ -272,21 +268,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "texts",
     )
     on = texts.filter(F.col("bytes").isNotNull()).select("row", "bytes", "ranges", "doc_id", "n_bytes")
-    for k in range(3):
+    for k in range(len(LEVELS)):
         ranked = on.drop("doc_id", "n_bytes").mapInArrow(_ranked(k), "k1 bigint, k2 bigint, row bigint, mark bigint")
         ranked = stage(ranked, f"ranks{k}")
         again = ranked.groupBy("k1", "k2").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "mark")).alias("least")
-        ).filter("n > 1").select("k1", "k2", "least")
+        ).filter("n > 1")
         witness = (F.struct("row", "mark") == F.col("least")).cast("bigint")
-        marks = ranked.join(again, ["k1", "k2"]).select("row", (F.col("mark") + witness).alias("mark"))
-        marks = stage(marks.groupBy("row").agg(F.sort_array(F.collect_list("mark")).alias(f"m{k}")), f"marks{k}")
+        marks = ranked.join(again, ["k1", "k2"]).select("row", (F.col("mark") + witness).alias("mark"), "n")
+        marks = marks.groupBy("row").agg(F.collect_list(F.struct("mark", "n")).alias("x"))  # of one text
+        marks = stage(marks.select("row", F.col("x.mark").alias(f"m{k}"), F.col("x.n").alias(f"n{k}")), f"marks{k}")
         on = on.join(marks, "row", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "bytes", 4 << 20):
-                gone = [t.removed() for _, t in _texts(batch, 3)]
+                gone = [t.removed() for _, t in _texts(batch, len(LEVELS))]
                 raw = (np.frombuffer(x, np.uint8) for x in batch.column(batch.schema.get_field_index("bytes")).to_pylist())
                 kept = [x[~g].tobytes() for x, g in zip(raw, gone, strict=True)]
                 spans = [int(np.sum(g & ~np.concatenate([[False], g[:-1]]))) for g in gone]
