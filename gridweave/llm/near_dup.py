@@ -6,14 +6,16 @@
    *class* at once, so groups of exact copies cost one row from here on.
 2. Classes that share a band meet in a bucket. Each is first paired with the
    bucket's smallest member only. A pair goes on if its sketches' XOR holds
-   few enough ones for a similarity of ``SKETCH_FLOOR`` or more (six standard
+   few enough ones for a similarity of ``SKETCH_FLOOR`` or more (four standard
    deviations under the threshold); then the full sets are intersected.
+   The first few bands go ahead; in the others only members that are not yet
+   in one component with the smallest are paired.
 3. Links make components. In a bucket whose members are all in one component
    there is nothing left to link. In the others, members outside its largest
    component are compared by sketch, in blocks of bounded size, with all
    members of other components: at first only a spanning forest of the best
    estimates goes to verification, then, after those links have joined
-   components, every pair that is left. No pair within a component is ever
+   components, every pair that is left is verified within its block. No pair within a component is ever
    made, and no bucket is gathered.
 
 A pair at the threshold itself shares no band with probability
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import Shared, Words, bloom, in_bloom, mix, shingles, signed, slices, stage, text_rows
 from gridweave.llm.components import components
 
-SHINGLE_WORDS, BANDS, BAND_ROWS, SKETCH_BITS, SKETCH_FLOOR, BLOCK = 5, 40, 5, 512, 0.55, 256
+SHINGLE_WORDS, BANDS, BAND_ROWS, SKETCH_BITS, SKETCH_FLOOR, FIRST_BANDS, BLOCK = 5, 40, 5, 512, 0.62, 4, 256
 _U = np.uint64
 _SAMPLES = BANDS * BAND_ROWS
 
@@ -143,16 +145,7 @@ def _set_batches(bits):
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                few, many = (a, b) if len(a) <= len(b) else (b, a)
-                if 100 * len(few) < percent * len(many):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                both = int((many[at] == few).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = [_similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -195,13 +188,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return two.mapInArrow(run, "a bigint, b bigint")
 
-    in_bands = classes.select("class", F.explode("bands").alias("band"))
+    in_bands = classes.select("class", F.posexplode("bands").alias("no", "band"))
     size = in_bands.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("class").alias("lead"), F.bit_xor(F.xxhash64("class")).alias("mark")
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("lead"), F.bit_xor(F.xxhash64("class")).alias("mark"), F.min("no").alias("no")
     ).filter("n > 1")
     # bands that hold the same classes are one bucket
-    size = size.groupBy("n", "lead", "mark").agg(F.min("band").alias("band"))
-    buckets = stage(in_bands.join(size.select("band", "n", "lead"), "band"), "buckets")
+    size = size.groupBy("n", "lead", "mark").agg(F.min(F.struct("no", "band")).alias("one")).select("n", "lead", "one.*")
+    buckets = stage(in_bands.drop("no").join(size, "band"), "buckets")
 
     wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "digest", F.col("least").alias("doc_id"))
     bits = Shared(docs.sparkSession, bloom(wanted.select(_low_eight("digest").alias("h")), "h"))
@@ -215,13 +208,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return stage(two.mapInArrow(_verified(percent), "a bigint, b bigint"), tag)
 
     most = most_ones(SKETCH_FLOOR)
-    star = buckets.filter("class != lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
-    links = verified(close(star, most), "links0")
+    star = buckets.filter("class != lead").select("no", F.col("lead").alias("a"), F.col("class").alias("b"))
+    links = verified(close(star.filter(F.col("no") < FIRST_BANDS).drop("no").distinct(), most), "links-first")
+    root_of = components(links)
+    later = star.filter(F.col("no") >= FIRST_BANDS).drop("no").distinct()
+    later = later.join(root_of.toDF("a", "ra"), "a", "left").join(root_of.toDF("b", "rb"), "b", "left")
+    later = later.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    links = stage(links.unionByName(verified(close(later, most), "links-later")), "links")
     for turn in ("best", "all"):
         found = components(links)
-        rest = stage(_blocks(buckets, found, sketches), f"blocks-{turn}")
-        more = rest.groupBy("band", "o", "d", "own").applyInArrow(_across(most, turn == "best"), "a bigint, b bigint").distinct()
-        links = stage(links.unionByName(verified(more, f"links-{turn}")), "links")
+        best = turn == "best"
+        rest = _blocks(buckets, found, sketches if best else sketches.join(sets, "class")).groupBy("band", "o", "d", "own")
+        more = rest.applyInArrow(_across(most, None if best else percent), "a bigint, b bigint").distinct()
+        links = stage(links.unionByName(verified(more, "links-best") if best else more), "links")
     root = components(links)
 
     low = classes.join(root.withColumnRenamed("id", "class"), "class", "left").select(
@@ -280,13 +279,30 @@ def _blocks(buckets: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFr
     return dealt.join(sketches, "class")
 
 
-def _across(most: int, forest: bool):
-    """Pairs of one block, of different components and close by sketch; with ``forest`` a spanning forest of the closest."""
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two full sets, as sorted 64-bit hashes, reach the similarity."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(few) < percent * len(many):
+        return False
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    both = int((many[at] == few).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _across(most: int, percent: int | None):
+    """Pairs of one block, of different components and close by sketch, nearest first, that still join two components.
+
+    Without ``percent`` they are a spanning forest of estimates, to be
+    verified; with it every pair is verified here, on the full sets that the
+    rows bring, and only links come out.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, root, side = (table[c].to_numpy() for c in ("class", "root", "side"))
         bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), _U).reshape(len(ids), -1)
+        sets = table["shingles"].to_pylist() if percent is not None else []
         own = bool(table["own"][0].as_py())
         left = np.arange(len(ids)) if own else np.flatnonzero(side == 0)
         right = left if own else np.flatnonzero(side == 1)
@@ -296,23 +312,20 @@ def _across(most: int, forest: bool):
             ones = apart(bits[j], bits[i])
             near = ones <= most
             got += zip(ones[near].tolist(), [int(i)] * int(near.sum()), j[near].tolist(), strict=True)
-        if forest:
-            up: dict = {}
-
-            def top(x):
-                while up.get(x, x) != x:
-                    x = up[x]
-                return x
-
-            kept = []
-            for ones, i, j in sorted(got):
-                a, b = top(root[i]), top(root[j])
-                if a != b:
-                    up[a] = b
-                    kept.append((ones, i, j))
-            got = kept
-        a = [int(min(ids[i], ids[j])) for _, i, j in got]
-        b = [int(max(ids[i], ids[j])) for _, i, j in got]
+        up: dict = {}
+
+        def top(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        a, b = [], []
+        for _, i, j in sorted(got):
+            x, y = top(root[i]), top(root[j])
+            if x != y and (percent is None or _similar(sets[i], sets[j], percent)):
+                up[x] = y
+                a.append(int(min(ids[i], ids[j])))
+                b.append(int(max(ids[i], ids[j])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
