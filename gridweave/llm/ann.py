@@ -38,7 +38,7 @@ class Tree:
     def __init__(self, x: np.ndarray, rng: np.random.Generator, leaf: int):
         self.way, self.cut, self.kids, self.held = [], [], [], []
         self.root = self._grow(x, np.arange(len(x)), rng, leaf)
-        self.way = np.array(self.way, np.float64).reshape(len(self.cut), -1)
+        self.way = np.array(self.way, np.float64).reshape(len(self.cut), x.shape[1])
 
     def _grow(self, x: np.ndarray, at: np.ndarray, rng: np.random.Generator, leaf: int) -> int:
         if len(at) > leaf:
