@@ -26,9 +26,11 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 def verify_text(actual: DataFrame, expected: DataFrame, key: str | Sequence[str] = "image_id", col: str = "text") -> DataFrame:
     """V1: exact equality per key (null-safe); a side missing counts as a mismatch."""
     keys = _keys(key)
-    a = actual.select(*keys, F.col(col).alias("actual"))
-    e = expected.select(*keys, F.col(col).alias("expected"))
-    return a.join(e, keys, "full_outer").withColumn("ok", F.col("actual").eqNullSafe(F.col("expected")))
+    a = actual.select(*keys, F.col(col).alias("actual"), F.lit(True).alias("_a"))
+    e = expected.select(*keys, F.col(col).alias("expected"), F.lit(True).alias("_e"))
+    both = F.col("_a").isNotNull() & F.col("_e").isNotNull()  # a null text is not a missing row
+    ok = both & F.col("actual").eqNullSafe(F.col("expected"))
+    return a.join(e, keys, "full_outer").withColumn("ok", ok).drop("_a", "_e")
 
 
 def verify_classification(

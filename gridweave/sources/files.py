@@ -64,13 +64,13 @@ def read_golden(spark: SparkSession, path: str, key: str = "detection") -> DataF
 
 
 def golden_records(dets: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
-    """Per image, detections in reading order, box rounded to 2 places, score to 4."""
+    """Per image, detections in reading order, box rounded half to even to 2 places, score to 4."""
     keys = [key] if isinstance(key, str) else list(key)
     rec = F.struct(
         reading_order_key().alias("_o"),
         F.col("det_idx").alias("_i"),
-        F.struct(*[F.round(F.col(e).cast("double"), 2).alias(e) for e in "ltrb"]).alias("bbox"),
-        F.round(F.col("score").cast("double"), 4).alias("confidence"),
+        F.struct(*[F.bround(F.col(e).cast("double"), 2).alias(e) for e in "ltrb"]).alias("bbox"),
+        F.bround(F.col("score").cast("double"), 4).alias("confidence"),
     )
     g = dets.groupBy(*keys).agg(F.sort_array(F.collect_list(rec)).alias("_r"))
     return g.select(*keys, F.transform("_r", lambda x: F.struct(x["bbox"].alias("bbox"), x["confidence"].alias("confidence"))).alias("detection"))
