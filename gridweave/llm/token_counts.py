@@ -1,12 +1,14 @@
 """Operator 4: token counts without token ids.
 
 Texts are taken in blocks of a few megabytes. A block lists its distinct
-pre-tokens, and each of its texts becomes a frequency vector over that list.
-The lists of all blocks meet in one join: every distinct pre-token of the
-corpus is cut into pieces once, and its number of pieces goes back to the
-blocks that hold it, where a text's count is the sum of frequency times
-pieces. What is shuffled are distinct pre-tokens by block, not words by text,
-and no id is ever made.
+pre-tokens, and each of its texts becomes a frequency vector over that list;
+the vectors of a block travel as one compressed row. The lists of all blocks
+are dealt out by pre-token: every distinct pre-token of the corpus is cut into
+pieces once, and its number of pieces is joined back to the blocks that hold
+it, where a text's count is the sum of frequency times pieces. What is
+shuffled are distinct pre-tokens by block, not words by text, and no id is
+ever made. A pre-token has one row for each block at most, so none is hot
+however often it stands in the texts.
 
 Null texts are empty; empty texts count 0. Repeated rows give one result row
 each. Special strings in a text count as the library counts them.
@@ -29,7 +31,7 @@ from gridweave.llm.wordbpe import _PIECES, WordBpe, plain_rows, read_tokenizer,
 BLOCK_BYTES = 16 << 20
 
 
-def _vectors(col: pa.Array, pieces, bpe: WordBpe) -> tuple[list[str], list[tuple[bytes, bytes]]]:
+def _vectors(col: pa.Array, pieces, bpe: WordBpe) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
     """Distinct pre-tokens of some texts, and by text the numbers and frequencies of those that it holds."""
     number: dict[str, int] = {}
     put = lambda p: number.setdefault(p, len(number))
@@ -53,17 +55,24 @@ def _vectors(col: pa.Array, pieces, bpe: WordBpe) -> tuple[list[str], list[tuple
     return list(number), out
 
 
-def _packed(number: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
+def _packed(number: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A frequency vector: steps between ascending pre-token numbers, and the frequencies."""
     u, back = np.unique(number, return_inverse=True)
-    n = np.bincount(back, weights=count, minlength=len(u)).astype("<u4")
-    small = len(n) == 0 or n.max() < 256
-    return np.diff(u, prepend=0).astype("<u4").tobytes(), n.astype("u1").tobytes() if small else n.tobytes()
+    return np.diff(u, prepend=0).astype("<u4"), np.bincount(back, weights=count, minlength=len(u)).astype("<u4")
 
 
-def _unpacked(steps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    u = np.cumsum(np.frombuffer(steps, "<u4").astype(np.int64))
-    return u, np.frombuffer(counts, "u1" if len(counts) == len(u) else "<u4").astype(np.int64)
+def _squeezed(vectors: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """The vectors of a block, one after the other: all steps, then all frequencies, byte by byte of equal weight."""
+    both = [np.concatenate([v[k] for v in vectors] or [np.zeros(0, "<u4")]) for k in (0, 1)]
+    flat = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in both)
+    return pa.Codec("zstd").compress(flat, asbytes=True)
+
+
+def _spread(squeezed: bytes, total: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = pa.Codec("zstd").decompress(squeezed, decompressed_size=8 * total, asbytes=True)
+    both = np.frombuffer(flat, np.uint8).reshape(2, 4, total)
+    steps, counts = (np.ascontiguousarray(x.T).view("<u4").ravel().astype(np.int64) for x in both)
+    return steps, counts
 
 
 def count_tokens(
@@ -77,55 +86,68 @@ def count_tokens(
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, task, no = worker_bpe(content.value), TaskContext.get().partitionId(), 0
-        kinds = None
+        kinds, names = None, ["block", "base", "ids", "n_bytes", "n_held", "vectors", "pieces"]
         for batch in batches:
             kinds = kinds or batch.schema.field(0).type
             for part in slices(batch, "text", block_bytes):
                 words, vectors = _vectors(part.column(1), _PIECES.findall, bpe)
                 n, block = part.num_rows, (task << 32) + no
                 no += 1
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.int64()), part.column(0), pc.cast(pc.binary_length(part.column(1)), pa.int64()),
-                     pa.array([v[0] for v in vectors], pa.binary()), pa.array([v[1] for v in vectors], pa.binary()), pa.nulls(n, pa.list_(pa.string()))],
-                    names=["block", "doc_id", "n_bytes", "steps", "counts", "pieces"],
+                    [pa.array([block], pa.int64()), pa.array([len(words)], pa.int64()), one(part.column(0)),
+                     one(pc.cast(pc.binary_length(part.column(1)), pa.int64())), one(pa.array([len(v[0]) for v in vectors], pa.int64())),
+                     pa.array([_squeezed(vectors)], pa.binary()), pa.nulls(1, pa.list_(pa.string()))],
+                    names=names,
                 )
                 for a in range(0, len(words), 1 << 16):  # the list of a block, in rows of bounded size
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block], pa.int64()), pa.nulls(1, kinds), pa.array([a], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
-                         pa.array([words[a : a + (1 << 16)]], pa.list_(pa.string()))],
-                        names=["block", "doc_id", "n_bytes", "steps", "counts", "pieces"],
+                        [pa.array([block], pa.int64()), pa.array([a], pa.int64()), pa.nulls(1, pa.list_(kinds)), pa.nulls(1, pa.list_(pa.int64())),
+                         pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([words[a : a + (1 << 16)]], pa.list_(pa.string()))],
+                        names=names,
                     )
 
     staged = stage(
-        rows.mapInArrow(blocks, f"block bigint, doc_id {id_type}, n_bytes bigint, steps binary, counts binary, pieces array<string>"), "counts"
+        rows.mapInArrow(
+            blocks, f"block bigint, base bigint, ids array<{id_type}>, n_bytes array<bigint>, n_held array<bigint>, vectors binary, pieces array<string>"
+        ),
+        "counts",
+    )
+    listed = staged.filter(F.col("pieces").isNotNull()).select("block", "base", F.posexplode("pieces").alias("at", "piece")).select(
+        "block", (F.col("base") + F.col("at")).cast("int").alias("number"), "piece"
     )
-    listed = staged.filter(F.col("pieces").isNotNull()).select(
-        "block", F.col("n_bytes").alias("base"), F.posexplode("pieces").alias("at", "piece")
-    ).select("block", (F.col("base") + F.col("at")).cast("int").alias("number"), "piece")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(content.value)
+        """Rows come by pre-token, so each is cut into pieces once, where it first stands."""
+        bpe, last, size = worker_bpe(content.value), None, 0
         for batch in batches:
-            n = [len(bpe.ids(p)) if bpe.special.search(p) else _size(bpe, p) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["piece", "n"])
-
-    counted = listed.select("piece").distinct().mapInArrow(sizes, "piece string, n int")
-    known = listed.join(counted, "piece").select(F.col("block").alias("of_block"), "number", "n")
-    vectors = staged.filter(F.col("pieces").isNull()).select("block", "doc_id", "n_bytes", "steps", "counts")
+            coded = batch.column(2).dictionary_encode()
+            n = []
+            for p in coded.dictionary.to_pylist():
+                if p != last:
+                    last, size = p, len(bpe.ids(p)) if bpe.special.search(p) else _size(bpe, p)
+                n.append(size)
+            of = pa.array(n, pa.int32()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), of], names=["of_block", "number", "n"])
+
+    known = listed.repartition("piece").sortWithinPartitions("piece").mapInArrow(sizes, "of_block bigint, number int, n int")
+    known = known.filter("n != 1")  # the others count once, and need not go back
+    texts = staged.filter(F.col("pieces").isNull()).drop("pieces")
 
     def total(texts: pa.Table, lists: pa.Table) -> pa.Table:
         """Sum frequency times pieces for the texts of one block."""
-        texts = texts.combine_chunks()
-        number = lists["number"].to_numpy()
-        n = np.zeros(int(number.max()) + 1 if len(number) else 0, np.int64)
-        n[number] = lists["n"].to_numpy()
-        sums = []
-        for s, c in zip(texts["steps"], texts["counts"], strict=True):
-            u, k = _unpacked(s.as_py(), c.as_py())
-            sums.append(int((n[u] * k).sum()))
-        return pa.table({"doc_id": texts["doc_id"], "n_bytes": texts["n_bytes"], "n_tokens": pa.array(sums, pa.int64())})
-
-    summed = vectors.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
+        out = []
+        for i in range(texts.num_rows):  # a block is one row
+            n = np.ones(texts["base"][i].as_py(), np.int64)
+            n[lists["number"].to_numpy()] = lists["n"].to_numpy()
+            ids, n_bytes, held = (texts[c][i].values for c in ("ids", "n_bytes", "n_held"))
+            ends = np.cumsum(held.to_numpy())
+            steps, counts = _spread(texts["vectors"][i].as_py(), int(ends[-1]))
+            sums = [int((n[np.cumsum(steps[a:z])] * counts[a:z]).sum()) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            out.append(pa.table({"doc_id": ids, "n_bytes": n_bytes, "n_tokens": pa.array(sums, pa.int64())}))
+        return pa.concat_tables(out)
+
+    summed = texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
         total, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint"
     )
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
