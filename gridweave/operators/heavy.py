@@ -9,7 +9,7 @@ a distributed job:
 1. ``next(s) = min{ v : fl(v - s) > tol }`` for every distinct start ``s``.
    ``fl(v - s)`` grows with ``v``, so ``next(s)`` is the first value at or
    above the exact threshold ``T(s)`` (the smallest representable ``x`` with
-   ``fl(x - s) > tol``; an Arrow UDF finds it with ``nextafter``). The lookup
+   ``fl(x - s) > tol``; an Arrow UDF finds it by bisection). The lookup
    is a running-min window over ``(image, value bucket)``; a start whose
    successor lies in a later bucket takes it from a small per-bucket table.
 2. The anchors are the chain ``a0 = min(s), next(a0), next(next(a0)), ...``.
@@ -36,20 +36,21 @@ from gridweave.session import materialize
 
 
 def _threshold_udf(tol: float, dtype: DataType):
-    np_t = np.float32 if isinstance(dtype, FloatType) else np.float64
+    np_t, int_t, bits = (np.float32, np.int32, 32) if isinstance(dtype, FloatType) else (np.float64, np.int64, 64)
 
     @F.pandas_udf(dtype)
     def threshold(a: pd.Series) -> pd.Series:
-        s = a.to_numpy(dtype=np_t)
-        t = np_t(tol)
-        x = (s + t).astype(np_t)
-        for _ in range(4):  # step down while the predecessor still passes
-            prev = np.nextafter(x, np_t(-np.inf)).astype(np_t)
-            x = np.where((prev - s).astype(np_t) > t, prev, x)
-        for _ in range(4):  # step up while x itself fails
-            up = np.nextafter(x, np_t(np.inf)).astype(np_t)
-            x = np.where((x - s).astype(np_t) > t, x, up)
-        return pd.Series(x)
+        """Bisects on the floats' ranks: their bit patterns, those of negative values mirrored, are ordered as they are."""
+        s, t, least = a.to_numpy(dtype=np_t), np_t(tol), np.iinfo(int_t).min
+        mirror = lambda i: np.where(i < 0, least - i, i).astype(int_t)
+        rank = lambda x: mirror(np.full(len(s), x, np_t).view(int_t))
+        lo, hi = rank(-np.inf), rank(np.inf)
+        with np.errstate(invalid="ignore"):
+            for _ in range(bits):
+                mid = (lo >> 1) + (hi >> 1) + (lo & hi & 1)
+                past = mirror(mid).view(np_t) - s > t
+                lo, hi = np.where(past, lo, mid), np.where(past, mid, hi)
+        return pd.Series(mirror(hi).view(np_t))
 
     return threshold
 

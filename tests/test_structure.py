@@ -22,29 +22,14 @@ SCHEMA = StructType(
 
 
 def loop_axis(starts, ends, tol):
-    """Scan cells by start; a start more than ``tol`` past the row's first start opens a row."""
+    """By definition: the chain of anchors first, then a count of anchors for every cell."""
     tol = np.float32(tol)
-    order = sorted(range(len(starts)), key=lambda i: starts[i])
-    idx, span = [0] * len(starts), [1] * len(starts)
-    first, k, open_cells = None, -1, []
-    for i in order:
-        s = starts[i]
-        if first is None:
-            first, k = s, 0
-        elif np.float32(s - first) > tol:
-            k, first = k + 1, s
-            still = []
-            for j in open_cells:
-                if np.float32(ends[j] - first) < tol:
-                    span[j] = k - idx[j]
-                else:
-                    still.append(j)
-            open_cells = still
-        idx[i] = k
-        open_cells.append(i)
-    for j in open_cells:
-        span[j] = 1 + k - idx[j]
-    return idx, span, (k + 1 if first is not None else 1)
+    chain = [min(starts)]
+    while later := [s for s in starts if np.float32(s - chain[-1]) > tol]:
+        chain.append(min(later))
+    idx = [sum(a <= s for a in chain) - 1 for s in starts]
+    span = [1 + sum(a > s and np.float32(e - a) >= tol for a in chain) for s, e in zip(starts, ends, strict=True)]
+    return idx, span, len(chain)
 
 
 def loop_table(boxes, tol):
@@ -167,6 +152,21 @@ def test_distributed_anchor_path_matches_loop(spark, tol):
             assert (g.row, g.col, g.row_span, g.col_span) == (row[i], col[i], rs[i], cs[i]), (img, i)
 
 
+def test_distributed_anchors_of_starts_around_zero(spark):
+    """A start near minus the tolerance: the first value past it lies close to zero, where floats are dense."""
+    rng = np.random.default_rng(3)
+    data = {img: [(*map(float, rng.uniform(-20, 20, 2).astype(np.float32)), 30.0, 30.0) for _ in range(40)] for img in range(6)}
+    data[6] = [(x, x, 310.0, 310.0) for x in (-9.9999, 0.0001002, 300.0)]
+    df = frame(spark, data)
+    got = {(r.image_id, r.det_idx): r for r in S.assign_cells(df, heavy_threshold=2).collect()}
+    for img, boxes in data.items():
+        row, col, rs, cs, _, _ = loop_table(boxes, 10.0)
+        for i in range(len(boxes)):
+            g = got[(img, i)]
+            assert (g.row, g.col, g.row_span, g.col_span) == (row[i], col[i], rs[i], cs[i]), (img, i)
+    assert [got[(6, i)].col for i in range(3)] == [0, 0, 1]
+
+
 def test_composite_key_light_and_distributed_agree(spark):
     data = random_images(np.random.default_rng(5), 12, 30)
     rows = [(img // 4, img % 4, i, *map(float, b)) for img, boxes in data.items() for i, b in enumerate(boxes)]
