@@ -98,24 +98,18 @@ DET_SCHEMA = StructType(
 
 
 def split_packed(rows: np.ndarray, counts: np.ndarray, heights, widths, size: int, threshold: float):
-    """W1 + P2/P3 + P4 + P6 for one batch: yields ``(i, det_idx, class, score, l, t, r, b)``."""
-    lo = 0
-    out = []
-    for i, cnt in enumerate(np.asarray(counts, dtype=np.int64)):
-        c = rows[lo : lo + cnt]
-        lo += cnt
-        keep = np.nonzero(c[:, 1] > np.float32(threshold))[0] if len(c) else np.array([], dtype=np.int64)
-        if not len(keep):
-            continue
-        sy = np.float32(heights[i] / size)
-        sx = np.float32(widths[i] / size)
-        k = c[keep].astype(np.float32)
-        boxes = k[:, 2:6].copy()
-        boxes[:, [0, 2]] *= sx
-        boxes[:, [1, 3]] *= sy
-        for j, det in enumerate(keep):
-            out.append((i, int(det), int(k[j, 0]), float(k[j, 1]), *map(float, boxes[j])))
-    return out
+    """W1 + P2/P3 + P4 + P6 for one batch, all images at once: ``(i, det_idx, class, score, l, t, r, b)`` of the rows kept."""
+    counts = np.asarray(counts, np.int64)
+    image = np.repeat(np.arange(len(counts)), counts)
+    slot = np.arange(len(image)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.flatnonzero(rows[: len(image), 1] > np.float32(threshold)) if len(image) else image
+    if not len(at):
+        return []
+    factor = (np.stack([widths, heights] * 2, axis=1) / size).astype(np.float32)  # of l, t, r, b
+    kept, image = rows[at].astype(np.float32), image[at]
+    boxes = kept[:, 2:6] * factor[image]
+    columns = (image, slot[at], kept[:, 0].astype(np.int64), kept[:, 1], *boxes.T)
+    return list(zip(*[c.tolist() for c in columns], strict=True))
 
 
 def detector(
