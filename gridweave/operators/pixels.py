@@ -40,19 +40,25 @@ from gridweave.constants import (  # noqa: E402,F401
 )
 
 
+TENSORS_AT_ONCE = 16  # 79 MB of detector tensors at 3 x 640 x 640
+
+
 def to_array(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
 
 
-def resize_bilinear(img: np.ndarray, new_w: int, new_h: int) -> np.ndarray:
-    """Bilinear resize with half-pixel centres, float32 output (separable: x, then y)."""
-    h, w = img.shape[:2]
-    xs = np.clip((np.arange(new_w, dtype=np.float64) + 0.5) * (w / new_w) - 0.5, 0, w - 1)
-    ys = np.clip((np.arange(new_h, dtype=np.float64) + 0.5) * (h / new_h) - 0.5, 0, h - 1)
+def source_positions(length: int, resized: int, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Where on an axis of ``length`` pixels the pixels ``first, first + 1, ...`` of its resized form lie (half-pixel centres)."""
+    at = first + np.arange(resized if count is None else count, dtype=np.float64)
+    return np.clip((at + 0.5) * (length / resized) - 0.5, 0, length - 1)
+
+
+def sample_bilinear(img: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Bilinear samples at every (y, x) of two axes of source positions, float32 output (separable: x, then y)."""
     x0 = np.floor(xs).astype(np.int64)
     y0 = np.floor(ys).astype(np.int64)
-    x1 = np.minimum(x0 + 1, w - 1)
-    y1 = np.minimum(y0 + 1, h - 1)
+    x1 = np.minimum(x0 + 1, img.shape[1] - 1)
+    y1 = np.minimum(y0 + 1, img.shape[0] - 1)
     fx = (xs - x0).astype(np.float32)[None, :, None]
     fy = (ys - y0).astype(np.float32)[:, None, None]
     src = img.astype(np.float32)
@@ -62,27 +68,48 @@ def resize_bilinear(img: np.ndarray, new_w: int, new_h: int) -> np.ndarray:
     return top + (rows[y1] - top) * fy
 
 
+def _planes(pixels: np.ndarray, swap_rb: bool) -> np.ndarray:
+    """Pixels as one plane per channel, the first and last swapped on request."""
+    planes = np.moveaxis(pixels, 2, 0)
+    return planes[::-1] if swap_rb else planes
+
+
 def classification_tensor(img: np.ndarray, swap_rb: bool = False) -> np.ndarray:
-    """P16 + P17: shorter edge to 256 (half-even size), centre crop 224, normalise, CHW."""
-    h, w = img.shape[:2]
-    scale = CLS_RESIZE_SHORT / min(h, w)
-    new_w, new_h = round(w * scale), round(h * scale)
-    resized = resize_bilinear(img, new_w, new_h)
-    top = (new_h - CLS_CROP) // 2
-    left = (new_w - CLS_CROP) // 2
-    crop = resized[top : top + CLS_CROP, left : left + CLS_CROP, :]
-    if swap_rb:
-        crop = crop[:, :, ::-1]
-    norm = (crop - np.asarray(CLS_MEAN, np.float32)) * np.asarray(CLS_SCALE, np.float32)
-    return np.ascontiguousarray(norm.transpose(2, 0, 1), dtype=np.float32)
+    """P16 + P17: the middle 224 x 224 of the image at shorter edge 256 (half-even size), normalised, CHW.
+
+    Only the pixels of that window are sampled.
+    """
+    grow = CLS_RESIZE_SHORT / min(img.shape[:2])
+
+    def middle(length: int) -> np.ndarray:
+        resized = round(length * grow)
+        return source_positions(length, resized, (resized - CLS_CROP) // 2, CLS_CROP)
+
+    planes = _planes(sample_bilinear(img, middle(img.shape[1]), middle(img.shape[0])), swap_rb)
+    mean, factor = (np.array(v, np.float32).reshape(-1, 1, 1) for v in (CLS_MEAN, CLS_SCALE))
+    return np.ascontiguousarray((planes - mean) * factor, dtype=np.float32)
 
 
 def detection_tensor(img: np.ndarray, size: int, swap_rb: bool = False) -> np.ndarray:
     """Stretch to ``size x size``, divide by 255, CHW (no channel swap unless asked, P19)."""
-    resized = resize_bilinear(img, size, size) / np.float32(255.0)
-    if swap_rb:
-        resized = resized[:, :, ::-1]
-    return np.ascontiguousarray(resized.transpose(2, 0, 1), dtype=np.float32)
+    stretched = sample_bilinear(img, source_positions(img.shape[1], size), source_positions(img.shape[0], size))
+    return np.ascontiguousarray(_planes(stretched / np.float32(255.0), swap_rb), dtype=np.float32)
+
+
+def checked_images(images: DataFrame, keys: Sequence[str], height: str = "height", width: str = "width") -> DataFrame:
+    """The columns a pixel job reads; an image that is not 8-bit with 3 channels fails the query."""
+    good = F.col("nChannels") == 3
+    if "mode" in images.columns:
+        good = good & (F.col("mode") == 16)
+    what = F.concat_ws(" ", F.lit("not an 8-bit image of 3 channels:"), *[F.col(k).cast("string") for k in keys])
+    data = F.when(good, F.col("data")).otherwise(F.raise_error(what).cast("binary"))
+    return images.select(*keys, F.col(height).alias("height"), F.col(width).alias("width"), "nChannels", data.alias("data"))
+
+
+def pixel_arrays(batch) -> list[np.ndarray]:
+    """The images of an Arrow batch of :func:`checked_images` as arrays."""
+    height, width, channels, data = (batch.column(c).to_pylist() for c in ("height", "width", "nChannels", "data"))
+    return [to_array(*row) for row in zip(height, width, channels, data, strict=True)]
 
 
 def _tensor_job(images: DataFrame, key: str, fn, swap_rb: bool, summarize: bool = False) -> DataFrame:
@@ -91,49 +118,38 @@ def _tensor_job(images: DataFrame, key: str, fn, swap_rb: bool, summarize: bool
 
     With ``summarize`` only ``(n_values, checksum)`` per image leaves the task
     (for checks over many images, where shipping whole tensors would dominate).
+    A task holds the tensors of ``TENSORS_AT_ONCE`` images at most, whatever
+    the size of the Arrow batches that reach it.
     """
+    own = images.schema[key]
     if summarize:
-        out = StructType(
-            [StructField(key, LongType()), StructField("n_values", IntegerType()), StructField("checksum", DoubleType())]
-        )
+        out = StructType([own, StructField("n_values", IntegerType()), StructField("checksum", DoubleType())])
     else:
         out = StructType(
-            [
-                StructField(key, LongType()),
-                StructField("height", IntegerType()),
-                StructField("width", IntegerType()),
-                StructField("tensor", ArrayType(FloatType())),
-            ]
+            [own, StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("tensor", ArrayType(FloatType()))]
         )
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            hs = b.column("height").to_numpy(zero_copy_only=False)
-            ws = b.column("width").to_numpy(zero_copy_only=False)
-            cs = b.column("nChannels").to_numpy(zero_copy_only=False)
-            data = b.column("data").to_pylist()
-            flat = [fn(to_array(int(h), int(w), int(c), d), swap_rb).ravel() for h, w, c, d in zip(hs, ws, cs, data)]
-            if summarize:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(key).cast(pa.int64()), pa.array([len(f) for f in flat], type=pa.int32()),
-                     pa.array([round(float(f.astype(np.float64).sum()), 2) for f in flat], type=pa.float64())],
-                    names=[key, "n_values", "checksum"],
-                )
-                continue
-            offsets = np.zeros(len(flat) + 1, dtype=np.int32)
-            if flat:
-                offsets[1:] = np.cumsum([len(f) for f in flat])
-            values = np.concatenate(flat) if flat else np.zeros(0, np.float32)
-            tensor = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.float32()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(key).cast(pa.int64()), b.column("height").cast(pa.int32()), b.column("width").cast(pa.int32()), tensor],
-                names=[key, "height", "width", "tensor"],
-            )
-
-    cols = images.select(key, "height", "width", "nChannels", "data")
-    return cols.mapInArrow(run, out)
+            for first in range(0, b.num_rows, TENSORS_AT_ONCE):
+                part = b.slice(first, TENSORS_AT_ONCE)
+                tensors = (fn(img, swap_rb).ravel() for img in pixel_arrays(part))
+                if summarize:
+                    found = [(len(x), round(float(x.sum(dtype=np.float64)), 2)) for x in tensors]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(key), pa.array([n for n, _ in found], pa.int32()), pa.array([s for _, s in found], pa.float64())],
+                        names=out.names,
+                    )
+                    continue
+                flat = list(tensors)
+                offsets = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+                tensor = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat), pa.float32()))
+                size = [part.column(c).cast(pa.int32()) for c in ("height", "width")]
+                yield pa.RecordBatch.from_arrays([part.column(key), *size, tensor], names=out.names)
+
+    return checked_images(images, [key]).mapInArrow(run, out)
 
 
 def classification_tensors(

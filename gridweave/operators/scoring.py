@@ -7,7 +7,7 @@ once per Python worker (cached), never on the driver. Two shapes:
   Arrow batches of ``batch_size`` images, fused with the pixel preparation.
 * detection model: ``f(batch[N, 3, S, S]) -> (rows[M, 6], counts[N])`` with rows
   ``[class, score, x0, y0, x1, y1]`` stacked for the batch (the packed form);
-  run through ``mapInPandas`` because an image yields a variable number of rows.
+  run through ``mapInArrow`` as well; an image yields any number of rows.
 
 The detection job splits the packed rows by the counts inside the task (W1),
 applies the strict confidence threshold (P2, P3), and maps boxes from model
@@ -17,12 +17,11 @@ Wired and wireless detectors (U4) are the same job with different factories.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from gridweave.functions.scores import validate_threshold
 from gridweave.operators import pixels as PX
@@ -30,6 +29,10 @@ from gridweave.operators import pixels as PX
 _MODELS: dict[str, object] = {}
 
 
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def _model(factory: Callable[[], object]):
     """One model per worker process and factory (keyed by the pickled factory, stable across tasks)."""
     import hashlib
@@ -45,47 +48,42 @@ def _model(factory: Callable[[], object]):
 def classifier(
     factory: Callable[[], Callable[[np.ndarray], np.ndarray]],
     batch_size: int = 32,
-    key: str = "image_id",
+    key: str | Sequence[str] = "image_id",
     swap_rb: bool = False,
+    image_size: tuple[str, str] = ("height", "width"),
 ):
     """A plan classifier ``images -> (key, scores ARRAY<FLOAT>)``.
 
     Pixel preparation (P16, P17) and inference are fused in one Arrow task:
     image bytes go in, only the logits come out, in batches of ``batch_size``.
+    ``key`` names one or more columns, kept in their own types; ``image_size``
+    names the columns that hold the pixel height and width (a page frame has
+    its size in points beside them).
     """
-    schema = StructType([StructField(key, LongType()), StructField("scores", ArrayType(FloatType()))])
+    keys = _keys(key)
 
     def run(batches):
         import pyarrow as pa
 
         model = _model(factory)
         for b in batches:
-            hs = b.column("height").to_numpy(zero_copy_only=False)
-            ws = b.column("width").to_numpy(zero_copy_only=False)
-            cs = b.column("nChannels").to_numpy(zero_copy_only=False)
-            data = b.column("data").to_pylist()
-            keys = b.column(key).cast(pa.int64())
-            for s in range(0, len(data), batch_size):
-                x = np.stack(
-                    [
-                        PX.classification_tensor(PX.to_array(int(h), int(w), int(c), d), swap_rb)
-                        for h, w, c, d in zip(hs[s : s + batch_size], ws[s : s + batch_size], cs[s : s + batch_size], data[s : s + batch_size])
-                    ]
-                )
+            for s in range(0, b.num_rows, batch_size):
+                part = b.slice(s, batch_size)
+                x = np.stack([PX.classification_tensor(img, swap_rb) for img in PX.pixel_arrays(part)])
                 logits = np.asarray(model(x), dtype=np.float32)
                 offsets = np.arange(0, logits.size + 1, logits.shape[1], dtype=np.int32)
                 scores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(logits.ravel(), type=pa.float32()))
-                yield pa.RecordBatch.from_arrays([keys.slice(s, len(x)), scores], names=[key, "scores"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], scores], names=[*keys, "scores"])
 
     def classify(images: DataFrame) -> DataFrame:
-        return images.select(key, "height", "width", "nChannels", "data").mapInArrow(run, schema)
+        schema = StructType([images.schema[k] for k in keys] + [StructField("scores", ArrayType(FloatType()))])
+        return PX.checked_images(images, keys, *image_size).mapInArrow(run, schema)
 
     return classify
 
 
 DET_SCHEMA = StructType(
     [
-        StructField("image_id", LongType()),
         StructField("det_idx", IntegerType()),
         StructField("class_id", IntegerType()),
         StructField("score", FloatType()),
@@ -97,19 +95,17 @@ DET_SCHEMA = StructType(
 )
 
 
-def split_packed(rows: np.ndarray, counts: np.ndarray, heights, widths, size: int, threshold: float):
-    """W1 + P2/P3 + P4 + P6 for one batch, all images at once: ``(i, det_idx, class, score, l, t, r, b)`` of the rows kept."""
+def split_packed(rows: np.ndarray, counts: np.ndarray, heights, widths, size: int, threshold: float) -> list[np.ndarray]:
+    """W1 + P2/P3 + P4 + P6 for one batch, all images at once: the columns ``i, det_idx, class, score, l, t, r, b`` of the rows kept."""
     counts = np.asarray(counts, np.int64)
     image = np.repeat(np.arange(len(counts)), counts)
     slot = np.arange(len(image)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.flatnonzero(rows[: len(image), 1] > np.float32(threshold)) if len(image) else image
-    if not len(at):
-        return []
+    rows = np.asarray(rows, np.float32).reshape(-1, 6)[: len(image)]
+    at = np.flatnonzero(rows[:, 1] > np.float32(threshold))
     factor = (np.stack([widths, heights] * 2, axis=1) / size).astype(np.float32)  # of l, t, r, b
-    kept, image = rows[at].astype(np.float32), image[at]
+    kept, image = rows[at], image[at]
     boxes = kept[:, 2:6] * factor[image]
-    columns = (image, slot[at], kept[:, 0].astype(np.int64), kept[:, 1], *boxes.T)
-    return list(zip(*[c.tolist() for c in columns], strict=True))
+    return [image, slot[at].astype(np.int32), kept[:, 0].astype(np.int32), kept[:, 1], *boxes.T]
 
 
 def detector(
@@ -117,56 +113,41 @@ def detector(
     size: int = PX.CELL_INPUT,
     threshold: float = 0.0,
     batch_size: int = 16,
-    key: str = "image_id",
+    key: str | Sequence[str] = "image_id",
     swap_rb: bool = False,
+    image_size: tuple[str, str] = ("height", "width"),
 ):
     """A plan detector ``images -> (key, det_idx, class_id, score, l, t, r, b)``.
 
     ``threshold`` is the detector's own cut (the plan applies its threshold
     afterwards as well); ``det_idx`` is the row's slot within its image.
+    ``key`` and ``image_size`` are as for :func:`classifier`.
     """
     validate_threshold(threshold)
-    schema = StructType([StructField(key, LongType())] + DET_SCHEMA.fields[1:])
+    keys = _keys(key)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(factory)
         for b in batches:
-            for s in range(0, len(b), batch_size):
-                part = b.iloc[s : s + batch_size]
-                imgs = [PX.to_array(h, w, c, d) for h, w, c, d in zip(part["height"], part["width"], part["nChannels"], part["data"])]
-                x = np.stack([PX.detection_tensor(im, size, swap_rb) for im in imgs])
-                rows, counts = model(x)
-                dets = split_packed(np.asarray(rows, np.float32), counts, list(part["height"]), list(part["width"]), size, threshold)
-                keys = list(part[key])
-                yield pd.DataFrame(
-                    [(keys[i], *rest) for i, *rest in dets], columns=[f.name for f in schema.fields]
+            for s in range(0, b.num_rows, batch_size):
+                part = b.slice(s, batch_size)
+                rows, counts = model(np.stack([PX.detection_tensor(img, size, swap_rb) for img in PX.pixel_arrays(part)]))
+                heights, widths = (part.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width"))
+                image, *columns = split_packed(rows, counts, heights, widths, size, threshold)
+                owner = pa.array(image)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(k).take(owner) for k in keys] + [pa.array(c) for c in columns], names=[*keys, *DET_SCHEMA.names]
                 )
 
     def detect(images: DataFrame) -> DataFrame:
-        return images.select(key, "height", "width", "nChannels", "data").mapInPandas(run, schema)
+        schema = StructType([images.schema[k] for k in keys] + DET_SCHEMA.fields)
+        return PX.checked_images(images, keys, *image_size).mapInArrow(run, schema)
 
     return detect
 
 
-def onnx_factory(path: str, input_name: str | None = None, output_index: int = 0):
-    """A classification-model factory backed by ONNX Runtime (CPU), loaded per worker."""
-
-    def factory():
-        try:
-            import onnxruntime as ort
-        except ImportError as e:  # pragma: no cover - gated dependency
-            raise RuntimeError("onnxruntime is not available on the workers") from e
-        sess = ort.InferenceSession(path, providers=["CPUExecutionProvider"])
-        name = input_name or sess.get_inputs()[0].name
-
-        def run(x: np.ndarray) -> np.ndarray:
-            return sess.run(None, {name: x})[output_index]
-
-        return run
-
-    return factory
-
-
 # --- reference-free stand-in models (for tests and the registered queries) ------------
 
 def mean_channel_classifier():

@@ -22,7 +22,8 @@ def read_images(spark: SparkSession, path: str, strict: bool = True, recursive:
 
     Bytes are BGR, row-major. ``strict`` mirrors ``imread`` raising on a
     file it cannot decode: the query fails when it meets such a row
-    (``raise_error`` is evaluated in the executor, no driver pass). With
+    (``raise_error`` is evaluated in the executor, no driver pass; it stands
+    in a filter, so no choice of columns prunes it). With
     ``strict=False`` undecodable files are dropped.
     """
     reader = spark.read.format("image").option("dropInvalid", not strict)
@@ -30,12 +31,8 @@ def read_images(spark: SparkSession, path: str, strict: bool = True, recursive:
         reader = reader.option("recursiveFileLookup", True)
     df = reader.load(path).select("image.*")
     if strict:
-        df = df.withColumn(
-            "width",
-            F.when(F.col("width") < 0, F.raise_error(F.concat(F.lit("cannot decode image: "), F.col("origin")))).otherwise(
-                F.col("width")
-            ).cast("int"),
-        )
+        broken = F.raise_error(F.concat(F.lit("cannot decode image: "), F.col("origin"))).cast("boolean")
+        df = df.filter(F.when(F.col("width") < 0, broken).otherwise(F.lit(True)))
     return df.withColumn("image_id", F.xxhash64("origin"))
 
 

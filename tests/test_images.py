@@ -54,8 +54,47 @@ def test_image_source_strict_fails_on_bad_file(spark, bmp_dir):
     with open(os.path.join(path, "broken.bmp"), "wb") as f:
         f.write(b"not an image")
     assert FS.read_images(spark, path, strict=False).count() == 2
-    with pytest.raises(Exception):
-        FS.read_images(spark, path, strict=True).collect()
+    strict = FS.read_images(spark, path, strict=True)
+    for job in (strict.collect, strict.count, strict.select("origin", "data").collect):
+        with pytest.raises(Exception, match="cannot decode image"):
+            job()
+
+
+def test_image_of_other_depth_fails_before_both_scorers(spark):
+    gray = spark.createDataFrame(
+        [(1, 30, 40, 1, 0, bytearray(1200))], "image_id bigint, height int, width int, nChannels int, mode int, data binary"
+    )
+    for frame in (
+        PX.classification_tensors(gray),
+        PX.detection_tensors(gray, 64),
+        SC.classifier(SC.mean_channel_classifier)(gray),
+        SC.detector(SC.grid_detector(3), size=64)(gray),
+    ):
+        with pytest.raises(Exception, match="not an 8-bit image of 3 channels: 1"):
+            frame.collect()
+
+
+def test_scorers_keep_composite_keys_in_their_types(spark):
+    pages = PX.derived_images(spark.range(0, 40).withColumnRenamed("id", "image_id")).select(
+        F.concat(F.lit("p"), F.col("image_id") % 7).alias("page_id"), F.col("image_id").cast("int").alias("cluster_id"),
+        F.col("height").alias("img_height"), F.col("width").alias("img_width"), F.lit(792.0).alias("height"),
+        F.lit(612.0).alias("width"), "nChannels", "mode", "data",
+    )
+    keys, size = ["page_id", "cluster_id"], ("img_height", "img_width")
+    scores = SC.classifier(SC.mean_channel_classifier, key=keys, image_size=size, batch_size=7)(pages)
+    assert dict(scores.dtypes) == {"page_id": "string", "cluster_id": "int", "scores": "array<float>"} and scores.count() == 40
+    dets = SC.detector(SC.grid_detector(3), size=32, key=keys, image_size=size, batch_size=7)(pages)
+    assert [t for _, t in dets.dtypes[:2]] == ["string", "int"] and dets.select(*keys).distinct().count() == 40
+    over = dets.join(pages, keys).filter((F.col("r") > F.col("img_width") + 0.01) | (F.col("b") > F.col("img_height") + 0.01))
+    assert over.count() == 0
+
+
+def test_tensor_job_is_whole_at_any_arrow_batch(spark):
+    imgs = PX.derived_images(spark.range(0, 90).withColumnRenamed("id", "image_id")).coalesce(1)
+    whole = {r.image_id: sum(map(float, r.tensor)) for r in PX.detection_tensors(imgs, 16).collect()}
+    short = {r.image_id: r.checksum for r in PX.detection_tensors(imgs, 16, summarize=True).collect()}
+    assert len(whole) == 90 and whole.keys() == short.keys()
+    assert all(abs(whole[k] - short[k]) < 0.02 for k in whole)
 
 
 def reference_bilinear(img, new_w, new_h):
@@ -76,7 +115,17 @@ def reference_bilinear(img, new_w, new_h):
 def test_resize_matches_pointwise_formula():
     img = np.random.default_rng(1).integers(0, 256, (7, 11, 3)).astype(np.uint8)
     for nw, nh in [(23, 5), (4, 15), (11, 7)]:
-        assert np.allclose(PX.resize_bilinear(img, nw, nh), reference_bilinear(img.astype(np.float64), nw, nh), atol=1e-3)
+        got = PX.sample_bilinear(img, PX.source_positions(11, nw), PX.source_positions(7, nh))
+        assert np.allclose(got, reference_bilinear(img.astype(np.float64), nw, nh), atol=1e-3)
+
+
+def test_classification_window_is_the_middle_of_the_resized_image():
+    img = np.random.default_rng(2).integers(0, 256, (33, 51, 3)).astype(np.uint8)
+    whole = reference_bilinear(img.astype(np.float64), 396, 256)  # 51 * 256 / 33 = 395.6
+    middle = whole[16 : 16 + 224, 86 : 86 + 224]
+    for swap, order in ((False, slice(None)), (True, slice(None, None, -1))):
+        want = (middle[:, :, order] - np.array(PX.CLS_MEAN)) * np.array(PX.CLS_SCALE)
+        assert np.allclose(PX.classification_tensor(img, swap), want.transpose(2, 0, 1), atol=1e-3)
 
 
 def test_classification_tensor_geometry_and_normalisation():
@@ -94,7 +143,7 @@ def test_split_packed_counts_threshold_and_rescale():
         [[0, 0.9, 10, 20, 30, 40], [0, 0.5, 0, 0, 1, 1], [0, 0.7, 64, 64, 128, 128], [0, 0.2, 1, 1, 2, 2]], np.float32
     )
     counts = [2, 0, 2]
-    out = SC.split_packed(rows, counts, heights=[128, 50, 32], widths=[64, 50, 256], size=64, threshold=0.5)
+    out = list(zip(*SC.split_packed(rows, counts, heights=[128, 50, 32], widths=[64, 50, 256], size=64, threshold=0.5)))
     # image 0 keeps its first row only (0.5 is not > 0.5); image 1 owns nothing; image 2 keeps slot 0
     assert [(i, d) for i, d, *_ in out] == [(0, 0), (2, 0)]
     _, _, _, _, l, t, r, b = out[0]
