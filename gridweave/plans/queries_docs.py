@@ -566,11 +566,11 @@ def q_sql_table_structure(spark, sf_dir):
     return spark.sql(
         """
         WITH a AS (
-          SELECT image_id, gw_anchors(collect_set(t), 10) AS ra, gw_anchors(collect_set(l), 10) AS ca
+          SELECT image_id, gw_anchors_float(collect_set(t), 10) AS ra, gw_anchors_float(collect_set(l), 10) AS ca
           FROM gw_detections GROUP BY image_id)
         SELECT d.image_id, d.det_idx,
           gw_index(a.ra, d.t) AS row, gw_index(a.ca, d.l) AS col,
-          gw_span(a.ra, d.t, d.b, 10) AS row_span, gw_span(a.ca, d.l, d.r, 10) AS col_span,
+          gw_span_float(a.ra, d.t, d.b, 10) AS row_span, gw_span_float(a.ca, d.l, d.r, 10) AS col_span,
           size(a.ra) AS num_rows, size(a.ca) AS num_cols
         FROM gw_detections d JOIN a USING (image_id)"""
     )

@@ -9,6 +9,8 @@ user calls them.
       WITH a AS (SELECT image_id, gw_anchors(collect_set(t), 10) AS ra FROM detections GROUP BY image_id)
       SELECT d.image_id, d.det_idx, gw_index(a.ra, d.t) AS row, gw_span(a.ra, d.t, d.b, 10) AS row_span
       FROM detections d JOIN a USING (image_id)''')
+
+For FLOAT columns take ``gw_anchors_float`` and ``gw_span_float``.
 """
 
 from __future__ import annotations
@@ -18,17 +20,31 @@ from pyspark.sql import DataFrame, SparkSession
 from gridweave.functions import labels as L
 from gridweave.functions.text import STRIP_PATTERN
 
-FUNCTIONS = {
-    "gw_anchors": """(starts ARRAY<FLOAT>, tol FLOAT) RETURNS ARRAY<FLOAT>
+
+
+def _anchors(real: str) -> str:
+    return f"""(starts ARRAY<{real}>, tol {real}) RETURNS ARRAY<{real}>
 RETURN aggregate(sort_array(array_distinct(starts)),
-  named_struct('p', CAST(NULL AS FLOAT), 'a', CAST(array() AS ARRAY<FLOAT>)),
+  named_struct('p', CAST(NULL AS {real}), 'a', CAST(array() AS ARRAY<{real}>)),
   (acc, x) -> CASE WHEN acc.p IS NULL OR x - acc.p > tol
                    THEN named_struct('p', x, 'a', concat(acc.a, array(x))) ELSE acc END,
-  acc -> acc.a)""",
-    "gw_index": """(anchors ARRAY<FLOAT>, s FLOAT) RETURNS INT
+  acc -> acc.a)"""
+
+
+def _span(real: str) -> str:
+    return f"""(anchors ARRAY<{real}>, s {real}, e {real}, tol {real}) RETURNS INT
+RETURN 1 + size(filter(anchors, a -> a > s AND e - a >= tol))"""
+
+
+# A SQL function has one signature: the plain names subtract in DOUBLE, the
+# names with ``_float`` in FLOAT, as the operators do for FLOAT columns.
+FUNCTIONS = {
+    "gw_anchors": _anchors("DOUBLE"),
+    "gw_anchors_float": _anchors("FLOAT"),
+    "gw_index": """(anchors ARRAY<DOUBLE>, s DOUBLE) RETURNS INT
 RETURN size(filter(anchors, a -> a <= s)) - 1""",
-    "gw_span": """(anchors ARRAY<FLOAT>, s FLOAT, e FLOAT, tol FLOAT) RETURNS INT
-RETURN 1 + size(filter(anchors, a -> a > s AND e - a >= tol))""",
+    "gw_span": _span("DOUBLE"),
+    "gw_span_float": _span("FLOAT"),
     "gw_strip": f"""(x STRING) RETURNS STRING
 RETURN regexp_replace(x, '{STRIP_PATTERN.replace(chr(92), chr(92) * 2)}', '')""",
     "gw_table_label": f"""(class_id INT) RETURNS STRING

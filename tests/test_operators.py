@@ -142,8 +142,8 @@ def test_sql_functions_match_dataframe(spark):
     dets = P.confidence_filter(D.detections(spark, SF_SMALL))
     dets.createOrReplaceTempView("dets_sql_test")
     a = spark.sql(
-        """WITH a AS (SELECT image_id, gw_anchors(collect_set(t), 10) AS ra FROM dets_sql_test GROUP BY image_id)
-           SELECT d.image_id, d.det_idx, gw_index(a.ra, d.t) AS row, gw_span(a.ra, d.t, d.b, 10) AS row_span
+        """WITH a AS (SELECT image_id, gw_anchors_float(collect_set(t), 10) AS ra FROM dets_sql_test GROUP BY image_id)
+           SELECT d.image_id, d.det_idx, gw_index(a.ra, d.t) AS row, gw_span_float(a.ra, d.t, d.b, 10) AS row_span
            FROM dets_sql_test d JOIN a USING (image_id)"""
     )
     b = S.assign_cells(dets, cols=False).select("image_id", "det_idx", "row", "row_span")
