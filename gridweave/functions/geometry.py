@@ -46,22 +46,6 @@ def intersection_edges(a: dict, b: dict) -> dict:
     }
 
 
-def intersects(a: dict, b: dict) -> Column:
-    """F4 test: the intersection has positive width and height.
-
-    Written as four edge comparisons so a join can use them as range
-    predicates.
-    """
-    return (a["l"] < b["r"]) & (b["l"] < a["r"]) & (a["t"] < b["b"]) & (b["t"] < a["b"])
-
-
-def overlap_over_self(own: dict, other: dict) -> Column:
-    """intersection area divided by the area of ``own``."""
-    i = intersection_edges(own, other)
-    inter = (i["r"] - i["l"]) * (i["b"] - i["t"])
-    return inter / area(own["l"], own["t"], own["r"], own["b"])
-
-
 def clamp(x: str | Column, lo, hi) -> Column:
     """``min(max(x, lo), hi)``. NaN boxes must be rejected upstream."""
     lo_c = lo if isinstance(lo, Column) else F.lit(lo)
@@ -74,15 +58,6 @@ def half_even(x: str | Column) -> Column:
     return F.bround(col(x), 0).cast("int")
 
 
-def narrow(x: str | Column) -> Column:
-    """float32 narrowing."""
-    return col(x).cast(FloatType())
-
-
 def reading_order_key(l="l", t="t") -> Column:
     """O1: reading-order sort key ``l + 100 * t``."""
     return col(l) + F.lit(READING_ORDER_ROW_WEIGHT) * col(t)
-
-
-def edge_map(prefix: str = "", names=EDGES) -> dict:
-    return {e: F.col(prefix + n) for e, n in zip(EDGES, names)}
