@@ -13,7 +13,8 @@ import os
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-# Defaults for a local run; a cluster submit overrides all of these.
+# Defaults for a local run. Values set on the builder win over submit options:
+# on a cluster use the session at hand, or name other values in `extra_conf`.
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
