@@ -1,4 +1,4 @@
-"""Operator 8: approximate nearest neighbours by a forest of random-projection trees.
+"""Operator 8: nearest neighbours by a forest of random-projection trees and an exact sweep behind it.
 
 Trees are fitted on a bounded sample (``SAMPLE`` distinct vectors, those with
 the smallest hash): a node splits its vectors at the median of their
@@ -8,6 +8,15 @@ through one shared priority queue, nearest margin first, until the leaves it
 has reached hold enough sample vectors; Spark joins those leaves with the
 index, and the candidates are ranked by their exact distance.
 
+What the forest finds is a start only: the distance of the last of the ``k + 1``
+best bounds what can still come nearer. A sweep over all points then lets no
+point out but those that a bound proves too far: points of neighbouring leaves
+make cells, a cell is left out for a query if its ball lies beyond the query's
+bound, and in the other cells every distance is taken. So the answer is exact
+on any table. On data without clusters no cell can be left out, and the sweep
+takes rows * queries distances; only those within the bound become rows. The
+queries are sent to all tasks in blocks of about ``ASKED`` vectors.
+
 Equal vectors are one vector to the forest. Of a group of equal vectors only
 the ``k + 1`` smallest ids can be in an answer (ties go to the smaller id), so
 only those are kept as candidates; all its rows are still queries.
@@ -30,6 +39,7 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import Shared, stage
 
 TREES, LEAF, SAMPLE, REACH = 16, 48, 1 << 16, 3000
+ASKED, CELL, ROUNDING = 1 << 15, 256, 1e-9  # vectors of a block of queries, points of a cell, share of the norms by which a bound gives way
 
 
 class Tree:
@@ -89,11 +99,54 @@ def walk(forest: list[Tree], q: np.ndarray, reach: int) -> list[tuple[int, int]]
     return out
 
 
+class Sweep:
+    """The ``k + 1`` best (distance, id) of each vector of a block of queries, among the points that are shown to it.
+
+    ``most`` starts as the distance that the forest has reached and falls as
+    points come; a point at that distance still counts.
+    """
+
+    def __init__(self, x: np.ndarray, most: np.ndarray, k: int):
+        self.x, self.most, self.k = x, np.array(most, np.float64), k
+        self.norm = np.sqrt((x * x).sum(axis=1))
+        self.held: list[list[tuple[float, int]]] = [[] for _ in x]
+
+    def show(self, y: np.ndarray, ids: list[list[int]], leaf: np.ndarray) -> None:
+        order = np.argsort(leaf, kind="stable")
+        for a in range(0, len(order), CELL):
+            cell = order[a : a + CELL]
+            part = y[cell]
+            middle = part.mean(axis=0)
+            wide = np.sqrt(((part - middle) ** 2).sum(axis=1)).max()
+            long = np.sqrt((part * part).sum(axis=1))
+            for b in range(0, len(self.x), 4096):
+                x = self.x[b : b + 4096]
+                far = np.sqrt(((x - middle) ** 2).sum(axis=1)) - wide
+                give = ROUNDING * (self.norm[b : b + 4096] + long.max())
+                at = np.flatnonzero(~(far > self.most[b : b + 4096] + give)) + b
+                if len(at):
+                    self._compare(at, part, long, [ids[i] for i in cell])
+
+    def _compare(self, at: np.ndarray, part: np.ndarray, long: np.ndarray, ids: list[list[int]]) -> None:
+        square = (self.norm[at] ** 2)[:, None] + (long**2)[None, :]
+        about = square - 2 * (self.x[at] @ part.T)
+        i, j = np.nonzero(~(about > (self.most[at] ** 2)[:, None] + ROUNDING * square))  # not a number: look closer
+        for a in range(0, len(i), 1 << 16):
+            q, p = at[i[a : a + (1 << 16)]], j[a : a + (1 << 16)]
+            d = np.sqrt(((self.x[q] - part[p]) ** 2).sum(axis=1))
+            ok = d <= self.most[q]
+            for n, m, score in zip(q[ok].tolist(), p[ok].tolist(), d[ok].tolist(), strict=True):
+                if score <= self.most[n]:
+                    best = self.held[n] = sorted(self.held[n] + [(score, z) for z in ids[m]])[: self.k + 1]
+                    if len(best) > self.k:
+                        self.most[n] = min(self.most[n], best[-1][0])
+
+
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, reach: int = REACH,
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found for each row whose id is divisible by ``every``."""
+    """``query_id, rank, vec_id, score``: the ``k`` nearest for each row whose id is divisible by ``every``; ``reach`` and ``sample`` change the work, not the answer."""
     v = F.col("v")
     given = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(
         v.isNotNull() & (F.size(v) > 0) & F.exists(v, lambda x: x != 0)
@@ -148,7 +201,39 @@ def nearest(
     near = near.select("q", "score", F.explode("ids").alias("vec_id"))
     # the k + 1 best of each distinct query vector: one more, as a query is no candidate of its own
     by = Window.partitionBy("q").orderBy("score", "vec_id")
-    best = near.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1)
+
+    def first_of(found: DataFrame) -> DataFrame:
+        return found.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1)
+
+    bound = first_of(near).groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.max("score")).alias("bound"))
+    bounded = stage(
+        asking.select("p", "v").join(bound, F.col("p") == F.col("q"), "left").select("p", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound")),
+        "bounds",
+    )
+
+    def swept(block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, x, most = block.value
+            sweep = Sweep(x, most, k)
+            for b in batches:
+                if b.num_rows:
+                    y = matrix(b.column(0))
+                    sweep.show(y, b.column(1).to_pylist(), forest.value[0].leaves(y))
+            for n, got in zip(p.tolist(), sweep.held, strict=True):
+                if got:
+                    score, ids = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(got), pa.int64()), pa.array(score), pa.array(ids, pa.int64())], names=["q", "score", "vec_id"])
+
+        return points.select("v", "ids").mapInArrow(run, "q bigint, score double, vec_id bigint")
+
+    found = near.limit(0)
+    blocks = -(-bounded.count() // ASKED)
+    for n in range(blocks):
+        t = bounded.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == n).toArrow().combine_chunks()
+        if len(t):
+            col = t["v"].combine_chunks()
+            found = found.unionByName(swept(Shared(vectors.sparkSession, (t["p"].to_numpy(), matrix(col), t["bound"].to_numpy()))))
+    best = first_of(found)
     mine = asked.join(best, asked["p"] == best["q"]).filter("vec_id != query_id")
     ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

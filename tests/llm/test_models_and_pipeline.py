@@ -86,6 +86,25 @@ def test_nearest_neighbours(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [None, 0.2])
+def test_nearest_neighbours_are_exact_in_many_dimensions(spark, monkeypatch, spread):
+    """Without clusters a search of 3,000 sample vectors misses neighbours; blocks of queries change nothing."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(ann, "ASKED", 16)
+    x = rng.normal(size=(6000, 64))
+    if spread:
+        x = rng.normal(size=(40, 64))[rng.integers(0, 40, 6000)] + spread * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df).collect()}
+    y, want = x.astype(np.float64), {}
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(6000), d)) if i != q][:10]
+        want |= {(q, n + 1): (int(i), float(d[i])) for n, i in enumerate(best)}
+    assert got == want
+
+
 def test_nearest_neighbours_of_few_rows(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
