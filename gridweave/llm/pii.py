@@ -9,14 +9,17 @@ the entity: ``PMI(t, e) / IC(e)`` with ``IC(e) = ln(N / n(e))`` and
 ``PMI(t, e) = ln(n(t, e) N / (n(t) n(e)))``, where ``n`` counts documents and
 ``n(t, e)`` those with ``t`` within ``CONTEXT`` words of ``e``. A term that
 only ever stands with the entity has 1. Terms from ``GENERALISE`` on are
-generalised (to a class of words) and from ``REMOVE`` on removed, near the
-entity, if at least ``SUPPORT`` different texts show them together: without
-that, every rare word of a text would seem to reveal its only entity.
+generalised (to a class of words) and from ``REMOVE`` on removed, wherever in
+the corpus they stand, if at least ``SUPPORT`` different texts show them
+together: without that, every rare word of a text would seem to reveal its
+only entity. A term that reveals several entities goes by its highest share.
 
 All counts cover all documents: n(t, e) and n(e) come from the spans of the
 whole corpus, n(t) from a second scan that counts, in every document, the
 terms in question (a Bloom filter of fixed size keeps the others from being
-shuffled; the join behind it is exact). No group is gathered.
+shuffled; the join behind it is exact). A third scan finds every occurrence of
+the terms that reveal an entity, near it or not, in the same way. No group is
+gathered.
 
 Null and empty texts have no spans. Repeated rows give one result row each,
 and count as documents, but not as different texts. Very long texts are taken
@@ -117,8 +120,8 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _context(text: str, spans: list[tuple[int, int, int]], w: Words, i: int) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) for the words around each span of text ``i``, those inside any span left out."""
+def _free(spans: list[tuple[int, int, int]], w: Words, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (code points) and hash of the words of text ``i``, those inside any span left out."""
     a, z = w.first[i], w.first[i + 1]
     data = w.data[w.offsets[i] : w.offsets[i + 1]]
     point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
@@ -126,18 +129,23 @@ def _context(text: str, spans: list[tuple[int, int, int]], w: Words, i: int) ->
     inside = np.zeros(len(s), bool)
     for _, x, y in spans:
         inside[np.searchsorted(e, x, "right") : np.searchsorted(s, y, "left")] = True
-    free = np.flatnonzero(~inside)
-    s, e, h = s[free], e[free], signed(w.hash[a:z][free])
+    return s[~inside], e[~inside], w.hash[a:z][~inside]
+
+
+def _context(text: str, spans: list[tuple[int, int, int]], w: Words, i: int) -> list[tuple[int, int]]:
+    """(entity, term) for the words around each span of text ``i``, those inside any span left out."""
+    s, _, h = _free(spans, w, i)
+    h = signed(h)
     out = []
     for k, x, y in spans:
         lo, hi = int(np.searchsorted(s, x)), int(np.searchsorted(s, y))
         me = _entity(k, text[x:y])
         for j in range(max(0, lo - CONTEXT), min(len(s), hi + CONTEXT)):
-            out.append((me, int(h[j]), int(s[j]), int(e[j])))
+            out.append((me, int(h[j])))
     return out
 
 
-_CONTEXT_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_CONTEXT_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -156,7 +164,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s] for s in spans], _SPAN_TYPE),
                  pa.array([hashlib.sha256(spelled(s).encode()).hexdigest() for s in spans]),
-                 pa.array([[dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in c] for c in near], _CONTEXT_TYPE)],
+                 pa.array([[dict(zip(("entity", "term"), x, strict=True)) for x in c] for c in near], _CONTEXT_TYPE)],
                 names=["doc_id", "key", "base", "base_sha256", "near"],
             )
 
@@ -177,6 +185,26 @@ def _frequencies(bits):
     return run
 
 
+def _occurrences(bits):
+    """Every place of the terms that may be in question, pattern spans left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(part.column(2), NOT_WORD)
+                at = np.flatnonzero(in_bloom(bits.value, w.hash))
+                for i in np.unique(np.searchsorted(w.first, at, "right") - 1).tolist():
+                    s, e, h = _free(base_spans(part.column(2)[i].as_py()), w, i)
+                    ok = in_bloom(bits.value, h)
+                    same = pa.array(np.full(int(ok.sum()), i))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(same), part.column(1).take(same), pa.array(signed(h[ok])), pa.array(s[ok], pa.int32()), pa.array(e[ok], pa.int32())],
+                        names=["doc_id", "key", "term", "start", "end"],
+                    )
+
+    return run
+
+
 def disclosing(scanned: DataFrame, rows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """``entity, term, share``: the terms that reveal an entity by ``generalise`` or more."""
     spark = rows.sparkSession
@@ -197,27 +225,31 @@ def disclosing(scanned: DataFrame, rows: DataFrame, support: int = SUPPORT, gene
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows with their pattern spans, and the term spans by row."""
+    """All rows with their pattern spans, and the term spans by id and text."""
     rows = text_rows(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    keyed = rows.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     scanned = stage(
-        rows.select("doc_id", text_key(F.col("text")).alias("key"), "text").mapInArrow(
+        keyed.mapInArrow(
             _scan, f"doc_id {id_type}, key string, base array<struct<kind:int,start:int,end:int>>, base_sha256 string, "
-            "near array<struct<entity:bigint,term:bigint,start:int,end:int>>"
+            "near array<struct<entity:bigint,term:bigint>>"
         ).withColumn("row", F.monotonically_increasing_id()),
         "spans",
     )
-    told = disclosing(scanned, rows)
-    near = scanned.select("row", "doc_id", "key", F.explode("near").alias("x")).select("row", "doc_id", "key", "x.*")
-    terms = near.join(told, ["entity", "term"]).groupBy("row", "doc_id", "key", "start", "end").agg(F.max("share").alias("share"))
+    told = stage(disclosing(scanned, rows).groupBy("term").agg(F.max("share").alias("share")), "told")
+    bits = Shared(docs.sparkSession, bloom(told, "term"))
+    places = keyed.mapInArrow(_occurrences(bits), f"doc_id {id_type}, key string, term bigint, start int, end int")
+    terms = places.join(told, "term").select("doc_id", "key", "start", "end", "share").distinct()
     return scanned, terms
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term`` for every row; ``spans`` lists all spans."""
     scanned, terms = _found(docs, id_col, text_col)
-    more = terms.groupBy("row").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("terms"))
-    out = scanned.drop("near", "key").join(more, "row", "left")
+    more = terms.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "start", "end").groupBy("id", "k").agg(
+        F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("terms")
+    )
+    out = scanned.drop("near", "row").join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
     every = F.array_sort(F.concat(F.col("base"), F.coalesce("terms", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
     spell = lambda x: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1), x["start"], x["end"])
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint")
@@ -244,7 +276,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     _, terms = _found(docs, id_col, text_col)
     of = terms.select(
         F.col("doc_id").alias("_gw_id"), F.col("key").alias("_gw_key"), "start", "end", (F.col("share") >= REMOVE).alias("gone")
-    ).distinct().groupBy("_gw_id", "_gw_key").agg(F.collect_list(F.struct("start", "end", "gone")).alias("_gw_terms"))
+    ).groupBy("_gw_id", "_gw_key").agg(F.collect_list(F.struct("start", "end", "gone")).alias("_gw_terms"))
     whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.join(of, F.col(id_col).eqNullSafe(F.col("_gw_id")) & (text_key(whole) == F.col("_gw_key")), "left").drop("_gw_id", "_gw_key")
 

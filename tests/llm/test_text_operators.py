@@ -316,6 +316,24 @@ def test_terms_that_reveal_an_entity(spark, texts):
     assert clean[101] == dict(rows)[101] and clean[1] == ""
 
 
+def test_revealing_terms_go_wherever_they_stand(spark):
+    """Far from the address in its own text, in a text without any address, in repeated rows and rows without an id."""
+    rng = random.Random(7)
+    far = prose(rng, 30)
+    rows = [(100 + i, prose(rng, 25)) for i in range(200)]
+    rows += [(i, f"{prose(rng, 20)} Zorbulon ann@example.org {prose(rng, 40)} ZORBULON {prose(rng, 12)} zorbulon@other.org {prose(rng, 9)}") for i in range(20, 32)]
+    rows += [(50, f"é {far} Zorbulon"), (50, f"é {far} Zorbulon"), (None, f"zorbulon {far}"), (51, f"Zorbulons {far}"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    cut = lambda t: re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(A_Z).replace("zorbulon@", "________@"))
+    want = Counter((i, ",".join(f"term:{m.start()}:{m.end()}" for m in cut(t) if m[0] == "zorbulon")) for i, t in rows)
+    got = pii.find(df).collect()
+    assert Counter((r["doc_id"], ",".join(s for s in r["spans"].split(",") if s.startswith("term"))) for r in got) == want
+    assert sum(r["n_term"] for r in got) == 2 * 12 + 3
+    clean = pii.sanitise(df).collect()
+    assert len(clean) == len(rows) and not any(re.search(r"zorbulon\b", r["text"], re.I) for r in clean)
+    assert sum("Zorbulons" in r["text"] for r in clean) == 1
+
+
 def test_empty_tables(spark, none):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert bpe_tree.encode_texts(none, TOKENIZER).count() == 0
