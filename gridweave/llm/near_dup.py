@@ -22,6 +22,8 @@ A pair at the threshold itself shares no band with probability
 (1 - 0.75**5)**40, about 2 in 100,000; more similar pairs far less. Null and
 empty texts, or texts without words, have an empty set and are linked with
 nothing. Repeated rows are members of one class and give one result row each.
+Null ids come last: a group bears one only if it has no other. Rows are told
+apart by id and text, so an id may stand for several texts, or be missing.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Shared, Words, bloom, in_bloom, mix, shingles, signed, slices, stage, text_rows
+from gridweave.llm.common import Shared, Words, bloom, in_bloom, mix, shingles, signed, slices, stage, text_key, text_rows
 from gridweave.llm.components import components
 
 SHINGLE_WORDS, BANDS, BAND_ROWS, SKETCH_BITS, SKETCH_FLOOR, FIRST_BANDS, BLOCK = 5, 40, 5, 512, 0.62, 4, 256
@@ -116,8 +118,8 @@ def _sketch_batches():
                         bands[i], sketch[i] = rows[k], odd[k].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()),
-                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), part.column(2)],
+                    names=["doc_id", "n_shingles", "digest", "bands", "sketch", "key"],
                 )
 
     return run
@@ -158,11 +160,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per cent. ``component_id`` is the smallest id reachable over links, the
     row's own included; ``kept`` marks the row that bears it.
     """
+    out = _linked(docs, id_col, text_col, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of linked texts, that with the smallest id; of rows equal in id and text, one.
+
+    Null ids come last, and of equal ids the text with the smaller key stays.
+    Texts without words are linked with nothing and stay.
+    """
+    found = _linked(docs, id_col, text_col, percent)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
+    kept = found.filter("n_shingles > 0").groupBy("root").agg(one).select("one.doc_id", "one.key")
+    kept = kept.unionByName(found.filter("n_shingles = 0").select("doc_id", "key").distinct()).toDF("_gw_id", "_gw_kept")
+    keyed = docs.withColumn("_gw_key", text_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = F.col(id_col).eqNullSafe(F.col("_gw_id")) & (F.col("_gw_key") == F.col("_gw_kept"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "_gw_key"]).select(docs.columns)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``doc_id, key, n_shingles, root, component_id`` for every row; rows of linked texts have one ``root``."""
     rows = text_rows(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sketched = stage(
-        rows.mapInArrow(
-            _sketch_batches(), f"doc_id {id_type}, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
+        rows.withColumn("key", text_key(F.col("text"))).mapInArrow(
+            _sketch_batches(), f"doc_id {id_type}, n_shingles bigint, digest binary, bands array<bigint>, sketch binary, key string"
         ),
         "sketches",
     )
@@ -196,12 +219,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = size.groupBy("n", "lead", "mark").agg(F.min(F.struct("no", "band")).alias("one")).select("n", "lead", "one.*")
     buckets = stage(in_bands.drop("no").join(size, "band"), "buckets")
 
-    wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "digest", F.col("least").alias("doc_id"))
+    wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "digest", "least")
     bits = Shared(docs.sparkSession, bloom(wanted.select(_low_eight("digest").alias("h")), "h"))
     full = rows.mapInArrow(_set_batches(bits), f"doc_id {id_type}, digest binary, shingles binary")
-    sets = stage(
-        full.join(wanted, ["doc_id", "digest"]).dropDuplicates(["class"]).select("class", "shingles"), "sets"
-    )
+    bearer = (full["digest"] == wanted["digest"]) & full["doc_id"].eqNullSafe(wanted["least"])
+    sets = stage(full.join(wanted, bearer).select("class", "shingles").dropDuplicates(["class"]), "sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         two = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
@@ -227,11 +249,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "digest", "least", F.coalesce("root", "class").alias("root")
     )
     least = low.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = low.join(least, "root").select("digest", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    empty = F.col("n_shingles") == 0
-    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = low.join(least, "root").select("digest", "root", "component_id")
+    out = sketched.select("doc_id", "key", "n_shingles", "digest").join(named, "digest", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "key", "n_shingles", "root", component.alias("component_id"))
 
 
 def _low_eight(digest: str):

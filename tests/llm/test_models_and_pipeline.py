@@ -162,3 +162,18 @@ def test_near_duplicate_stage_by_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     want = {i for i, _, root, kept in brute_components(rows) if kept}
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == want
+
+
+def test_near_duplicate_stage_keeps_rows_without_an_id_and_texts_that_share_one(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c, d, e = ([f"w{rng.randint(0, 10**6)}" for _ in range(60)] for _ in range(5))
+    text = lambda w, end="": " ".join(w + ([end] if end else []))
+    rows = [(None, text(a)), (None, text(a)), (None, text(a, "more")), (None, text(b)), (7, text(b, "more"))]  # null ids
+    rows += [(5, text(c)), (5, text(d)), (3, text(d, "more")), (5, text(c)), (8, text(e)), (8, text(e, "more"))]  # shared ids
+    rows += [(None, ""), (None, ""), (9, ""), (10, None)]
+    got = Counter(map(tuple, corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "").collect()))
+    either = [(x, y) for x in ((None, text(a)), (None, text(a, "more"))) for y in ((8, text(e)), (8, text(e, "more")))]
+    sure = [(7, text(b, "more")), (5, text(c)), (3, text(d, "more")), (None, ""), (9, ""), (10, None)]
+    assert got in [Counter([*sure, x, y]) for x, y in either]
