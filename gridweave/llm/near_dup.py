@@ -6,16 +6,18 @@
    *class* at once, so groups of exact copies cost one row from here on.
 2. Classes that share a band meet in a bucket. Each is first paired with the
    bucket's smallest member only. A pair goes on if its sketches' XOR holds
-   few enough ones for a similarity of ``SKETCH_FLOOR`` or more (four standard
-   deviations under the threshold); then the full sets are intersected.
+   few enough ones for a similarity of ``SKETCH_FLOOR`` or more; then the full
+   sets are intersected. The sketch only says what goes ahead: in a bucket of
+   two the pair is verified in any case, in others step 3 looks again.
    The first few bands go ahead; in the others only members that are not yet
    in one component with the smallest are paired.
 3. Links make components. In a bucket whose members are all in one component
    there is nothing left to link. In the others, members outside its largest
-   component are compared by sketch, in blocks of bounded size, with all
+   component are compared, in blocks of bounded size, with all
    members of other components: at first only a spanning forest of the best
-   estimates goes to verification, then, after those links have joined
-   components, every pair that is left is verified within its block. No pair within a component is ever
+   estimates by sketch goes to verification, then, after those links have joined
+   components, every pair that is left is verified within its block, whatever
+   its sketches say. No pair within a component is ever
    made, and no bucket is gathered.
 
 A pair at the threshold itself shares no band with probability
@@ -230,18 +232,19 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
         return stage(two.mapInArrow(_verified(percent), "a bigint, b bigint"), tag)
 
     most = most_ones(SKETCH_FLOOR)
-    star = buckets.filter("class != lead").select("no", F.col("lead").alias("a"), F.col("class").alias("b"))
-    links = verified(close(star.filter(F.col("no") < FIRST_BANDS).drop("no").distinct(), most), "links-first")
+    star = buckets.filter("class != lead").select("no", "n", F.col("lead").alias("a"), F.col("class").alias("b"))
+    links = verified(close(star.filter(F.col("no") < FIRST_BANDS).select("a", "b").distinct(), most), "links-first")
     root_of = components(links)
-    later = star.filter(F.col("no") >= FIRST_BANDS).drop("no").distinct()
+    later = star.filter((F.col("no") >= FIRST_BANDS) | (F.col("n") == 2)).groupBy("a", "b").agg(F.min("n").alias("n"))
     later = later.join(root_of.toDF("a", "ra"), "a", "left").join(root_of.toDF("b", "rb"), "b", "left")
-    later = later.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    links = stage(links.unionByName(verified(close(later, most), "links-later")), "links")
+    later = later.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "n")
+    later = close(later.filter("n > 2").select("a", "b"), most).unionByName(later.filter("n = 2").select("a", "b"))
+    links = stage(links.unionByName(verified(later, "links-later")), "links")
     for turn in ("best", "all"):
         found = components(links)
         best = turn == "best"
         rest = _blocks(buckets, found, sketches if best else sketches.join(sets, "class")).groupBy("band", "o", "d", "own")
-        more = rest.applyInArrow(_across(most, None if best else percent), "a bigint, b bigint").distinct()
+        more = rest.applyInArrow(_across(most if best else None, percent), "a bigint, b bigint").distinct()
         links = stage(links.unionByName(verified(more, "links-best") if best else more), "links")
     root = components(links)
 
@@ -311,11 +314,11 @@ def _similar(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _across(most: int, percent: int | None):
-    """Pairs of one block, of different components and close by sketch, nearest first, that still join two components.
+def _across(most: int | None, percent: int):
+    """Pairs of one block, of different components, nearest by sketch first, that still join two components.
 
-    Without ``percent`` they are a spanning forest of estimates, to be
-    verified; with it every pair is verified here, on the full sets that the
+    With ``most`` they are a spanning forest of estimates up to so many ones, to be
+    verified; without it every pair is verified here, on the full sets that the
     rows bring, and only links come out.
     """
 
@@ -323,7 +326,8 @@ def _across(most: int, percent: int | None):
         table = table.combine_chunks()
         ids, root, side = (table[c].to_numpy() for c in ("class", "root", "side"))
         bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), _U).reshape(len(ids), -1)
-        sets = table["shingles"].to_pylist() if percent is not None else []
+        sets = table["shingles"].to_pylist() if most is None else []
+        held = np.array([len(x) for x in sets], np.int64)
         own = bool(table["own"][0].as_py())
         left = np.arange(len(ids)) if own else np.flatnonzero(side == 0)
         right = left if own else np.flatnonzero(side == 1)
@@ -331,7 +335,8 @@ def _across(most: int, percent: int | None):
         for i in left:
             j = right[(root[right] != root[i]) & ((ids[right] > ids[i]) | (not own))]
             ones = apart(bits[j], bits[i])
-            near = ones <= most
+            # sets of too different a size are never similar
+            near = ones <= most if most is not None else 100 * np.minimum(held[j], held[i]) >= percent * np.maximum(held[j], held[i])
             got += zip(ones[near].tolist(), [int(i)] * int(near.sum()), j[near].tolist(), strict=True)
         up: dict = {}
 
@@ -343,7 +348,7 @@ def _across(most: int, percent: int | None):
         a, b = [], []
         for _, i, j in sorted(got):
             x, y = top(root[i]), top(root[j])
-            if x != y and (percent is None or _similar(sets[i], sets[j], percent)):
+            if x != y and (most is not None or _similar(sets[i], sets[j], percent)):
                 up[x] = y
                 a.append(int(min(ids[i], ids[j])))
                 b.append(int(max(ids[i], ids[j])))

@@ -219,6 +219,20 @@ def test_near_duplicates_in_one_large_group(spark):
     assert as_counter(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows)
 
 
+def test_near_duplicates_whatever_the_sketch_says(spark, monkeypatch):
+    """Pairs and a group in common buckets; a sketch that calls all of them too far apart takes no link away."""
+    rng = random.Random(12)
+    monkeypatch.setattr(near_dup, "SKETCH_FLOOR", 1.0)
+    rows = []
+    for i in range(20):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w[:50] + ["v"] + w[51:])), (10 * i + 2, " ".join(w[:30]))]
+    for i in range(300, 312):
+        rows.append((i, " ".join([*w[: i - 295], "u", *w[i - 294 :]])))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert as_counter(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows)
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for want in (0.6, 0.75, 0.9):
