@@ -1,7 +1,7 @@
 """Operator 2: benchmark decontamination with SimHash windows and a multi-index.
 
 For every benchmark item of ``m`` words, all windows of ``m`` words of every
-text are in question. A window and its item are made of k-word shingles
+text are in question; a text of fewer words is one window. A window and its item are made of k-word shingles
 (five words, or all words of a shorter item), and a shingle that fewer items
 hold weighs more. The steps for each text:
 
@@ -132,10 +132,8 @@ class Benchmark:
         item of ``m`` words holds.
         """
         size = self.sizes[m]
-        span = m - size["k"] + 1  # shingles of a window
+        span = min(m - size["k"] + 1, len(h))  # shingles of a window: all of a text that is shorter than the item
         last = len(h) - span
-        if last < 0:
-            return
         mark = np.zeros(last + 2, np.int64)
         np.add.at(mark, np.clip(hits - span + 1, 0, last + 1), 1)
         np.add.at(mark, np.minimum(hits, last) + 1, -1)
@@ -165,7 +163,7 @@ class Benchmark:
                     if sim[top] >= threshold - 1e-9 and (item not in best or found < best[item]):
                         best[item] = found
         for item, (sim, start, dist) in best.items():
-            yield size["ids"][item], start, m, -sim, dist
+            yield size["ids"][item], start, span + size["k"] - 1, -sim, dist
 
 
 def _weights(items: list[str]) -> tuple[dict[int, float], float]:

@@ -288,6 +288,17 @@ def test_decontamination(spark, docs, texts):
     assert as_counter(left, "doc_id") == Counter((i,) for i, _ in texts) - Counter((i,) for i in {k[0] for k in want} for _ in range(3))
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(words[:46])), (2, " ".join(words[4:])), (3, " ".join(words[:30])), (4, "w1 w2"), (5, " ".join(words)), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    got = {(r[0], r[1], r[2], r[3], round(r[4], 6)) for r in decontaminate.contaminated(docs, bench).collect()}
+    near = round(42 / 46, 6)
+    assert got == {(1, 1, 0, 46, near), (2, 1, 0, 46, near), (5, 1, 0, 50, 1.0)}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4, 6}
+
+
 def reference_spans(x):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
