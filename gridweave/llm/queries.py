@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER, PIECE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TRAINING_KEY = 20_240_229
+MIXTURE_SEED, WHITENING_SEED = 41, 12
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,24 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(_table(spark, sf_dir, "documents"), TOKENIZER, TRAINING_KEY, pad_id=49407)
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.mixture import mix
+
+    return mix(_table(spark, sf_dir, "documents"), MIXTURE_SEED)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), WHITENING_SEED)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.alignment import align
+
+    return align(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
@@ -85,5 +105,48 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_training_order": op10_training_order,
+    "op11_mixture": op11_mixture,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
-ORACLES: dict[str, str] = {}
+
+# The mix from its definition: every quotient of every source is made and the highest are kept.
+_MIXTURE_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(concat_ws(':', '{seed}', doc_id::VARCHAR, text)) AS digest
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [3, 1, 2][((place - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS cap,
+         sum(source_size) OVER () AS words FROM sources
+), levels AS (
+  SELECT *, (words * 1.5::DOUBLE - sum(cap) OVER () + sum(cap) OVER behind) / sum(weight) OVER behind AS level
+  FROM weighed
+  WINDOW behind AS (ORDER BY cap::DOUBLE / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), found AS (
+  SELECT *, least(cap::DOUBLE, coalesce((SELECT level FROM levels l WHERE l.level * l.weight <= l.cap
+                                 ORDER BY l.cap::DOUBLE / l.weight, l.place LIMIT 1) * weight, cap)) AS target
+  FROM levels
+), quotients AS (
+  SELECT source, place, target / (2 * k + 1) AS quotient
+  FROM (SELECT source, place, target, unnest(range(0, (target / {block} + 100)::BIGINT)) AS k FROM found WHERE target > 0)
+), given AS (
+  SELECT source, count(*) AS blocks
+  FROM (SELECT source, row_number() OVER (ORDER BY quotient DESC, place) AS n FROM quotients)
+  WHERE n <= (SELECT floor(sum(target) / {block} + 0.5) FROM found)
+  GROUP BY source
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM sized
+), planned AS (
+  SELECT f.source, source_size, target, least(coalesce(blocks, 0) * {block}, cap) AS got
+  FROM found f LEFT JOIN given g ON f.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, got - start)) + greatest(0, least(size, got - source_size - start)))::BIGINT AS taken
+FROM placed p JOIN planned q ON p.source IS NOT DISTINCT FROM q.source
+"""
+ORACLES: dict[str, str] = {"op11_mixture": _MIXTURE_SQL.format(seed=MIXTURE_SEED, block=16)}
