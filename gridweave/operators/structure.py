@@ -10,14 +10,24 @@ Semantics, per image, for one axis with start ``s`` (top or left) and end
 * ``span  = 1 + |{a : a > s and e - a >= tol}|``
 * ``num   = |anchors|``; an image without cells reads as 1 x 1.
 
-Plan shape. The anchors depend only on the *distinct* start values of an
-image, so the cells themselves are never gathered: a first aggregation
-builds, per image, the sorted set of distinct tops and lefts (map-side
-partial aggregation drops duplicates before the shuffle), folds it into
-anchors with ``aggregate`` (a JVM higher-order function), and a join brings
-the two small anchor arrays back to every cell, where index and span are
-projections. Cells are shuffled once by image key for the join; AQE's skew
-join splits an image that holds a large share of all cells.
+Plan shape, the same for images of any size, lazy and without a driver action:
+
+1. Both axes are cut into *stretches* of ``STRETCH`` tolerances. One
+   aggregation lists the distinct starts of every stretch (duplicates go
+   before the shuffle), so an image's starts are never gathered.
+2. A start more than ``tol`` past the start before it is an anchor for
+   certain, whatever stands further back. So a stretch folds on its own, but
+   for a *head* that goes on, without such a gap, from the stretch before
+   (whose last start comes along where it is near enough).
+3. A head needs one value: the last anchor before it. That is the last one of
+   the nearest earlier stretch that has a certain one; stretches between, all
+   head, map it on: their few possible first anchors (the starts within one
+   tolerance) are each folded to the last anchor that follows from it.
+4. The anchors of an image, one small row (their spacing bounds them by the
+   image's extent over ``tol``, however many cells there are), meet its cells in one
+   join, where index and span are projections. That join AQE may broadcast, and
+   splits where an image is hot; a merge of cells and anchors in one sorted
+   window could not be split.
 
 ``form="array"`` is the one-shuffle alternative for inputs whose images are
 bounded (a detector emits at most 300 cells per image): it gathers the cells
@@ -28,7 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType
 
@@ -44,14 +54,14 @@ def _dtype(df: DataFrame, c: str) -> DataType:
     return df.schema[c].dataType
 
 
-def anchor_fold(starts: Column, tol: Column, elem_type: DataType = FloatType()) -> Column:
-    """W7/W9 anchors of an array of start values, ascending.
+def anchor_fold(starts: Column, tol: Column, elem_type: DataType = FloatType(), last: Column | None = None) -> Column:
+    """W7/W9 anchors of an array of start values, ascending, after the anchor ``last`` (none: the first value is one).
 
     ``aggregate`` walks the sorted values once; a value opens a new anchor when
     it lies more than ``tol`` past the current anchor.
     """
     zero = F.struct(
-        F.lit(None).cast(elem_type).alias("p"),
+        (F.lit(None) if last is None else last).cast(elem_type).alias("p"),
         F.array().cast(ArrayType(elem_type)).alias("a"),
     )
 
@@ -73,7 +83,14 @@ def axis_span(anchors: Column, start: Column, end: Column, tol: Column) -> Colum
     return (1 + F.size(F.filter(anchors, lambda a: (a > start) & ((end - a) >= tol)))).cast("int")
 
 
-HEAVY_IMAGE_CELLS = 1 << 16  # images above this many cells take the distributed anchor path
+STRETCH = 256  # tolerances (pixels, if the tolerance is below one) that are folded together
+_FAR = float(1 << 52)
+
+
+def _stretch(x: Column, width: float) -> Column:
+    """Number of the stretch a coordinate lies in; what is beyond all numbers, or is none, lies in the last."""
+    at = F.floor(F.least(F.greatest(x.cast("double") / F.lit(width), F.lit(-_FAR)), F.lit(_FAR))).cast("bigint")
+    return F.coalesce(at, F.lit(int(_FAR)).cast("bigint"))
 
 
 def grid_anchors(
@@ -82,57 +99,69 @@ def grid_anchors(
     tolerance: float = DEFAULT_TOLERANCE,
     rows: bool = True,
     cols: bool = True,
-    heavy_threshold: int | None = HEAVY_IMAGE_CELLS,
+    width: float | None = None,
 ) -> DataFrame:
     """Per image: ``row_anchors`` / ``col_anchors`` arrays (one small row per image).
 
-    Images with at most ``heavy_threshold`` cells fold their sorted distinct
-    starts in one aggregate. Larger images (found by one small count job)
-    take the exact distributed path of :mod:`gridweave.operators.heavy`; the
-    set of such images is at most ``total cells / heavy_threshold`` keys, so
-    it is broadcast to split the input.
+    ``width`` overrides the length of a stretch in pixels; no result depends on it.
     """
     keys = _keys(key)
-    if heavy_threshold is not None:
-        sizes = dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        heavy_keys = sizes.filter(F.col("_n") > F.lit(int(heavy_threshold))).select(*keys)
-        if not heavy_keys.isEmpty():
-            return _split_anchors(dets, keys, tolerance, rows, cols, heavy_keys)
-    return _light_anchors(dets, keys, tolerance, rows, cols)
-
-
-def _light_anchors(dets: DataFrame, keys: list[str], tolerance: float, rows: bool, cols: bool) -> DataFrame:
-    aggs = []
-    if rows:
-        aggs.append(F.collect_set("t").alias("_ts"))
-    if cols:
-        aggs.append(F.collect_set("l").alias("_ls"))
-    g = dets.groupBy(*keys).agg(*aggs)
-    out = [F.col(k) for k in keys]
-    if rows:
-        tt = _dtype(dets, "t")
-        out.append(anchor_fold(F.col("_ts"), threshold_literal_any(tolerance, tt), tt).alias("row_anchors"))
-    if cols:
-        lt = _dtype(dets, "l")
-        out.append(anchor_fold(F.col("_ls"), threshold_literal_any(tolerance, lt), lt).alias("col_anchors"))
-    return g.select(*out)
-
-
-def _split_anchors(dets: DataFrame, keys: list[str], tolerance: float, rows: bool, cols: bool, heavy_keys: DataFrame) -> DataFrame:
-    from gridweave.operators import heavy as H
-    from gridweave.session import materialize
-
-    hk = F.broadcast(materialize(heavy_keys))
-    light = _light_anchors(dets.join(hk, keys, "left_anti"), keys, tolerance, rows, cols)
-    big = dets.join(hk, keys, "left_semi")
-    bound = H.chain_bound(big, keys, tolerance)
-    parts = []
-    if rows:
-        parts.append(H.heavy_axis_anchors(big, keys, "t", tolerance, "row_anchors", bound))
-    if cols:
-        parts.append(H.heavy_axis_anchors(big, keys, "l", tolerance, "col_anchors", bound))
-    heavy = parts[0] if len(parts) == 1 else parts[0].join(parts[1], keys)
-    return light.unionByName(heavy.select(*light.columns))
+    width = float(width or STRETCH * max(float(tolerance), 1.0))
+    axes = [(c, n) for c, n, used in (("t", "row_anchors", rows), ("l", "col_anchors", cols)) if used]
+    if len({_dtype(dets, c) for c, _ in axes}) > 1:  # each axis compares in the type of its own column
+        parts = [grid_anchors(dets, keys, tolerance, n == "row_anchors", n == "col_anchors", width) for _, n in axes]
+        return parts[0].join(parts[1], keys)
+    kind = _dtype(dets, axes[0][0])
+    found = _stretch_anchors(_stretches(dets, keys, [c for c, _ in axes], float(tolerance), width, kind), keys, float(tolerance), kind)
+    lists = [F.sort_array(F.flatten(F.collect_list(F.when(F.col("axis") == i, F.col("anchors"))))).alias(n) for i, (_, n) in enumerate(axes)]
+    return found.groupBy(*keys).agg(*lists)
+
+
+def _stretches(dets: DataFrame, keys: list[str], starts: list[str], tol: float, width: float, kind: DataType) -> DataFrame:
+    """``keys, axis, at, s, back``: the distinct starts of every stretch, sorted, and the last near one of the stretch before."""
+    none = F.lit(None).cast(kind)
+    spots = []
+    for i, c in enumerate(starts):
+        s, at = F.col(c), _stretch(F.col(c), width)
+        spots.append(F.struct(F.lit(i).alias("axis"), at.alias("at"), s.alias("s"), none.alias("back")))
+        near = _stretch(s.cast("double") + 2 * tol, width) > at
+        spots.append(F.when(near, F.struct(F.lit(i).alias("axis"), (at + 1).alias("at"), none.alias("s"), s.alias("back"))))
+    rows = dets.select(*keys, F.explode(F.array(*spots)).alias("x")).filter(F.col("x").isNotNull()).select(*keys, "x.*")
+    return rows.groupBy(*keys, "axis", "at").agg(F.sort_array(F.collect_set("s")).alias("s"), F.max("back").alias("back"))
+
+
+def _stretch_anchors(stretches: DataFrame, keys: list[str], tolerance: float, kind: DataType) -> DataFrame:
+    """``keys, axis, at, anchors`` of every stretch."""
+    tol, n = threshold_literal_any(tolerance, kind), F.size("s")
+    past = lambda x, p: (x - p) > tol
+
+    # the head goes on from the stretch before, up to the first gap; the rest is certain
+    rows = stretches.withColumn("open", (n > 0) & F.col("back").isNotNull() & ~past(F.get("s", F.lit(0)), F.col("back")))
+    gap = F.filter(F.sequence(F.lit(1), n - 1), lambda i: past(F.get("s", i), F.get("s", i - 1)))
+    rows = rows.withColumn("cut", F.when(F.col("open"), F.when(n > 1, F.coalesce(F.get(gap, F.lit(0)), n)).otherwise(n)).otherwise(F.lit(0)))
+    rows = rows.select(
+        *keys, "axis", "at", "back", "open", F.slice("s", F.lit(1), F.col("cut")).alias("head"),
+        anchor_fold(F.slice("s", F.col("cut") + 1, n), tol, kind).alias("sure"),
+    ).withColumn("out", F.get("sure", F.size("sure") - 1))
+
+    # a stretch that is all head: the last anchor by the first one
+    def follow(e: Column) -> Column:
+        chain = anchor_fold(F.filter("head", lambda x: x >= e), tol, kind)
+        return F.struct(e.alias("first"), F.get(chain, F.size(chain) - 1).alias("last"))
+
+    first = F.filter("head", lambda e, i: (i == 0) | ~past(F.get("head", i - 1), F.col("back")))
+    rows = rows.withColumn("through", F.when(F.col("open") & F.col("out").isNull(), F.transform(first, follow)))
+
+    earlier = Window.partitionBy(*keys, "axis").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("p", F.last("out", ignorenulls=True).over(earlier)).withColumn("chain", F.count("out").over(earlier))
+    between = Window.partitionBy(*keys, "axis", "chain").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("mids", F.collect_list("through").over(between))
+    passed = F.aggregate(
+        "mids", F.col("p"), lambda p, m: F.coalesce(F.get(F.filter(m, lambda x: past(x["first"], p)), F.lit(0))["last"], p)
+    )
+    rows = rows.withColumn("p", F.when(F.col("open"), passed))
+    both = F.concat(anchor_fold(F.col("head"), tol, kind, F.col("p")), F.col("sure"))
+    return rows.select(*keys, "axis", "at", F.when(F.col("open"), both).otherwise(F.col("sure")).alias("anchors"))
 
 
 def threshold_literal_any(value: float, dtype: DataType) -> Column:
@@ -140,7 +169,8 @@ def threshold_literal_any(value: float, dtype: DataType) -> Column:
     return F.lit(float(value)).cast(dtype)
 
 
-def _project_axes(df: DataFrame, tolerance: float, rows: bool, cols: bool, with_shape: bool = False) -> list[Column]:
+def axes_of(df: DataFrame, tolerance: float, rows: bool = True, cols: bool = True, with_shape: bool = False) -> list[Column]:
+    """``row, row_span, col, col_span`` of cells that stand beside their image's anchors."""
     out = []
     if rows:
         tol = threshold_literal_any(tolerance, _dtype(df, "t"))
@@ -165,7 +195,7 @@ def assign_cells(
     cols: bool = True,
     form: str = "join",
     carry: Sequence[str] = (),
-    heavy_threshold: int | None = HEAVY_IMAGE_CELLS,
+    width: float | None = None,
     with_shape: bool = False,
 ) -> DataFrame:
     """Every cell with its ``row, col, row_span, col_span``.
@@ -178,9 +208,9 @@ def assign_cells(
     base = keys + ["det_idx", "l", "t", "r", "b"] + [c for c in carry if c not in keys]
     if form == "array":
         return _assign_cells_array(dets.select(*base), keys, tolerance, rows, cols, with_shape)
-    anchors = grid_anchors(dets, keys, tolerance, rows, cols, heavy_threshold)
+    anchors = grid_anchors(dets, keys, tolerance, rows, cols, width)
     joined = dets.select(*base).join(anchors, keys)
-    return joined.select(*base, *_project_axes(joined, tolerance, rows, cols, with_shape))
+    return joined.select(*base, *axes_of(joined, tolerance, rows, cols, with_shape))
 
 
 def _assign_cells_array(
@@ -200,7 +230,7 @@ def _assign_cells_array(
             anchor_fold(F.transform("_cells", lambda c: c["l"]), threshold_literal_any(tolerance, lt), lt).alias("col_anchors")
         )
     flat = g.select(*keys, *extra, F.inline("_cells"))
-    return flat.select(*keys, *payload, *_project_axes(flat, tolerance, rows, cols, with_shape))
+    return flat.select(*keys, *payload, *axes_of(flat, tolerance, rows, cols, with_shape))
 
 
 def table_shapes(
@@ -239,23 +269,10 @@ def build_tables(
     anchors = grid_anchors(dets, keys, tolerance)
     base = keys + ["det_idx", "l", "t", "r", "b"]
     joined = dets.select(*base).join(anchors, keys)
-    cells = joined.select(*base, *_project_axes(joined, tolerance, True, True))
+    cells = joined.select(*base, *axes_of(joined, tolerance, True, True))
     return cells, table_shapes(anchors, keys, images)
 
 
-def nest_tables(cells: DataFrame, shapes: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
-    """A6 nested form ``(key, num_rows, num_cols, cells ARRAY<STRUCT>)``, cells by ``det_idx``.
-
-    For export only: the flat cell frame is the working form.
-    """
-    keys = _keys(key)
-    payload = [c for c in cells.columns if c not in keys]
-    nested = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("cells"))
-    return shapes.join(nested, keys, "left").select(
-        *keys, "num_rows", "num_cols", F.coalesce("cells", F.array().cast(nested.schema["cells"].dataType)).alias("cells")
-    )
-
-
 def argsort(
     dets: DataFrame, by: str, key: str | Sequence[str] = "image_id", name: str | None = None, bucket_width: float = 64.0
 ) -> DataFrame:

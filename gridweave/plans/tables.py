@@ -104,14 +104,7 @@ def recognize_tables(
     anchors = S.grid_anchors(kept, keys, tolerance)
     base = keys + ["det_idx", "model_idx", "score", "l", "t", "r", "b"]
     joined = kept.select(*base).join(anchors, keys)
-    tol = F.lit(float(tolerance)).cast(kept.schema["t"].dataType)
-    cells = joined.select(
-        *base,
-        S.axis_index(F.col("row_anchors"), F.col("t")).alias("row"),
-        S.axis_index(F.col("col_anchors"), F.col("l")).alias("col"),
-        S.axis_span(F.col("row_anchors"), F.col("t"), F.col("b"), tol).alias("row_span"),
-        S.axis_span(F.col("col_anchors"), F.col("l"), F.col("r"), tol).alias("col_span"),
-    )
+    cells = joined.select(*base, *S.axes_of(joined, tolerance))
     shapes = S.table_shapes(anchors, keys, images).join(classes.select(*keys, "model_idx", "label"), keys)
     return Recognized(classes, dets, cells, shapes)
 

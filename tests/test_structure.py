@@ -136,14 +136,17 @@ def test_argsort_is_stable(spark):
     assert ranks == [(0, 1), (1, 2), (2, 0)]
 
 
-@pytest.mark.parametrize("tol", [10.0, 0.0, 3.5])
-def test_distributed_anchor_path_matches_loop(spark, tol):
-    """Every image forced onto the distributed path (threshold 2) must equal the sequential loop."""
+@pytest.mark.parametrize("tol,width", [(10.0, 21.0), (10.0, 64.0), (10.0, None), (0.0, 1.5), (3.5, 9.0)])
+def test_anchors_cut_into_stretches_match_loop(spark, tol, width):
+    """Short stretches cut every run of starts; the result must equal the sequential loop."""
     data = random_images(np.random.default_rng(11), 24, 60)
+    rng = np.random.default_rng(12)
+    data[97] = [(float(i), float(2 * i), float(i + 60), float(2 * i + 5)) for i in range(-150, 150)]  # one run over many stretches
+    data[98] = [(*map(float, rng.uniform(-200, 400, 2).astype(np.float32)), 401.0, 300.5) for _ in range(600)]  # dense, not integers
     data[99] = [(float(np.float32(0.1 * i)), float(np.float32(9.95 + 0.05 * i)), 5.0, 20.0) for i in range(40)]
     df = frame(spark, data)
-    got = {(r.image_id, r.det_idx): r for r in S.assign_cells(df, tolerance=tol, heavy_threshold=2).collect()}
-    shapes = {r.image_id: r for r in S.table_shapes(S.grid_anchors(df, tolerance=tol, heavy_threshold=2)).collect()}
+    got = {(r.image_id, r.det_idx): r for r in S.assign_cells(df, tolerance=tol, width=width).collect()}
+    shapes = {r.image_id: r for r in S.table_shapes(S.grid_anchors(df, tolerance=tol, width=width)).collect()}
     for img, boxes in data.items():
         row, col, rs, cs, nr, nc = loop_table(boxes, tol)
         assert (shapes[img].num_rows, shapes[img].num_cols) == (nr, nc), img
@@ -152,13 +155,14 @@ def test_distributed_anchor_path_matches_loop(spark, tol):
             assert (g.row, g.col, g.row_span, g.col_span) == (row[i], col[i], rs[i], cs[i]), (img, i)
 
 
-def test_distributed_anchors_of_starts_around_zero(spark):
+@pytest.mark.parametrize("width", [21.0, 33.3, None])
+def test_anchors_of_starts_around_zero(spark, width):
     """A start near minus the tolerance: the first value past it lies close to zero, where floats are dense."""
     rng = np.random.default_rng(3)
     data = {img: [(*map(float, rng.uniform(-20, 20, 2).astype(np.float32)), 30.0, 30.0) for _ in range(40)] for img in range(6)}
     data[6] = [(x, x, 310.0, 310.0) for x in (-9.9999, 0.0001002, 300.0)]
     df = frame(spark, data)
-    got = {(r.image_id, r.det_idx): r for r in S.assign_cells(df, heavy_threshold=2).collect()}
+    got = {(r.image_id, r.det_idx): r for r in S.assign_cells(df, width=width).collect()}
     for img, boxes in data.items():
         row, col, rs, cs, _, _ = loop_table(boxes, 10.0)
         for i in range(len(boxes)):
@@ -167,14 +171,14 @@ def test_distributed_anchors_of_starts_around_zero(spark):
     assert [got[(6, i)].col for i in range(3)] == [0, 0, 1]
 
 
-def test_composite_key_light_and_distributed_agree(spark):
+def test_composite_key_and_stretches_agree(spark):
     data = random_images(np.random.default_rng(5), 12, 30)
     rows = [(img // 4, img % 4, i, *map(float, b)) for img, boxes in data.items() for i, b in enumerate(boxes)]
     df = spark.createDataFrame(rows, "page_id bigint, cluster_id int, det_idx int, l float, t float, r float, b float")
     keys = ["page_id", "cluster_id"]
     cols = keys + ["det_idx", "row", "col", "row_span", "col_span"]
-    light = S.assign_cells(df, keys, heavy_threshold=None).select(*cols)
-    heavy = S.assign_cells(df, keys, heavy_threshold=3).select(*cols)
+    light = S.assign_cells(df, keys, width=1e6).select(*cols)
+    heavy = S.assign_cells(df, keys, width=25.0).select(*cols)
     assert light.count() == heavy.count() == len(rows)
     assert light.exceptAll(heavy).count() == 0
     for img, boxes in data.items():
