@@ -33,54 +33,23 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _tiles(df: DataFrame, tile: float, prefix: str, active: Column | None = None) -> DataFrame:
-    t = F.lit(float(tile))
-
-    def rng(lo: str, hi: str) -> Column:
-        a = F.floor(F.col(prefix + lo) / t)
-        b = F.floor(F.col(prefix + hi) / t)
-        seq = F.sequence(a, F.greatest(a, b))
-        if active is None:
-            return seq
-        # inactive rows get one tile index no text can have
-        return F.when(active, seq).otherwise(F.array(F.lit(-(2**62)).cast("bigint")))
+def _tiles(df: DataFrame, tile: float, prefix: str, active: Column | None = None, spread: Column | None = None) -> DataFrame:
+    """One row for each tile that a box touches, with ``_first`` on one of them.
 
-    return df.withColumn("_tx", F.explode(rng("l", "r"))).withColumn("_ty", F.explode(rng("t", "b")))
+    Inactive rows get one tile that no text has, spread by ``spread`` so that
+    they do not meet in one task.
+    """
+    t = F.lit(float(tile))
+    at = {e: F.floor(F.col(prefix + e) / t) for e in "ltrb"}
 
+    def rng(lo: str, hi: str, apart: Column | None) -> Column:
+        seq = F.sequence(at[lo], F.greatest(at[lo], at[hi]))
+        return seq if apart is None else F.when(active, seq).otherwise(F.array(apart))
 
-def candidate_pairs(
-    cells: DataFrame,
-    texts: DataFrame,
-    key: str | Sequence[str] = "image_id",
-    overlap: float = DEFAULT_OVERLAP,
-    tile: float | None = DEFAULT_TILE,
-    cell_id: str = "det_idx",
-    text_id: str = "text_idx",
-) -> DataFrame:
-    """J3 pairs ``(key, cell_id, text_id, text)`` where the text overlaps the cell enough."""
-    keys = _keys(key)
-    c = cells.select(*keys, cell_id, *[F.col(e).cast("double").alias("c_" + e) for e in "ltrb"])
-    x = texts.select(*keys, text_id, "text", *[F.col(e).cast("double").alias("x_" + e) for e in "ltrb"])
-    # zero-area texts are never indexed
-    x = x.filter((F.col("x_r") - F.col("x_l")) * (F.col("x_b") - F.col("x_t")) > 0)
-    cond_cols = ["c_l", "c_t", "c_r", "c_b", "x_l", "x_t", "x_r", "x_b"]
-    if tile:
-        c = _tiles(c, tile, "c_")
-        x = _tiles(x, tile, "x_")
-        j = c.join(x, keys + ["_tx", "_ty"])
-        t = F.lit(float(tile))
-        own_tile = (F.col("_tx") == F.floor(F.greatest("c_l", "x_l") / t)) & (
-            F.col("_ty") == F.floor(F.greatest("c_t", "x_t") / t)
-        )
-    else:
-        j = c.join(x, keys)
-        own_tile = F.lit(True)
-    cl, ct, cr, cb, xl, xt, xr, xb = (F.col(n) for n in cond_cols)
-    hits = (cl < xr) & (xl < cr) & (ct < xb) & (xt < cb)
-    iw = F.least(cr, xr) - F.greatest(cl, xl)
-    ih = F.least(cb, xb) - F.greatest(ct, xt)
-    ratio = (iw * ih) / ((xr - xl) * (xb - xt))
-    return j.filter(hits & own_tile & (ratio > F.lit(float(overlap)))).select(*keys, cell_id, text_id, "text")
+    apart = (None, None) if active is None else (F.lit(-(2**62)).cast("bigint"), F.abs(F.xxhash64(spread)))
+    out = df.withColumn("_tx", F.explode(rng("l", "r", apart[0]))).withColumn("_ty", F.explode(rng("t", "b", apart[1])))
+    first = (F.col("_tx") == at["l"]) & (F.col("_ty") == at["t"])
+    return out.withColumn("_first", first if active is None else first | ~active)
 
 
 def concat_ordered(pairs: DataFrame, keys: list[str], cell_id: str, text_id: str, strip: bool = True) -> DataFrame:
@@ -104,8 +73,8 @@ def _tile_join_group(
     """Every cell once, with ``_m``: its qualifying texts as sorted ``(text_id, text)`` structs.
 
     Cell tiles are left-joined to text tiles and grouped by cell, so ``cells``
-    is read once and cells without texts survive. Cells where ``active`` is
-    false get one dummy tile that no text shares.
+    is read once and cells without texts survive; the first tile row of a cell
+    carries its other columns. Cells where ``active`` is false meet no text.
     """
     payload = [c for c in cells.columns if c not in keys and c != cell_id]
     c = cells.select(
@@ -115,8 +84,9 @@ def _tile_join_group(
     x = texts.select(*keys, text_id, "text", *[F.col(e).cast("double").alias("x_" + e) for e in "ltrb"])
     x = x.filter((F.col("x_r") - F.col("x_l")) * (F.col("x_b") - F.col("x_t")) > 0)  # zero area never matches
     if tile:
-        c = _tiles(c, tile, "c_", F.col("_active"))
-        x = _tiles(x, tile, "x_")
+        c = _tiles(c, tile, "c_", F.col("_active"), F.struct(cell_id))
+        c = c.withColumn("_payload", F.when(F.col("_first"), F.col("_payload"))).drop("_first")
+        x = _tiles(x, tile, "x_").drop("_first")
         j = c.join(x, keys + ["_tx", "_ty"], "left")
         t = F.lit(float(tile))
         own_tile = (F.col("_tx") == F.floor(F.greatest("c_l", "x_l") / t)) & (
@@ -132,7 +102,7 @@ def _tile_join_group(
     ok = hits & own_tile & ((iw * ih) / ((xr - xl) * (xb - xt)) > F.lit(float(overlap)))
     txt = py_strip("text") if strip else F.col("text")
     piece = F.when(ok, F.struct(F.col(text_id).alias("i"), txt.alias("s")))
-    g = j.groupBy(*keys, cell_id).agg(F.first("_payload").alias("_payload"), F.sort_array(F.collect_list(piece)).alias("_m"))
+    g = j.groupBy(*keys, cell_id).agg(F.first("_payload", ignorenulls=True).alias("_payload"), F.sort_array(F.collect_list(piece)).alias("_m"))
     return g.select(*keys, cell_id, *[F.col("_payload." + p).alias(p) for p in payload], "_m")
 
 
