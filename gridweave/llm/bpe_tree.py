@@ -129,7 +129,7 @@ def encode_texts(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(content.value)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 done = [finish(*x) for x in bpe.encode(part.column(1), spell=True)]
                 yield _batch(part.column(0), done, digest)
 
@@ -150,24 +150,25 @@ def encode_texts(
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(content.value)
-        for batch in batches:
-            ids, spans, raw = [], [], []
-            coded = bpe.encode(batch.column(4).filter(_not(batch.column(5))))
-            plain = iter(coded)
-            for piece, rough in zip(batch.column(4), batch.column(5), strict=True):
-                if rough.as_py():
-                    node = Node.of(bpe, piece.as_py(), 0, len(piece.as_py()))
-                    ids.append(node.ids.astype("<u4").tobytes())
-                    spans.append(np.stack([node.s, node.e]).astype("<u4").tobytes())
-                    raw.append(piece.as_py())
-                else:
-                    ids.append(next(plain)[0])
-                    spans.append(None)
-                    raw.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(ids, pa.binary()), pa.array(spans, pa.binary()), pa.array(raw, pa.string())],
-                names=["doc_id", "key", "part", "chain", "ids", "spans", "raw"],
-            )
+        for whole in batches:
+            for batch in slices(whole, "piece"):
+                ids, spans, raw = [], [], []
+                coded = bpe.encode(batch.column(4).filter(_not(batch.column(5))))
+                plain = iter(coded)
+                for piece, rough in zip(batch.column(4), batch.column(5), strict=True):
+                    if rough.as_py():
+                        node = Node.of(bpe, piece.as_py(), 0, len(piece.as_py()))
+                        ids.append(node.ids.astype("<u4").tobytes())
+                        spans.append(np.stack([node.s, node.e]).astype("<u4").tobytes())
+                        raw.append(piece.as_py())
+                    else:
+                        ids.append(next(plain)[0])
+                        spans.append(None)
+                        raw.append(None)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:4], pa.array(ids, pa.binary()), pa.array(spans, pa.binary()), pa.array(raw, pa.string())],
+                    names=["doc_id", "key", "part", "chain", "ids", "spans", "raw"],
+                )
 
     def grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Put the leaves of one text together; ``key`` names the text."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -58,6 +59,13 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(held, name)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, and others need it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 class Shared:
     """A broadcast object of this package; workers need no installed copy of its class."""
 
@@ -110,6 +118,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         z = min(n, max(a + 1, z))
         yield batch.slice(a, z - a)
         a = z
+    tidy()
 
 
 # ---------------------------------------------------------------- words and hashes
@@ -135,17 +144,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so both have inverses
 
 
+_KEPT_POWERS = 1 << 20  # as long as most slices; a longer text makes the rest anew
+
+
 def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a hash base and of its inverse, kept per worker."""
+    """At least ``n`` powers of a hash base and of its inverse; the first ones are kept per worker."""
     held = worker_cache("powers", dict)
-    if len(held.get((base, "up"), ())) < n:
-        m = max(n, 1 << 20) + 1
-        for name, r in (("up", _BASES[base]), ("down", pow(_BASES[base], -1, 1 << 64))):
-            p = np.ones(1, _U)
-            while len(p) < m:  # doubling: p[k + i] = p[k] * p[i]
-                p = np.concatenate([p, p * _U(pow(r, len(p), 1 << 64))])
-            held[base, name] = p[:m]
-    return held[base, "up"], held[base, "down"]
+
+    def grown(p: np.ndarray, r: int, m: int) -> np.ndarray:
+        while len(p) < m:  # doubling: p[k + i] = p[k] * p[i]
+            p = np.concatenate([p, p[: m - len(p)] * _U(pow(r, len(p), 1 << 64))])
+        return p
+
+    bases = {"up": _BASES[base], "down": pow(_BASES[base], -1, 1 << 64)}
+    for name, r in bases.items():
+        if (base, name) not in held:
+            held[base, name] = grown(np.ones(1, _U), r, _KEPT_POWERS + 1)
+    up, down = (grown(held[base, name], r, n) for name, r in bases.items())
+    return up, down
 
 
 def prefix_hash(data: np.ndarray, base: int = 0) -> np.ndarray:

@@ -11,6 +11,7 @@ characters outside a small set whose normal form is known (see
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 
 from gridweave.llm.common import buffers, worker_cache
 
-CACHE_WORDS = 1 << 18  # distinct words a worker remembers; beyond it, it starts anew
+CACHE_WORDS, CACHE_CHARS = 1 << 17, 1 << 21  # distinct words of a generation that a worker remembers, and their characters
 
 # The split pattern of the tokenizer file, for text in lower case whose
 # characters plain_rows() lets pass.
@@ -60,10 +61,12 @@ class WordBpe:
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u4")
         self.strings = [(self.tok.id_to_token(i) or "").encode() for i in range(size)]
-        self.joined = [s + b" " for s in self.strings]
+        self.table = pa.array([s + b" " for s in self.strings], pa.binary())
         self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, bytes] = {}  # this generation, and the one before it
+        self.before: dict[str, bytes] = {}
+        self.held = 0  # characters in self.words
 
     # -- single texts, by the library
     def ids(self, text: str) -> list[int]:
@@ -85,17 +88,23 @@ class WordBpe:
         return out
 
     # -- words of plain texts
-    def word(self, w: str) -> tuple[bytes, bytes]:
-        """Ids of a lower-case word as bytes, and its token strings, each with a blank behind it."""
+    def word(self, w: str) -> bytes:
+        """Ids of a lower-case word as bytes."""
         if (known := self.words.get(w)) is None:
-            ids = []
-            for p in _PIECES.findall(w):
-                s = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.symbols)
-                ids += [t.id for t in self.tok.model.tokenize(s)]
-            known = (np.array(ids, self.dtype).tobytes(), b"".join([self.joined[i] for i in ids]))
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
+            if (known := self.before.get(w)) is None:
+                tokenize = self.tok.model.tokenize
+                if w.isascii() and w.isalpha():
+                    ids = [t.id for t in tokenize(w)]
+                else:
+                    ids = []
+                    for p in _PIECES.findall(w):
+                        s = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.symbols)
+                        ids += [t.id for t in tokenize(s)]
+                known = array("I", ids).tobytes()  # four bytes each, as the platform orders them
+            if len(self.words) >= CACHE_WORDS or self.held > CACHE_CHARS:
+                self.before, self.words, self.held = self.words, {}, 0  # words still in use come over one by one
             self.words[w] = known
+            self.held += len(w)
         return known
 
     @staticmethod
@@ -109,6 +118,17 @@ class WordBpe:
         coded = flat.filter(pa.array(~empty)).dictionary_encode()
         return coded.dictionary.to_pylist(), np.asarray(coded.indices), kept[offs - offs[0]]
 
+    def spell(self, ids: list[bytes], index: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """The decoded texts, from the ids of each distinct word and the words' places."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat = self.table.take(pa.array(np.frombuffer(b"".join(ids), self.dtype)))
+        data, ends = buffers(flat)
+        edge = np.concatenate([[0], ends[np.cumsum(size)]])
+        words = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(edge.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+        out, at = buffers(words.take(pa.array(index)))
+        whole, at = memoryview(out.tobytes()), at[offs - offs[0]].tolist()
+        return [bytes(whole[a : max(a, z - 1)]) for a, z in zip(at[:-1], at[1:], strict=True)]
+
     def encode(self, col: pa.Array, spell: bool = False) -> list[tuple[bytes, bytes]]:
         """For every text: ids as little-endian 32-bit integers, and, if ``spell``, the decoded text."""
         if isinstance(col, pa.ChunkedArray):
@@ -120,11 +140,12 @@ class WordBpe:
         rows = np.flatnonzero(plain)
         if len(rows):
             vocab, index, offs = self.split(col if len(rows) == len(col) else col.filter(pa.array(plain)))
-            known = [self.word(w) for w in vocab]
-            ids, text = [k[0] for k in known], [k[1] for k in known]
+            ids = [self.word(w) for w in vocab]
             for r, a, z in zip(rows.tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                at = index[a:z].tolist()
-                out[r] = (b"".join([ids[i] for i in at]), b"".join([text[i] for i in at])[:-1] if spell else b"")
+                out[r] = b"".join([ids[i] for i in index[a:z].tolist()])
+            texts = self.spell(ids, index, offs) if spell else [b""] * len(rows)
+            for r, text in zip(rows.tolist(), texts, strict=True):
+                out[r] = (out[r], text)
         for r in np.flatnonzero(~plain).tolist():
             ids = self.ids(col[r].as_py())
             out[r] = (np.array(ids, self.dtype).tobytes(), self.spelled(ids) if spell else b"")
