@@ -175,10 +175,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = _linked(docs, id_col, text_col, percent)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
     kept = found.filter("n_shingles > 0").groupBy("root").agg(one).select("one.doc_id", "one.key")
-    kept = kept.unionByName(found.filter("n_shingles = 0").select("doc_id", "key").distinct()).toDF("_gw_id", "_gw_kept")
-    keyed = docs.withColumn("_gw_key", text_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col("_gw_id")) & (F.col("_gw_key") == F.col("_gw_kept"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "_gw_key"]).select(docs.columns)
+    kept = kept.unionByName(found.filter("n_shingles = 0").select("doc_id", "key").distinct())
+    rows = docs.select(F.struct("*").alias("row"))  # whatever its columns are called
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    rows = rows.select("row", F.col("row").getField(id_col).alias("id"), text_key(text).alias("text_key"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "text_key"]).select("row.*")
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:

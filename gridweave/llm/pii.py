@@ -274,21 +274,21 @@ def mask(text: str, terms: list[tuple[int, int, bool]]) -> str:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data masked in ``text_col``; other columns stay as they are."""
     _, terms = _found(docs, id_col, text_col)
-    of = terms.select(
-        F.col("doc_id").alias("_gw_id"), F.col("key").alias("_gw_key"), "start", "end", (F.col("share") >= REMOVE).alias("gone")
-    ).groupBy("_gw_id", "_gw_key").agg(F.collect_list(F.struct("start", "end", "gone")).alias("_gw_terms"))
-    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(of, F.col(id_col).eqNullSafe(F.col("_gw_id")) & (text_key(whole) == F.col("_gw_key")), "left").drop("_gw_id", "_gw_key")
+    of = terms.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end", (F.col("share") >= REMOVE).alias("gone"))).alias("terms"))
+    rows = docs.select(F.struct("*").alias("row"))  # whatever its columns are called
+    whole = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    same = F.col("row").getField(id_col).eqNullSafe(F.col("doc_id")) & (text_key(whole) == F.col("key"))
+    joined = rows.join(of, same, "left").select("row", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            n = batch.num_columns - 1
+            whole = pa.RecordBatch.from_struct_array(batch.column(0))
+            at = whole.schema.get_field_index(text_col)
             new = [
                 mask(t or "", [(x["start"], x["end"], x["gone"]) for x in k or []])
-                for t, k in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), strict=True)
+                for t, k in zip(whole.column(at).to_pylist(), batch.column(1).to_pylist(), strict=True)
             ]
-            cols = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(n)]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:n])
+            cols = [pa.array(new, pa.string()) if i == at else whole.column(i) for i in range(whole.num_columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=whole.schema.names)
 
     return joined.mapInArrow(run, docs.schema)

@@ -157,7 +157,7 @@ def fit(
 
 
 def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row."""
+    """``doc_id, held_out, score, predicted`` for every row. A null id has no label to learn from: it counts as held out."""
     rows = text_rows(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     shared = Shared(docs.sparkSession, model)
@@ -169,7 +169,7 @@ def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], names=["doc_id", "score"])
 
     got = rows.mapInArrow(run, f"doc_id {id_type}, score double")
-    return got.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return got.select("doc_id", (~F.coalesce(learnable(F.col("doc_id")), F.lit(False))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Machine, text_col: str = "text", limit: float = 0.5) -> DataFrame:

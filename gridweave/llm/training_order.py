@@ -6,8 +6,9 @@ numbered 0 .. N-1, and a keyed Feistel permutation with cycle-walking gives
 every number its global slot in training order: a bijection on 0 .. N-1 that
 any task computes by itself, without a shuffle of a permutation table. Slots
 are dealt out by range, so that each partition writes whole shards of
-``shard_rows`` consecutive slots, sorted. A reader finds slot ``s`` in shard
-``s // shard_rows`` at byte ``s % shard_rows * stride`` and goes on from there.
+``shard_rows`` consecutive slots, sorted. :func:`write_shards` writes them as raw
+files, in which a reader finds slot ``s`` in shard ``s // shard_rows`` at byte
+``s % shard_rows * stride`` and goes on from there.
 
 Null and empty texts have no sequences. Repeated rows give sequences of their
 own. The order depends only on the key, N and the numbering, which follows the
@@ -16,10 +17,12 @@ staged table of encoded texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,9 +128,38 @@ def by_task_is_small(staged: DataFrame, most: int = 100_000) -> bool:
     return len(staged.inputFiles()) <= most
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """Write :func:`training_order`'s rows as one folder per shard, in slot order."""
-    ordered.write.partitionBy("shard").parquet(path)
+def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+    """Write every shard as a raw file and return the manifest ``shard, first_slot, n_rows, n_bytes, file``.
+
+    Row ``i`` of shard ``s`` stands in ``<folder>/shard-<s>.bin`` at byte
+    ``i * stride``. ``folder`` is one that all executors share, as a path or as
+    a URI that Arrow's file systems open. A shard is written under a name of
+    its own and then renamed, so a file that is there is whole, and a task that
+    runs again writes the same file. The manifest itself is written as Parquet
+    to ``<folder>/manifest`` when all shards are there.
+    """
+    spark = ordered.sparkSession
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            sizes = []
+            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                name = f"{root}/shard-{shard:08d}.bin"
+                part = f"{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(payload.as_buffer())
+                store.move(part, name)
+                sizes.append((payload.as_buffer().size, f"shard-{shard:08d}.bin"))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([n for n, _ in sizes], pa.int64()), pa.array([f for _, f in sizes], pa.string())],
+                names=["shard", "first_slot", "n_rows", "n_bytes", "file"],
+            )
+
+    done = shard_payloads(ordered).mapInArrow(put, "shard bigint, first_slot bigint, n_rows int, n_bytes bigint, file string")
+    done.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def shard_payloads(ordered: DataFrame) -> DataFrame:
@@ -160,6 +192,6 @@ def shard_payloads(ordered: DataFrame) -> DataFrame:
     return ordered.select("shard", "slot", "tokens").mapInArrow(pack, "shard bigint, first_slot bigint, n_rows int, payload binary")
 
 
-def resume(ordered: DataFrame, slot: int) -> DataFrame:
-    """The rows from ``slot`` on; on written shards whole earlier shards are skipped."""
-    return ordered.filter((F.col("shard") >= slot // SHARD_ROWS) & (F.col("slot") >= slot))
+def resume(ordered: DataFrame, slot: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The rows from ``slot`` on; on rows kept by shard, of ``shard_rows`` each, earlier shards are skipped."""
+    return ordered.filter((F.col("shard") >= slot // shard_rows) & (F.col("slot") >= slot))
