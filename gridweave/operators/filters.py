@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridweave.functions import geometry as G
@@ -72,6 +72,36 @@ def drop_unknown_labels(df: DataFrame, class_id: str = "class_id") -> DataFrame:
     return df.filter(L.layout_doc_label(class_id).isNotNull())
 
 
+def observed_labels(df: DataFrame, class_id: str = "class_id") -> tuple[DataFrame, Observation]:
+    """P11 with its counters: the kept rows, and an observation with ``kept`` and ``dropped``.
+
+    The counters ride on whatever action reads the kept rows, so they cost no
+    pass of their own; ``.get`` on the observation waits for that action.
+    """
+    known = L.layout_doc_label(class_id).isNotNull()
+    seen = Observation("labels")
+    counted = df.observe(seen, F.count_if(known).alias("kept"), F.count_if(~known).alias("dropped"))
+    return drop_unknown_labels(counted, class_id), seen
+
+
+def box_fault(edges: Sequence[str] = ("l", "t", "r", "b")) -> Column:
+    """Why a box cannot be folded: ``missing``, ``not a number``, ``infinite`` or ``inverted``; null for a sound box."""
+    l, t, r, b = (F.col(e).cast("double") for e in edges)
+    some = lambda test: test(l) | test(t) | test(r) | test(b)
+    return (
+        F.when(some(lambda e: e.isNull()), F.lit("missing"))
+        .when(some(F.isnan), F.lit("not a number"))
+        .when(some(lambda e: F.abs(e) == float("inf")), F.lit("infinite"))
+        .when((r < l) | (b < t), F.lit("inverted"))
+    )
+
+
+def split_boxes(df: DataFrame, edges: Sequence[str] = ("l", "t", "r", "b")) -> tuple[DataFrame, DataFrame]:
+    """the rows with a sound box, and the others with a ``fault`` column; a row is in one of the two."""
+    fault = box_fault(edges)
+    return df.filter(fault.isNull()), df.filter(fault.isNotNull()).withColumn("fault", fault)
+
+
 def to_page_clusters(
     dets: DataFrame,
     page_width: str = "width",

@@ -80,6 +80,33 @@ def q_layout_unknown_drop(spark, sf_dir):
     return kept.select("page_id", F.col("det_idx").alias("cluster_id"), "class_id")
 
 
+@register(
+    "layout_label_counters",
+    O.with_(O.LAYOUT)
+    + f"SELECT count(*) FILTER (WHERE {O.LAYOUT_LABEL_CASE} IS NOT NULL) AS kept, count(*) FILTER (WHERE {O.LAYOUT_LABEL_CASE} IS NULL) AS dropped FROM lay",
+)
+def q_layout_label_counters(spark, sf_dir):
+    """Kept and dropped detections, counted by the very pass that reads the kept ones."""
+    kept, seen = P.observed_labels(D.layout_detections(spark, sf_dir))
+    kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["kept"], seen.get["dropped"])], "kept bigint, dropped bigint")
+
+
+@register(
+    "box_quarantine",
+    O.with_(O.LAYOUT, O.PAGES)
+    + """SELECT d.page_id, d.det_idx, CASE WHEN p.img_width IS NULL THEN 'missing' END AS fault,
+  CASE WHEN p.img_width IS NOT NULL THEN CAST(d.l * CAST(p.img_width / CAST(800 AS DOUBLE) AS FLOAT) AS FLOAT) END AS l
+FROM lay d LEFT JOIN pg p USING (page_id)""",
+)
+def q_box_quarantine(spark, sf_dir):
+    """model boxes scaled to their page's image; those of pages without an image have none and are set apart."""
+    pages = P.scale_factors(D.pages(spark, sf_dir).select("page_id", F.col("img_width").alias("width"), F.col("img_height").alias("height")), P.LAYOUT_INPUT)
+    boxes = P.rescale_boxes(D.layout_detections(spark, sf_dir).join(pages.select("page_id", "w_ratio", "h_ratio"), "page_id", "left"))
+    sound, faulty = P.split_boxes(boxes)
+    return sound.withColumn("fault", F.lit(None).cast("string")).unionByName(faulty).select("page_id", "det_idx", "fault", "l")
+
+
 @register("layout_clusters", O.with_(*LAYOUT_BASE) + "SELECT page_id, cluster_id, label, score, l, t, r, b FROM clus")
 def q_layout_clusters(spark, sf_dir):
     return _clusters(spark, sf_dir)

@@ -217,3 +217,38 @@ def test_debug_tables_forced_detector_and_api_tables(spark):
     rec = api.tables(imgs, cl, dets)
     assert rec.shapes.count() == imgs.count()
     assert rec.cells.filter("score <= 0.5").count() == 0
+
+
+def test_faulty_boxes_are_set_apart(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, i, *b) for i, b in enumerate([
+        (0.0, 0.0, 5.0, 5.0), (None, 0.0, 5.0, 5.0), (0.0, nan, 5.0, 5.0), (0.0, 0.0, inf, 5.0), (6.0, 0.0, 5.0, 5.0),
+        (0.0, 9.0, 5.0, 5.0), (40.0, 40.0, 40.0, 40.0), (nan, None, 1.0, 1.0),
+    ])]
+    df = spark.createDataFrame(rows, "image_id bigint, det_idx int, l float, t float, r float, b float")
+    sound, faulty = P.split_boxes(df)
+    assert sorted(r.det_idx for r in sound.collect()) == [0, 6]
+    assert {r.det_idx: r.fault for r in faulty.collect()} == {
+        1: "missing", 2: "not a number", 3: "infinite", 4: "inverted", 5: "inverted", 7: "missing",
+    }
+    grid = {r.det_idx: (r.row, r.col, r.row_span, r.col_span) for r in S.assign_cells(sound).collect()}
+    assert grid == {0: (0, 0, 1, 1), 6: (1, 1, 1, 1)}
+
+
+def test_ragged_split_over_stretches(spark, monkeypatch):
+    from gridweave.operators import packed as PK
+
+    monkeypatch.setattr(PK, "STRETCH", 4)
+    counts = [(b, s, 100 * b + s, n) for b, ns in enumerate([[3, 0, 9, 1, 0, 6], [0], [17], [1, 1, 1]]) for s, n in enumerate(ns)]
+    want, rows = set(), []
+    for b in range(4):
+        at = 0
+        for _, _, image, n in (c for c in counts if c[0] == b):
+            want |= {(b, at + k, image, k) for k in range(n)}
+            at += n
+        rows += [(b, p, f"r{b}.{p}") for p in range(at + 2)]  # two rows that no image owns
+    got = PK.ragged_split(
+        spark.createDataFrame(rows, "batch_id bigint, pos bigint, row string"), spark.createDataFrame(counts, "batch_id bigint, seq int, image_id bigint, cnt int")
+    ).collect()
+    assert {(r.batch_id, r.pos, r.image_id, r.det_idx) for r in got} == want and len(got) == len(want)
+    assert all(r.row == f"r{r.batch_id}.{r.pos}" for r in got)
