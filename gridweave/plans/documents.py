@@ -134,6 +134,16 @@ def build_document_tables(
     return matched.withColumnRenamed("row", "start_row").withColumnRenamed("col", "start_col")
 
 
+def table_records(pages: DataFrame, shapes: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """One row per table: ``page_id, page_no, cluster_id, label, num_rows, num_cols`` (and ``n_cells``)."""
+    rows = shapes.join(pages.select("page_id", "page_no"), "page_id")
+    out = ["page_id", "page_no", "cluster_id", "label", "num_rows", "num_cols"]
+    if cells is None:
+        return rows.select(*out)
+    n = cells.groupBy(*CROP_KEY).agg(F.count(F.lit(1)).alias("n_cells"))
+    return rows.join(n, CROP_KEY, "left").select(*out, F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
+
+
 def last_table_per_cluster(tables: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """A4: when a cluster id repeats on a page, the last table written wins."""
     payload = [c for c in tables.columns if c not in CROP_KEY]

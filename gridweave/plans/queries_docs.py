@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import labels as L
@@ -16,7 +17,7 @@ from gridweave.plans import documents as DOC
 from gridweave.plans import oracle as O
 from gridweave.plans.queries import kept_detections, register
 from gridweave.plans.tables import recognize_tables
-from gridweave.session import materialize
+from gridweave.session import materialize, shared_folder
 from gridweave.sources import derived as D
 from gridweave.sources import files as FS
 
@@ -292,6 +293,29 @@ def q_table_map_last(spark, sf_dir):
     return last.select("page_id", "cluster_id", "num_rows", "num_cols")
 
 
+@register(
+    "table_map_document",
+    O.with_(*doc_sql(0.7), recursive=True)
+    + """, shp AS (SELECT DISTINCT image_id, num_rows, num_cols FROM cells)
+SELECT * FROM (
+SELECT c.page_id, p.page_no, c.cluster_id, t.label, CAST(floor(c.page_id / 100) AS BIGINT) AS doc_id,
+  CAST(coalesce(s.num_rows, 1) AS INTEGER) AS num_rows, CAST(coalesce(s.num_cols, 1) AS INTEGER) AS num_cols
+FROM crop c JOIN pg p USING (page_id) JOIN clus t USING (page_id, cluster_id) LEFT JOIN shp s ON s.image_id = c.page_id * 100 + c.cluster_id) QUALIFY doc_id % 2 = 1 OR num_rows = max(num_rows) OVER (PARTITION BY doc_id)""",
+)
+def q_table_map_document(spark, sf_dir):
+    """S8 + U9: all documents' tables are written, then every other document anew with only its longest tables; read back."""
+    pages, _, _, _, shapes = _document(spark, sf_dir, 0.7)
+    rows = DOC.table_records(pages, shapes).withColumn("doc_id", F.floor(F.col("page_id") / 100).cast("bigint"))
+    path = shared_folder(spark, "table-map")
+    FS.write_table_map(rows, path)
+    written = FS.read_table_map(spark, path)
+    longest = F.col("num_rows") == F.max("num_rows").over(Window.partitionBy("doc_id"))
+    again = materialize(written.filter("doc_id % 2 = 0").withColumn("longest", longest).filter("longest").drop("longest"))
+    FS.write_table_map(again, path)
+    back = FS.read_table_map(spark, path)
+    return back.select("page_id", "page_no", "cluster_id", "label", F.col("doc_id").cast("bigint").alias("doc_id"), "num_rows", "num_cols")
+
+
 @register(
     "overlay_page",
     O.with_(*doc_sql(), recursive=True)

@@ -9,6 +9,8 @@ the session has none.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +82,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder name below the shared checkpoint folder.
+
+    Only a local session that names none (tests, a laptop) gets a folder of
+    its own; on a cluster this raises.
+    """
+    fallback = tempfile.mkdtemp(prefix="gridweave-") if spark.sparkContext.master.startswith("local[") and not checkpoint_dir(spark) else None
+    return f"{ensure_checkpoint_dir(spark, fallback).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a stage output once and cut its lineage.
 

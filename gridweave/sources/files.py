@@ -93,9 +93,15 @@ def read_markdown(spark: SparkSession, path: str, key: str = "image_id") -> Data
 
 # --- S8: page -> table map -----------------------------------------------------------
 
-def write_table_map(tables: DataFrame, path: str, partition_by: Sequence[str] = ("doc_id",)) -> None:
-    """Table rows keyed ``(page_id, cluster_id)`` as Parquet, partitioned by document."""
-    tables.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def write_table_map(tables: DataFrame, path: str, document: str = "doc_id") -> None:
+    """Table rows as Parquet, a partition for each document; documents that ``tables`` does not hold stay as they are."""
+    spread = tables.repartition(document)  # a document's rows go to few files
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(document).parquet(path)
+
+
+def read_table_map(spark: SparkSession, path: str) -> DataFrame:
+    """The table rows of all documents, as last written."""
+    return spark.read.parquet(path)
 
 
 def table_map_column(tables: DataFrame, page: str = "page_id", cluster: str = "cluster_id") -> DataFrame:
