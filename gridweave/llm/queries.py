@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER, PIECE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -42,7 +43,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridweave.llm.suffix_dedup import repeated_spans
 
-    return repeated_spans(_table(spark, sf_dir, "documents")).drop("kept")
+    return repeated_spans(_table(spark, sf_dir, "documents")).drop("kept").withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
