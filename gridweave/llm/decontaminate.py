@@ -17,12 +17,13 @@ hold weighs more. The steps for each text:
 4. The weighted Jaccard similarity of window and item is computed exactly on
    the shingles; it must reach the threshold.
 
-The items are a stated query set: they are taken in blocks of ``ITEM_BLOCK``,
-sent to all tasks, so memory stays bounded for benchmarks of any size; texts
-are scanned once for each block and never shuffled.
+The items are a stated query set: they are taken in blocks bounded by their
+number and bytes, sent to all tasks, so memory stays bounded for benchmarks of
+any size; texts are scanned once for each block and never shuffled. Shingles
+are weighed over the whole benchmark, so blocks of any size give the same rows.
 
 Null and empty texts hold nothing; items without words are left out; items
-with equal texts are items of their own. Repeated rows give rows of their own.
+with equal texts are items of their own. Repeated rows, of texts and of items, give rows of their own.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import NOT_WORD, Shared, Words, combine, mix, slices, text_rows
+from gridweave.llm.common import NOT_WORD, Shared, Words, combine, mix, signed, slices, stage, text_rows
 
-SHINGLE_WORDS, BITS, RADIUS, ITEM_BLOCK, GATE_BITS = 5, 128, 40, 4096, 20
+SHINGLE_WORDS, BITS, RADIUS, GATE_BITS = 5, 128, 40, 20
+ITEM_BLOCK, BLOCK_BYTES = 4096, 1 << 24  # a block holds about half of either, or one longer item
 _U = np.uint64
 
 
@@ -66,7 +68,7 @@ def packed(votes: np.ndarray) -> np.ndarray:
 class Benchmark:
     """A block of items: shingles, weights, fingerprints and their multi-index, by window size."""
 
-    def __init__(self, ids: list, texts: list[str], weights: dict[int, float], unseen: float):
+    def __init__(self, ids: list, copies: list[int], texts: list[str], weights: dict[int, float], unseen: float):
         w = Words(pa.array(texts, pa.string()), NOT_WORD)
         self.weights, self.unseen = weights, unseen
         self.sizes: dict[int, dict] = {}
@@ -84,7 +86,7 @@ class Benchmark:
             held = [grams[k][w.first[i] : w.first[i] + m - k + 1] for i in items]
             prints = np.stack([packed((signs(h) * self.weigh(h)[:, None]).sum(axis=0, keepdims=True))[0] for h in held])
             self.sizes[m] = {
-                "k": k, "ids": [ids[i] for i in items], "held": [Counter(h.tolist()) for h in held], "prints": prints,
+                "k": k, "ids": [ids[i] for i in items], "copies": [copies[i] for i in items], "held": [Counter(h.tolist()) for h in held], "prints": prints,
                 "index": self._index(prints), "total": [float(self.weigh(h).sum()) for h in held], "any": np.unique(np.concatenate(held)),
             }
         for k in grams:
@@ -163,20 +165,37 @@ class Benchmark:
                     if sim[top] >= threshold - 1e-9 and (item not in best or found < best[item]):
                         best[item] = found
         for item, (sim, start, dist) in best.items():
-            yield size["ids"][item], start, span + size["k"] - 1, -sim, dist
+            for _ in range(size["copies"][item]):
+                yield size["ids"][item], start, span + size["k"] - 1, -sim, dist
 
 
-def _weights(items: list[str]) -> tuple[dict[int, float], float]:
-    """ln(1 + items / items with the shingle), over the whole benchmark."""
-    w = Words(pa.array(items, pa.string()), NOT_WORD)
-    n = w.counts()
-    df: Counter = Counter()
-    for k in {min(SHINGLE_WORDS, int(m)) for m in n if m}:
-        g = kgrams(w, k)
-        for i in np.flatnonzero(np.minimum(n, SHINGLE_WORDS) == k):
-            df.update(set(g[w.first[i] : w.first[i + 1] - k + 1].tolist()))
-    total = max(1, int((n > 0).sum()))
-    return {h: float(np.log1p(total / c)) for h, c in df.items()}, float(np.log1p(total))
+def item_shingles(items: DataFrame) -> DataFrame:
+    """``part, shingle, items``: the distinct shingles of each item of ``items`` (``part, text, copies``).
+
+    Shingle 0 stands once for every item with words, so its sum counts them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                col = {name: rows.column(i) for i, name in enumerate(rows.schema.names)}
+                w = Words(col["text"], NOT_WORD)
+                n = np.minimum(w.counts(), SHINGLE_WORDS)
+                item, held = [], []
+                for k in np.unique(n[n > 0]).tolist():
+                    g = kgrams(w, k)
+                    for i in np.flatnonzero(n == k):
+                        own = np.unique(np.append(g[w.first[i] : w.first[i + 1] - k + 1], _U(0)))
+                        item.append(np.full(len(own), i))
+                        held.append(own)
+                if item:
+                    at = pa.array(np.concatenate(item))
+                    yield pa.RecordBatch.from_arrays(
+                        [col["part"].take(at), pa.array(signed(np.concatenate(held))), col["copies"].take(at)],
+                        names=["part", "shingle", "items"],
+                    )
+
+    return items.select("part", "text", "copies").mapInArrow(run, "part int, shingle long, items long")
 
 
 def _find(bench, threshold: float):
@@ -205,35 +224,45 @@ def _find(bench, threshold: float):
     return run
 
 
+def _item_blocks(items: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id, text, copies, part`` of the distinct items, and the number of blocks.
+
+    Blocks are dealt by a hash of id and text, so equal ids (or null ones) spread
+    as others do, and repeated rows are one row with a count.
+    """
+    size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, -(-2 * size[0] // ITEM_BLOCK), -(-2 * (size[1] or 0) // BLOCK_BYTES))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    return items.groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("part", part), parts
+
+
 def _benchmarks(benchmark: DataFrame, item_col: str, text_col: str):
-    """Broadcasts of the items, block by block; the driver holds one block of items at a time."""
+    """Broadcasts of the items, block by block; the driver holds one block of items and its weights at a time.
+
+    A shingle weighs ln(1 + items / items with it), both counted over all items
+    by one aggregation, whatever block it is in.
+    """
     spark = benchmark.sparkSession
-    items = text_rows(benchmark, item_col, text_col)
-    for block in _item_blocks(items):
-        ids, texts = [r["doc_id"] for r in block], [r["text"] for r in block]
-        yield Shared(spark, Benchmark(ids, texts, *_weights(texts)))
-
-
-def _item_blocks(items: DataFrame):
-    count = items.count()
-    if count <= ITEM_BLOCK:
-        yield items.orderBy("doc_id").collect()
-        return
-    parts = -(-2 * count // ITEM_BLOCK)
-    spread = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    items, parts = _item_blocks(text_rows(benchmark, item_col, text_col))
+    items = stage(items, "benchmark-items")
+    shingles = stage(item_shingles(items), "benchmark-shingles")
+    counts = stage(shingles.groupBy("shingle").agg(F.sum("items").alias("items")), "benchmark-counts")
+    total = max(1, counts.filter("shingle = 0").agg(F.sum("items")).first()[0] or 0)
     for p in range(parts):
-        yield spread.filter(F.col("part") == p).drop("part").orderBy("doc_id").collect()
+        block = items.filter(F.col("part") == p).orderBy("doc_id", "text").collect()
+        held = shingles.filter((F.col("part") == p) & (F.col("shingle") != 0)).select("shingle").distinct()
+        got = held.join(counts, "shingle").toArrow()
+        keys = got["shingle"].to_numpy().view(_U).tolist()
+        weights = dict(zip(keys, np.log1p(total / got["items"].to_numpy()).tolist(), strict=True))
+        ids, copies = [r["doc_id"] for r in block], [r["copies"] for r in block]
+        yield Shared(spark, Benchmark(ids, copies, [r["text"] for r in block], weights, float(np.log1p(total))))
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", threshold: float = 0.75,
 ) -> DataFrame:
-    """``doc_id, item_id, first_word, n_words, similarity, distance``: each item found in a text, at its best window.
-
-    Weights are those of the item's block when a benchmark has more than
-    ``ITEM_BLOCK`` items.
-    """
+    """``doc_id, item_id, first_word, n_words, similarity, distance``: each item found in a text, at its best window."""
     rows = text_rows(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType.simpleString()

@@ -288,6 +288,28 @@ def test_decontamination(spark, docs, texts):
     assert as_counter(left, "doc_id") == Counter((i,) for i, _ in texts) - Counter((i,) for i in {k[0] for k in want} for _ in range(3))
 
 
+def test_decontamination_gives_the_same_rows_for_blocks_of_any_size(spark, monkeypatch):
+    """Items share passages, so weights counted by block would move the similarities; ids repeat and are null."""
+    rng = random.Random(21)
+    common = prose(rng, 20)
+    items = [(i % 5 or None, common + " " + prose(rng, 10)) for i in range(12)]
+    items += [items[3], items[3], (None, ""), (9, None)]
+    rows = []
+    for i, (_, t) in enumerate(items[:12]):
+        w = t.split(" ")
+        w[rng.randint(0, 29)] = "other"
+        rows += [(i, prose(rng, 15) + " " + " ".join(w) + " " + prose(rng, 5)), (i, t)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = []
+    for count, size in ((4096, 1 << 24), (3, 1 << 24), (4096, 500)):
+        monkeypatch.setattr(decontaminate, "ITEM_BLOCK", count)
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        found.append(Counter(tuple(r) for r in decontaminate.contaminated(docs, bench).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 12
+    assert max(found[0].values()) == 3  # the item that stands three times
+
+
 def test_decontamination_of_texts_shorter_than_the_item(spark):
     words = [f"w{i}" for i in range(50)]
     rows = [(1, " ".join(words[:46])), (2, " ".join(words[4:])), (3, " ".join(words[:30])), (4, "w1 w2"), (5, " ".join(words)), (6, "")]
