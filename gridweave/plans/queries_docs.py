@@ -20,6 +20,7 @@ from gridweave.plans.tables import recognize_tables
 from gridweave.session import materialize, shared_folder
 from gridweave.sources import derived as D
 from gridweave.sources import files as FS
+from gridweave.sources import golden_store as GS
 
 STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
@@ -563,6 +564,37 @@ def q_golden_json(spark, sf_dir):
                        F.col("d.confidence").alias("confidence"))
 
 
+def _golden_list_sql(name: str, src: str) -> str:
+    return f"""SELECT image_id, '{name}' AS list,
+  CAST(row_number() OVER (PARTITION BY image_id ORDER BY l + 100 * t, det_idx) - 1 AS INTEGER) AS rank,
+  round(CAST(l AS DOUBLE), 2) AS l, round(CAST(t AS DOUBLE), 2) AS t, round(CAST(r AS DOUBLE), 2) AS r,
+  round(CAST(b AS DOUBLE), 2) AS b, round(score, 4) AS confidence FROM {src}"""
+
+
+@register(
+    "golden_store",
+    O.with_(O.LI_IMAGES, O.DET, O.kept(0.5, "d5"), O.kept(0.7, "d7"), O.kept(0.9, "d9"), O.IMAGES, O.CLASS_SCORES, """strict AS (
+  SELECT * FROM d9 WHERE image_id % 2 = 0
+  UNION ALL SELECT * FROM d7 WHERE image_id NOT IN (SELECT image_id FROM d9 WHERE image_id % 2 = 0)
+)""", f"lists AS ({_golden_list_sql('detection', 'd5')} UNION ALL {_golden_list_sql('detection_strict', 'strict')})")
+    + """SELECT x.*, CASE WHEN c.scores[2] > c.scores[1] THEN 'wireless' WHEN c.image_id IS NOT NULL THEN 'wired' END AS class,
+  round(CAST(greatest(c.scores[1], c.scores[2]) AS DOUBLE), 4) AS class_confidence
+FROM lists x LEFT JOIN cls c USING (image_id)""",
+)
+def q_golden_store(spark, sf_dir):
+    """S5 + S6: a store of two detection lists and the classification, one list updated for the images with even id that
+    have detections above 0.9, then the classification written again; read back as one object per image and flattened."""
+    path = shared_folder(spark, "golden-store")
+    classes = C.with_table_label(C.classify(D.class_scores(spark, sf_dir)))
+    run = {"detection": kept_detections(spark, sf_dir), "detection_strict": kept_detections(spark, sf_dir, 0.7)}
+    GS.write_golden_store(path, run, classes.withColumn("score", F.lit(0.0)))
+    even = kept_detections(spark, sf_dir, 0.9).filter("image_id % 2 = 0")
+    GS.update_golden_store(spark, path, {"detection_strict": even})
+    GS.update_golden_store(spark, path, {}, classes)
+    objects = GS.golden_objects(GS.read_golden_store(spark, path), list(run))
+    return GS.object_detections(objects, "detection").unionByName(GS.object_detections(objects, "detection_strict"))
+
+
 # --- P15, P16 ------------------------------------------------------------------------------------
 
 IMG_META_SQL = """meta AS (

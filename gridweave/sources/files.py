@@ -60,6 +60,12 @@ def read_golden(spark: SparkSession, path: str, key: str = "detection") -> DataF
     )
 
 
+def read_golden_class(spark: SparkSession, path: str) -> DataFrame:
+    """The classification of a golden JSON file, ``(class, confidence)``."""
+    g = spark.read.option("multiLine", True).schema("classification struct<class:string,confidence:double>").json(path)
+    return g.select("classification.*")
+
+
 def golden_records(dets: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
     """Per image, detections in reading order, box rounded half to even to 2 places, score to 4."""
     keys = [key] if isinstance(key, str) else list(key)
