@@ -657,3 +657,33 @@ def q_sql_table_structure(spark, sf_dir):
           size(a.ra) AS num_rows, size(a.ca) AS num_cols
         FROM gw_detections d JOIN a USING (image_id)"""
     )
+
+
+# --- streaming: images that span micro-batches ---------------------------------------------------
+
+@register("stream_table_structure", O.with_(O.LI_IMAGES, O.DET, O.kept(), *O.structure_ctes(), recursive=True)
+          + 'SELECT image_id, det_idx, "row", col, row_span, col_span, num_rows, num_cols FROM cells')
+def q_stream_table_structure(spark, sf_dir):
+    """The flagship on a stream: odd images, then even ones, each image's detections in two micro-batches; a heartbeat ends it.
+
+    Every batch is a run of its own that goes on from the stream's checkpoint.
+    """
+    from gridweave.streaming.structure import session_structure
+
+    dets = kept_detections(spark, sf_dir).select("image_id", "det_idx", "l", "t", "r", "b")
+    minute = 60 * (F.when(F.col("image_id") % 2 == 1, 0).otherwise(60) + F.col("det_idx") % 2)
+    timed = dets.withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_000) + minute))
+    beat = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in dets.schema],
+                                 F.timestamp_seconds(F.lit(1_700_000_000 + 7200)).alias("event_time"))
+    folder = shared_folder(spark, "stream")
+    arriving = [timed.filter((F.col("image_id") % 2 == odd) & (F.col("det_idx") % 2 == half)) for odd in (1, 0) for half in (0, 1)]
+    for batch in [*arriving, beat]:
+        batch.write.mode("append").parquet(f"{folder}/in")
+        run = (
+            session_structure(spark.readStream.schema(timed.schema).parquet(f"{folder}/in"))
+            .writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    cells = spark.read.parquet(f"{folder}/out")
+    return cells.select("image_id", "det_idx", "row", "col", "row_span", "col_span", "num_rows", "num_cols")

@@ -8,7 +8,10 @@ in append mode without a watermark:
   the fold and ``inline`` are plain projections of the stream;
 * flat input, one row per detection, where the producer writes each image
   within one file: every micro-batch is complete per image, so the batch
-  operator runs on it through ``foreachBatch``.
+  operator runs on it through ``foreachBatch``;
+* flat input with event times, where an image's detections arrive over several
+  micro-batches: an image is a session, kept as state by image until the
+  watermark passes its end, and then emitted once (append mode).
 """
 
 from __future__ import annotations
@@ -58,3 +61,26 @@ def flat_structure_writer(output_path: str, key: str = "image_id", tolerance: fl
         cells.write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/batch={batch_id}")
 
     return write
+
+
+def session_structure(
+    stream: DataFrame, key: str = "image_id", event_time: str = "event_time", gap: str = "5 minutes",
+    delay: str = "10 minutes", tolerance: float = S.DEFAULT_TOLERANCE,
+) -> DataFrame:
+    """Cells with row/col/spans from a flat stream whose images span micro-batches.
+
+    ``stream`` has ``key, event_time, det_idx, l, t, r, b``. Detections of an image at
+    most ``gap`` apart belong together; the image is complete, and its cells are
+    emitted, when the watermark (``delay`` behind the latest event) has passed ``gap`` after
+    its last one. Until then the state of an image is its detections, a bounded list from
+    a detector. Later detections are dropped, as Spark drops late rows; detections of the same image after
+    a longer pause are an image of their own. Rows with a null ``key`` carry no
+    cell: they only move the watermark (a heartbeat for a source that goes quiet).
+    """
+    cell = F.when(F.col(key).isNotNull(), F.struct("det_idx", "l", "t", "r", "b"))  # a null is not collected
+    images = (
+        stream.withWatermark(event_time, delay)
+        .groupBy(key, F.session_window(event_time, gap))
+        .agg(F.collect_list(cell).alias("cells"))
+    )
+    return nested_structure(images.select(key, "cells"), key, tolerance)

@@ -1,6 +1,8 @@
 """Edge cases of the operators, the SQL surface, the API and streaming."""
 
+import datetime
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import Row
@@ -19,7 +21,7 @@ from gridweave.operators import verify as V
 from gridweave.plans import documents as DOC
 from gridweave.plans.sql import register_functions
 from gridweave.sources import derived as D
-from gridweave.streaming.structure import flat_structure_writer, nested_structure
+from gridweave.streaming.structure import flat_structure_writer, nested_structure, session_structure
 
 CELL = "image_id bigint, det_idx int, l double, t double, r double, b double"
 TEXT = "image_id bigint, text_idx int, text string, l double, t double, r double, b double"
@@ -200,6 +202,34 @@ def test_streaming_matches_batch(spark, scratch):
     assert got2.exceptAll(batch).count() == 0 and got2.count() == batch.count()
 
 
+def test_stream_of_images_that_span_micro_batches(spark, scratch):
+    """An image cut over batches gives the batch grid, once; a null key only moves the watermark; late cells are dropped."""
+    schema = "image_id bigint, det_idx int, l float, t float, r float, b float, event_time timestamp"
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    cell = lambda i, k, m: (i, k, 50.0 * (k % 3), 30.0 * (k // 3) + k % 2, 50.0 * (k % 3) + 45, 30.0 * (k // 3) + 25, at(m))
+    arriving = [
+        [cell(1, k, 0) for k in (0, 4, 5)] + [cell(2, k, 2) for k in (8, 1)],
+        [cell(1, k, 3) for k in (1, 2, 3)] + [cell(2, k, 1) for k in (0, 2, 3)],
+        [(None, None, None, None, None, None, at(60))],
+        [cell(1, 6, 4), cell(3, 0, 61)],  # image 1 was emitted: late
+        [(None, None, None, None, None, None, at(120))],
+    ]
+    src, out = os.path.join(scratch, "src"), os.path.join(scratch, "out")
+    seen = []
+    for rows in arriving:
+        spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(src)
+        session_structure(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", os.path.join(scratch, "state")
+        ).trigger(availableNow=True).start().awaitTermination()
+        seen.append(spark.read.parquet(out).count() if os.path.isdir(os.path.join(out, "_spark_metadata")) and any(
+            f.endswith(".parquet") for f in os.listdir(out)) else 0)
+    assert seen == [0, 0, 11, 11, 12]
+    kept = [r for rows in (arriving[0], arriving[1], [arriving[3][1]]) for r in rows]
+    want = S.assign_cells(spark.createDataFrame(kept, schema)).select("image_id", "det_idx", "row", "col", "row_span", "col_span")
+    got = spark.read.parquet(out).select("image_id", "det_idx", "row", "col", "row_span", "col_span")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 def test_debug_tables_forced_detector_and_api_tables(spark):
     from gridweave.plans.tables import debug_tables
 
