@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.constants import LAYOUT_INPUT
 from gridweave.operators import filters as P
 from gridweave.operators import textmatch as T
+from gridweave.operators.packed import ragged_split
 from gridweave.plans.tables import Classifier, Detector, recognize_tables
 
 CROP_KEY = ["page_id", "cluster_id"]
@@ -47,6 +49,33 @@ def layout_clusters(
     )
 
 
+def packed_layout(packed: DataFrame, counts: DataFrame, pages: DataFrame, threshold: float = P.DEFAULT_THRESHOLD,
+                  input_edge: int = LAYOUT_INPUT) -> DataFrame:
+    """P3-P6, W1 on packed layout rows: ``page_id, det_idx, class_id, score, l, t, r, b`` in image pixels.
+
+    ``packed`` holds ``batch_id, pos, row`` with rows ``[class, score, x0, y0, x1, y1]`` in the
+    model's space of ``input_edge`` pixels; ``counts`` holds ``batch_id, seq, page_id, cnt``. ``det_idx`` is
+    the place among all rows of the page, kept or not. Pages without an image size give nothing.
+    """
+    split = ragged_split(packed.select("batch_id", "pos", "row"), counts.withColumnRenamed("page_id", "image_id"))
+    fields = P.packed_fields(split.select(F.col("image_id").alias("page_id"), "det_idx", "row"), classified=True)
+    kept = P.confidence_filter(fields, threshold)
+    sizes = pages.select("page_id", F.col("img_width").alias("width"), F.col("img_height").alias("height")).filter("width IS NOT NULL")
+    ratios = P.scale_factors(sizes, input_edge).select("page_id", "h_ratio", "w_ratio")
+    return P.rescale_boxes(kept.join(ratios, "page_id")).drop("h_ratio", "w_ratio")
+
+
+def merge_layout(pages: DataFrame, clusters: DataFrame, prior: DataFrame) -> DataFrame:
+    """The clusters that stand after a run, new or earlier.
+
+    Pages the model ran on have their new clusters (possibly none); the other pages of
+    ``pages`` keep the rows of ``prior``, which has the columns of ``clusters``.
+    """
+    asked = pages.select("page_id", (F.col("is_valid") & F.col("img_width").isNotNull()).alias("_run")).distinct()
+    kept = prior.join(asked.filter("NOT coalesce(_run, false)"), "page_id", "left_semi")
+    return clusters.unionByName(kept.select(clusters.columns))
+
+
 def layout_per_page(pages: DataFrame, clusters: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """One layout result per page.
 
@@ -151,6 +180,12 @@ def last_table_per_cluster(tables: DataFrame, ordinal: str = "ordinal") -> DataF
     return g.select(*CROP_KEY, *[F.col("_t." + c).alias(c) for c in payload])
 
 
+def merge_tables(pages: DataFrame, tables: DataFrame, prior: DataFrame) -> DataFrame:
+    """The tables of ``pages`` after a run: a new table replaces the earlier one of its cluster, other earlier ones stay."""
+    both = prior.select(tables.columns).withColumn("_run", F.lit(0)).unionByName(tables.withColumn("_run", F.lit(1)))
+    return last_table_per_cluster(both, "_run").drop("_run").join(pages.select("page_id"), "page_id", "left_semi")
+
+
 def tables_per_page(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """One result per page; pages without tables give an empty (0) result."""
     n = tables.groupBy("page_id").agg(F.countDistinct("cluster_id").alias("n_tables"))

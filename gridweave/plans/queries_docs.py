@@ -132,6 +132,45 @@ def q_layout_pages(spark, sf_dir):
     return DOC.layout_per_page(pages, _clusters(spark, sf_dir), prior)
 
 
+@register(
+    "layout_kept",
+    O.with_(*LAYOUT_BASE)
+    + f"""SELECT page_id, cluster_id, label, l, t, r, b FROM clus
+UNION ALL
+SELECT y.page_id, y.det_idx, {L.sql_case(L.LAYOUT_DOC_LABELS, 'y.class_id')}, CAST(y.l AS DOUBLE), CAST(y.t AS DOUBLE), CAST(y.r AS DOUBLE), CAST(y.b AS DOUBLE)
+FROM lay y JOIN pg p USING (page_id) WHERE NOT (p.is_valid AND p.img_width IS NOT NULL) AND y.score > 0.95 AND {O.LAYOUT_LABEL_CASE} IS NOT NULL""",
+)
+def q_layout_kept(spark, sf_dir):
+    """The clusters after a run; pages the model did not run on keep earlier ones (score > 0.95)."""
+    earlier = P.drop_unknown_labels(P.confidence_filter(D.layout_detections(spark, sf_dir), 0.95))
+    prior = P.label_layout(earlier).select("page_id", F.col("det_idx").alias("cluster_id"), "label", *[F.col(e).cast("double").alias(e) for e in "ltrb"])
+    new = _clusters(spark, sf_dir).select(prior.columns)
+    return DOC.merge_layout(D.pages(spark, sf_dir), new, prior)
+
+
+PACKED_LAYOUT_SQL = [O.LAYOUT.replace("lay AS (", "lay0 AS (", 1), O.PAGES, """lay AS (
+  SELECT d.page_id, CAST(row_number() OVER (PARTITION BY d.page_id ORDER BY d.det_idx) - 1 AS INTEGER) AS det_idx, d.class_id,
+    CAST(CAST(d.score AS FLOAT) AS DOUBLE) AS score,
+    d.l * CAST(p.img_width / 800.0 AS FLOAT) AS l, d.t * CAST(p.img_height / 800.0 AS FLOAT) AS t,
+    d.r * CAST(p.img_width / 800.0 AS FLOAT) AS r, d.b * CAST(p.img_height / 800.0 AS FLOAT) AS b
+  FROM lay0 d JOIN pg p USING (page_id) WHERE p.is_valid AND p.img_width IS NOT NULL
+)""", LAYOUT_SEL, CLUS_SQL]
+
+
+@register("layout_packed", O.with_(*PACKED_LAYOUT_SQL) + "SELECT page_id, cluster_id, label, score, l, t, r, b FROM clus")
+def q_layout_packed(spark, sf_dir):
+    """P3, P4, P5, P6, W1, P12 at 800 pixels: classified packed rows of batches of 16 pages to page clusters."""
+    pages = D.pages(spark, sf_dir)
+    run = DOC.layout_pages(pages)
+    batch = F.floor(F.col("page_id") / 16).cast("bigint").alias("batch_id")
+    dets = D.layout_detections(spark, sf_dir).join(run.select("page_id"), "page_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy(F.floor(F.col("page_id") / 16)).orderBy("page_id", "det_idx"))
+    packed = dets.select(batch, (place - 1).cast("bigint").alias("pos"), F.array("class_id", "score", "l", "t", "r", "b").cast("array<float>").alias("row"))
+    cnt = dets.groupBy("page_id").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = run.join(cnt, "page_id", "left").select(batch, (F.col("page_id") % 16).cast("int").alias("seq"), "page_id", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    return DOC.layout_clusters(pages, lambda pgs: DOC.packed_layout(packed, counts, pgs))
+
+
 # --- tables in documents: P13, P14, S4, P21, P22, J3, J5, J7, J8, A4, U7, U9 ---------------
 
 TCL_SQL = """tcl AS (
@@ -294,6 +333,25 @@ def q_table_map_last(spark, sf_dir):
     return last.select("page_id", "cluster_id", "num_rows", "num_cols")
 
 
+def _table_map_sql(threshold: float) -> str:
+    return O.with_(*doc_sql(threshold), recursive=True) + """, shp AS (SELECT DISTINCT image_id, num_rows, num_cols FROM cells)
+SELECT c.page_id, c.cluster_id, CAST(coalesce(s.num_rows, 1) AS INTEGER) AS num_rows, CAST(coalesce(s.num_cols, 1) AS INTEGER) AS num_cols
+FROM crop c LEFT JOIN shp s ON s.image_id = c.page_id * 100 + c.cluster_id"""
+
+
+@register(
+    "table_map_kept",
+    f"""SELECT * FROM ({_table_map_sql(0.7)}) WHERE page_id % 2 = 0
+UNION ALL SELECT * FROM ({_table_map_sql(0.5)}) WHERE page_id % 2 <> 0""",
+)
+def q_table_map_kept(spark, sf_dir):
+    """A run at 0.7 that reaches the pages with even id only; the tables of an earlier run at 0.5 stay on the others."""
+    columns = ["page_id", "cluster_id", "num_rows", "num_cols"]
+    pages, _, _, _, earlier = _document(spark, sf_dir, 0.5)
+    again = _document(spark, sf_dir, 0.7)[4].filter("page_id % 2 = 0")
+    return DOC.merge_tables(pages, again.select(columns), earlier.select(columns)).select(columns)
+
+
 @register(
     "table_map_document",
     O.with_(*doc_sql(0.7), recursive=True)
