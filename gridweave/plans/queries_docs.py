@@ -717,6 +717,18 @@ def q_sql_table_structure(spark, sf_dir):
     )
 
 
+@register("sql_table_functions", O.with_(O.LI_IMAGES, O.DET, O.kept(), *O.structure_ctes(), recursive=True)
+          + """SELECT image_id, det_idx, "row", col, row_span, col_span, num_rows, num_cols FROM cells""")
+def q_sql_table_functions(spark, sf_dir):
+    """The flagship as one call of a SQL table function, its shape from another."""
+    from gridweave.plans.sql import register_table_functions, register_views
+
+    register_views({"gw_kept_detections": kept_detections(spark, sf_dir)})
+    register_table_functions(spark, "gw_kept_detections")
+    return spark.sql("""SELECT c.image_id, c.det_idx, c.row, c.col, c.row_span, c.col_span, s.num_rows, s.num_cols
+        FROM gw_table_cells(10) c JOIN gw_table_shapes(10) s USING (image_id)""")
+
+
 # --- streaming: images that span micro-batches ---------------------------------------------------
 
 @register("stream_table_structure", O.with_(O.LI_IMAGES, O.DET, O.kept(), *O.structure_ctes(), recursive=True)

@@ -11,6 +11,12 @@ user calls them.
       FROM detections d JOIN a USING (image_id)''')
 
 For FLOAT columns take ``gw_anchors_float`` and ``gw_span_float``.
+
+Or, over one relation of detections, as table functions:
+
+    register_table_functions(spark, "detections")
+    spark.sql("SELECT * FROM gw_table_cells(10)")    -- rows, columns and spans of every cell
+    spark.sql("SELECT * FROM gw_table_shapes(10)")   -- rows and columns of every image
 """
 
 from __future__ import annotations
@@ -66,6 +72,39 @@ def register_functions(spark: SparkSession) -> list[str]:
     return list(FUNCTIONS)
 
 
+def register_table_functions(spark: SparkSession, relation: str) -> list[str]:
+    """Create SQL table functions of a tolerance over ``relation`` (a table or view); returns their names.
+
+    ``relation`` holds ``image_id, det_idx`` and boxes ``l, t, r, b``, all FLOAT or all
+    DOUBLE. A SQL function takes no relation as an argument, so it is named
+    here; the functions read whatever it holds when they are called. Catalyst inlines
+    them: two reads of the relation, one aggregation of the distinct starts by image and a join.
+    """
+    register_functions(spark)
+    types = {f.name: f.dataType.simpleString().upper() for f in spark.table(relation).schema.fields}
+    real, key, idx = types["t"], types["image_id"], types["det_idx"]
+    if {types[e] for e in "ltrb"} != {real} or real not in ("FLOAT", "DOUBLE"):
+        raise ValueError(f"the boxes of {relation} must be all FLOAT or all DOUBLE")
+    suffix = "_float" if real == "FLOAT" else ""
+    index = "CAST(size(filter({0}, x -> x <= {1})) - 1 AS INT)"
+    anchors = f"""SELECT image_id, gw_anchors{suffix}(collect_set(t), CAST(tol AS {real})) AS ra,
+    gw_anchors{suffix}(collect_set(l), CAST(tol AS {real})) AS ca FROM {relation} GROUP BY image_id"""
+    made = {
+        "gw_table_cells": f"""(tol DOUBLE) RETURNS TABLE (image_id {key}, det_idx {idx}, row INT, col INT, row_span INT, col_span INT,
+  num_rows INT, num_cols INT)
+RETURN WITH a AS ({anchors})
+  SELECT d.image_id, d.det_idx, {index.format("a.ra", "d.t")}, {index.format("a.ca", "d.l")},
+    gw_span{suffix}(a.ra, d.t, d.b, CAST(tol AS {real})), gw_span{suffix}(a.ca, d.l, d.r, CAST(tol AS {real})),
+    size(a.ra), size(a.ca)
+  FROM {relation} d JOIN a ON d.image_id = a.image_id""",
+        "gw_table_shapes": f"""(tol DOUBLE) RETURNS TABLE (image_id {key}, num_rows INT, num_cols INT)
+RETURN WITH a AS ({anchors}) SELECT image_id, size(ra), size(ca) FROM a""",
+    }
+    for name, body in made.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    return list(made)
+
+
 def register_views(frames: dict[str, DataFrame]) -> list[str]:
     """Expose frames (detections, cells, clusters, ...) as temporary views."""
     for name, df in frames.items():

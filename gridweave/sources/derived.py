@@ -238,3 +238,52 @@ def page_text_words(spark: SparkSession, sf_dir: str, clusters: DataFrame, scale
         (F.col("l") / s + F.col("_cl")).alias("l"), (F.col("t") / s + F.col("_ct")).alias("t"),
         (F.col("r") / s + F.col("_cl")).alias("r"), (F.col("b") / s + F.col("_ct")).alias("b"),
     )
+
+
+# --- page images and models of the pixel queries (inputs, not part of the library's work) ---------
+
+def page_images(page_ids: DataFrame) -> DataFrame:
+    """Pages rendered at scale 2 (1,190 x 1,684 pixels, image schema), each of one gray: ``page_id % 251``."""
+    h, w = int(PAGE_HEIGHT * 2), int(PAGE_WIDTH * 2)
+    schema = "page_id bigint, height int, width int, nChannels int, mode int, data binary"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i, page in enumerate(b.column("page_id").to_pylist()):
+                size = [pa.array([v], pa.int32()) for v in (h, w, 3, 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("page_id").slice(i, 1), *size, pa.array([bytes([page % 251]) * (h * w * 3)], pa.binary())],
+                    names=["page_id", "height", "width", "nChannels", "mode", "data"],
+                )
+
+    return page_ids.select("page_id").mapInArrow(run, schema)
+
+
+def gray_classifier():
+    """A stand-in model: class 1 where the crop's gray is odd, read back from the normalised tensor."""
+    import numpy as np
+
+    from gridweave.constants import CLS_MEAN, CLS_SCALE
+
+    def run(x):
+        gray = np.rint(x[:, 0].mean(axis=(1, 2), dtype=np.float64) / CLS_SCALE[0] + CLS_MEAN[0]).astype(int)
+        return np.stack([1 - gray % 2, gray % 2], axis=1).astype(np.float32)
+
+    return run
+
+
+def gray_detector():
+    """A stand-in model: ``2 + gray % 4`` rows by ``1 + gray % 3`` columns over the whole crop; scores of every fifth cell are 0.25."""
+    import numpy as np
+
+    def run(x):
+        s, rows, counts = x.shape[2], [], []
+        for gray in np.rint(x.mean(axis=(1, 2, 3), dtype=np.float64) * 255).astype(int).tolist():
+            k, c = 2 + gray % 4, 1 + gray % 3
+            rows += [[0, 0.25 if (i * c + j) % 5 == 4 else 0.75, j * s / c, i * s / k, (j + 1) * s / c, (i + 1) * s / k] for i in range(k) for j in range(c)]
+            counts.append(k * c)
+        return np.array(rows, np.float32).reshape(-1, 6), np.array(counts)
+
+    return run

@@ -282,3 +282,22 @@ def test_ragged_split_over_stretches(spark, monkeypatch):
     ).collect()
     assert {(r.batch_id, r.pos, r.image_id, r.det_idx) for r in got} == want and len(got) == len(want)
     assert all(r.row == f"r{r.batch_id}.{r.pos}" for r in got)
+
+
+@pytest.mark.parametrize("real", ["float", "double"])
+def test_sql_table_functions(spark, real):
+    """Rows and spans by one call, equal to the operator's for either box type and any tolerance; other types raise."""
+    from gridweave.plans.sql import register_table_functions
+
+    dets = P.confidence_filter(D.detections(spark, SF_SMALL)).select("image_id", "det_idx", *[F.col(e).cast(real).alias(e) for e in "ltrb"])
+    dets.createOrReplaceTempView("gw_test_detections")
+    assert register_table_functions(spark, "gw_test_detections") == ["gw_table_cells", "gw_table_shapes"]
+    for tol in (10, 37.5):
+        want = S.assign_cells(dets, tolerance=tol, with_shape=True).drop("l", "t", "r", "b")
+        got = spark.sql(f"SELECT * FROM gw_table_cells({tol})").select(want.columns)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+        shapes = want.select("image_id", "num_rows", "num_cols").distinct()
+        assert Counter(map(tuple, spark.sql(f"SELECT * FROM gw_table_shapes({tol})").collect())) == Counter(map(tuple, shapes.collect()))
+    spark.sql("SELECT 1 AS image_id, 0 AS det_idx, 1 AS l, 1 AS t, 2 AS r, 2 AS b").createOrReplaceTempView("gw_test_whole")
+    with pytest.raises(ValueError):
+        register_table_functions(spark, "gw_test_whole")
