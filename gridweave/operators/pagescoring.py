@@ -16,21 +16,12 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from gridweave.operators import pixels as PX
 from gridweave.operators import scoring as SC
 
-WINDOW = ("crop_top", "crop_bottom", "crop_left", "crop_right")
-
-
-def cut(page: np.ndarray, window: dict, rgb_to_bgr: bool) -> np.ndarray:
-    """The pixels of a window of a page (a view), channels reversed on request."""
-    top, bottom, left, right = (max(int(window[e]), 0) for e in WINDOW)
-    part = page[top:bottom, left:right]
-    return part[:, :, ::-1] if rgb_to_bgr else part
-
-
 def score_crops(
     page_images: DataFrame,
     windows: DataFrame,
@@ -52,19 +43,21 @@ def score_crops(
     SC.validate_threshold(threshold)
     own = [windows.schema[page_key], windows.schema[crop_key], StructField("model_idx", IntegerType()), StructField("scores", ArrayType(FloatType()))]
     schema = StructType(own + SC.DET_SCHEMA.fields)
-    per_page = windows.dropna(subset=list(WINDOW)).groupBy(page_key).agg(F.collect_list(F.struct(F.col(crop_key).alias("crop"), *WINDOW)).alias("windows"))
+    per_page = windows.dropna(subset=list(PX.WINDOW)).groupBy(page_key).agg(F.collect_list(F.struct(F.col(crop_key).alias("crop"), *PX.WINDOW)).alias("windows"))
     pages = PX.checked_images(page_images, [page_key]).join(per_page, page_key)
 
+    names = schema.names
+    types = to_arrow_schema(schema).types
+
     def run(batches):
         import pyarrow as pa
 
-        names = schema.names
         classify = SC._model(classifier)
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
                 page, page_id = PX.pixel_arrays(row)[0], row.column(page_key)
-                crops = [(w["crop"], cut(page, w, rgb_to_bgr)) for w in row.column("windows")[0].as_py()]
+                crops = [(w["crop"], PX.cut(page, w, rgb_to_bgr)) for w in row.column("windows")[0].as_py()]
                 crops = [(crop, img) for crop, img in crops if img.size]
                 for s in range(0, len(crops), batch_size):
                     part = crops[s : s + batch_size]
@@ -81,19 +74,13 @@ def score_crops(
                             out.append({names[1]: mine[j][0], "model_idx": k, **found})
                     ids = {page_key: page_id.take(pa.array(np.zeros(len(out), np.int64)))}
                     yield pa.RecordBatch.from_arrays(
-                        [ids[f.name] if f.name in ids else pa.array([r.get(f.name) for r in out], _arrow_type(f.dataType)) for f in schema.fields],
+                        [ids[n] if n in ids else pa.array([r.get(n) for r in out], t) for n, t in zip(names, types, strict=True)],
                         names=names,
                     )
 
     return pages.mapInArrow(run, schema)
 
 
-def _arrow_type(t):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(t)
-
-
 def as_scorers(scored: DataFrame, models: int, keys: Sequence[str] = ("page_id", "cluster_id")):
     """The output of :func:`score_crops` as a plan classifier and ``models`` plan detectors, for :func:`recognize_tables`.
 

@@ -1,4 +1,4 @@
-"""Pixel preparation for the scorers (P16-P20), as Arrow-batched ``mapInPandas`` jobs.
+"""Pixel preparation for the scorers (P16-P20), as ``mapInArrow`` jobs.
 
 Images are rows of Spark's image schema (``height, width, nChannels, mode,
 data``; bytes BGR, row-major). Each job turns a batch of image rows into
@@ -10,10 +10,9 @@ resize implementations can differ by one intensity level.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -38,6 +37,9 @@ from gridweave.constants import (  # noqa: E402,F401
     CLS_SCALE,
     LAYOUT_INPUT,
 )
+from pyspark.sql.pandas.types import to_arrow_schema
+
+CV_8UC3 = 16  # mode of 8-bit, 3-channel images
 
 
 TENSORS_AT_ONCE = 16  # 79 MB of detector tensors at 3 x 640 x 640
@@ -166,6 +168,16 @@ def detection_tensors(
     return _tensor_job(images, key, lambda img, sw: detection_tensor(img, size, sw), swap_rb, summarize)
 
 
+WINDOW = ("crop_top", "crop_bottom", "crop_left", "crop_right")
+
+
+def cut(page: np.ndarray, window: dict, rgb_to_bgr: bool) -> np.ndarray:
+    """The pixels of a window of a page (a view), channels reversed on request."""
+    top, bottom, left, right = (max(int(window[e]), 0) for e in WINDOW)
+    part = page[top:bottom, left:right]
+    return part[:, :, ::-1] if rgb_to_bgr else part
+
+
 def crop_pixels(
     page_images: DataFrame,
     windows: DataFrame,
@@ -179,42 +191,31 @@ def crop_pixels(
     P14 columns ``crop_top, crop_bottom, crop_left, crop_right``. Windows are
     grouped per page first (a page has at most the layout model's detection
     slots), so each page image is joined once, not copied per window; the
-    task slices every window out of it with NumPy.
+    task slices every window out of it with NumPy. A window beyond the page is cut to it (no
+    pixels: no bytes); a page that is not 8-bit with 3 channels fails the query.
     """
     keys = list(keys)
-    other = [k for k in keys if k != page_key]
-    per_page = windows.groupBy(page_key).agg(
-        F.collect_list(F.struct(*other, "crop_top", "crop_bottom", "crop_left", "crop_right")).alias("_w")
-    )
-    j = per_page.join(page_images.select(page_key, "height", "width", "nChannels", "data"), page_key)
-    schema = StructType(
-        [StructField(k, LongType() if k == page_key else IntegerType()) for k in keys]
-        + [
-            StructField("height", IntegerType()),
-            StructField("width", IntegerType()),
-            StructField("nChannels", IntegerType()),
-            StructField("mode", IntegerType()),
-            StructField("data", BinaryType()),
-        ]
-    )
+    own = [windows.schema[k] for k in keys]
+    sizes = [StructField(c, IntegerType()) for c in ("height", "width", "nChannels", "mode")]
+    schema = StructType(own + sizes + [StructField("data", BinaryType())])
+    per_page = windows.groupBy(page_key).agg(F.collect_list(F.struct(*[k for k in keys if k != page_key], *WINDOW)).alias("_w"))
+    pages = checked_images(page_images, [page_key]).join(per_page, page_key)
+    types = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for page, h, w, c, data, wins in zip(b[page_key], b["height"], b["width"], b["nChannels"], b["data"], b["_w"]):
-                img = to_array(int(h), int(w), int(c), data)
-                for win in wins:
-                    t0, t1 = max(int(win["crop_top"]), 0), min(int(win["crop_bottom"]), img.shape[0])
-                    l0, l1 = max(int(win["crop_left"]), 0), min(int(win["crop_right"]), img.shape[1])
-                    part = img[t0:t1, l0:l1, :]
-                    if rgb_to_bgr:
-                        part = part[:, :, ::-1]
-                    part = np.ascontiguousarray(part)
-                    rows.append({page_key: page, **{k: win[k] for k in other}, "height": part.shape[0],
-                                 "width": part.shape[1], "nChannels": part.shape[2], "mode": 16, "data": part.tobytes()})
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return j.mapInPandas(run, schema)
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                page, page_id = pixel_arrays(row)[0], row.column(page_key)
+                for window in row.column("_w")[0].as_py():  # a crop at a time: together they may exceed their page
+                    part = cut(page, window, rgb_to_bgr)
+                    values = [window.get(k) for k in keys] + [*part.shape, CV_8UC3, part.tobytes()]
+                    columns = [page_id if f.name == page_key else pa.array([v], f.type) for f, v in zip(types, values, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=types.names)
+
+    return pages.mapInArrow(run, schema)
 
 
 def derived_images(source: DataFrame, key: str = "image_id") -> DataFrame:

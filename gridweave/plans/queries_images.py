@@ -58,15 +58,21 @@ def q_score_stub(spark, sf_dir):
     return rec.shapes.select("image_id", "model_idx", "label", "num_rows", "num_cols")
 
 
-@register("crop_pixels")
+@register(
+    "crop_pixels",
+    O.with_(*LAYOUT_BASE, TCL_SQL, """crop AS (
+  SELECT page_id, cluster_id, CAST(greatest(round_even(b * 2.0, 0) - round_even(t * 2.0, 0), 0) AS INTEGER) AS height,
+    CAST(greatest(round_even(r * 2.0, 0) - round_even(l * 2.0, 0), 0) AS INTEGER) AS width
+  FROM tcl
+)""")
+    + "SELECT page_id, cluster_id, height, width, height * width * 3 AS n_bytes, printf('%02x', page_id % 251) AS first_byte FROM crop WHERE height * width > 0",
+)
 def q_crop_pixels(spark, sf_dir):
-    """P14 + P19 + P20: table windows cut from page images rendered at scale 0.1."""
-    pages = D.pages(spark, sf_dir)
-    tcl = DOC.table_clusters(pages, _clusters(spark, sf_dir))
-    windows = P.crop_windows(tcl, scale=0.1)
-    page_imgs = PX.derived_images(pages.select("page_id"), key="page_id")
-    crops = PX.crop_pixels(page_imgs, windows)
-    return crops.select("page_id", "cluster_id", "height", "width", F.length("data").alias("n_bytes"))
+    """P14 + P19 + P20: table windows cut from page images rendered at scale 2; windows without pixels are left out."""
+    windows = materialize(P.crop_windows(DOC.table_clusters(D.pages(spark, sf_dir), _clusters(spark, sf_dir))))
+    crops = PX.crop_pixels(D.page_images(windows.select("page_id").distinct()), windows).filter("height * width > 0")
+    first = F.lower(F.hex(F.expr("substring(data, 1, 1)"))).alias("first_byte")
+    return crops.select("page_id", "cluster_id", "height", "width", F.length("data").alias("n_bytes"), first)
 
 
 PIXEL_TABLES_SQL = O.with_(
