@@ -146,40 +146,3 @@ def detector(
         return PX.checked_images(images, keys, *image_size).mapInArrow(run, schema)
 
     return detect
-
-
-# --- reference-free stand-in models (for tests and the registered queries) ------------
-
-def mean_channel_classifier():
-    """Logits ``[mean of channel 0, mean of channel 2]``: a deterministic two-class model."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        return np.stack([x[:, 0].mean(axis=(1, 2)), x[:, 2].mean(axis=(1, 2))], axis=1).astype(np.float32)
-
-    return run
-
-
-def grid_detector(columns: int = 3, invert: bool = False):
-    """A detector emitting a grid of cells whose row count and scores depend on the pixels."""
-
-    def factory():
-        def run(x: np.ndarray):
-            n, _, s, _ = x.shape
-            rows, counts = [], []
-            for i in range(n):
-                k = 3 + int(x[i].mean() * 1000) % 6
-                cnt = 0
-                for rr in range(k):
-                    for cc in range(columns):
-                        y0, y1 = rr * s / k, (rr + 1) * s / k
-                        x0, x1 = cc * s / columns, (cc + 1) * s / columns
-                        m = float(x[i, :, int(y0) : int(y1), int(x0) : int(x1)].mean())
-                        score = m if not invert else 1.0 - m
-                        rows.append([0, score, x0, y0, x1, y1])
-                        cnt += 1
-                counts.append(cnt)
-            return np.asarray(rows, np.float32).reshape(-1, 6), np.asarray(counts)
-
-        return run
-
-    return factory

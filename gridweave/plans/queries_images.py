@@ -51,9 +51,9 @@ def q_detection_tensors(spark, sf_dir):
 
 @register("score_stub")
 def q_score_stub(spark, sf_dir):
-    """U1-U5 with stand-in models: classify, route to the wired / wireless detector, build tables."""
-    cl = SC.classifier(SC.mean_channel_classifier, batch_size=16)
-    dets = [SC.detector(SC.grid_detector(3), size=64), SC.detector(SC.grid_detector(4, invert=True), size=64)]
+    """U1-U5 with stand-in models at 224 and 640 pixels: classify, route to the wired / wireless detector, build tables."""
+    cl = SC.classifier(D.mean_channel_classifier, batch_size=16)
+    dets = [SC.detector(D.grid_detector(3)), SC.detector(D.grid_detector(4, invert=True))]
     rec = recognize_tables(_images(spark, sf_dir), cl, dets)
     return rec.shapes.select("image_id", "model_idx", "label", "num_rows", "num_cols")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.operators import pixels as PX
 from gridweave.operators import scoring as SC
+from gridweave.sources import derived as D
 from gridweave.plans.tables import recognize_tables
 from gridweave.sources import files as FS
 
@@ -67,8 +68,8 @@ def test_image_of_other_depth_fails_before_both_scorers(spark):
     for frame in (
         PX.classification_tensors(gray),
         PX.detection_tensors(gray, 64),
-        SC.classifier(SC.mean_channel_classifier)(gray),
-        SC.detector(SC.grid_detector(3), size=64)(gray),
+        SC.classifier(D.mean_channel_classifier)(gray),
+        SC.detector(D.grid_detector(3), size=64)(gray),
     ):
         with pytest.raises(Exception, match="not an 8-bit image of 3 channels: 1"):
             frame.collect()
@@ -81,9 +82,9 @@ def test_scorers_keep_composite_keys_in_their_types(spark):
         F.lit(612.0).alias("width"), "nChannels", "mode", "data",
     )
     keys, size = ["page_id", "cluster_id"], ("img_height", "img_width")
-    scores = SC.classifier(SC.mean_channel_classifier, key=keys, image_size=size, batch_size=7)(pages)
+    scores = SC.classifier(D.mean_channel_classifier, key=keys, image_size=size, batch_size=7)(pages)
     assert dict(scores.dtypes) == {"page_id": "string", "cluster_id": "int", "scores": "array<float>"} and scores.count() == 40
-    dets = SC.detector(SC.grid_detector(3), size=32, key=keys, image_size=size, batch_size=7)(pages)
+    dets = SC.detector(D.grid_detector(3), size=32, key=keys, image_size=size, batch_size=7)(pages)
     assert [t for _, t in dets.dtypes[:2]] == ["string", "int"] and dets.select(*keys).distinct().count() == 40
     over = dets.join(pages, keys).filter((F.col("r") > F.col("img_width") + 0.01) | (F.col("b") > F.col("img_height") + 0.01))
     assert over.count() == 0
@@ -155,10 +156,10 @@ def test_split_packed_counts_threshold_and_rescale():
 def test_scorers_through_recognition(spark):
     ids = spark.range(0, 40).withColumnRenamed("id", "image_id")
     imgs = PX.derived_images(ids)
-    cl = SC.classifier(SC.mean_channel_classifier, batch_size=8)
+    cl = SC.classifier(D.mean_channel_classifier, batch_size=8)
     scores = cl(imgs).collect()
     assert len(scores) == 40 and {len(s.scores) for s in scores} == {2}
-    dets = [SC.detector(SC.grid_detector(3), size=32), SC.detector(SC.grid_detector(4, invert=True), size=32)]
+    dets = [SC.detector(D.grid_detector(3), size=32), SC.detector(D.grid_detector(4, invert=True), size=32)]
     rec = recognize_tables(imgs, cl, dets)
     shapes = rec.shapes.collect()
     assert len(shapes) == 40
