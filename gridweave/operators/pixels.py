@@ -169,6 +169,19 @@ def detection_tensors(
 
 
 WINDOW = ("crop_top", "crop_bottom", "crop_left", "crop_right")
+PAGES_BROADCAST = 200_000  # pages whose windows are sent to every task (about 100 bytes each)
+
+
+def with_windows(pages: DataFrame, per_page: DataFrame, page_key: str) -> DataFrame:
+    """Every page image with the windows of its page.
+
+    Spark takes an image for 100 bytes and would send the images themselves to the driver, to
+    broadcast them. The windows travel instead and the images stay where they are; windows of more
+    than ``PAGES_BROADCAST`` pages meet the images in a shuffled join that holds only windows in memory.
+    The pages are counted for that, so ``per_page`` is best derived from stored windows.
+    """
+    few = per_page.select(page_key).limit(PAGES_BROADCAST + 1).count() <= PAGES_BROADCAST
+    return pages.join(per_page.hint("broadcast" if few else "shuffle_hash"), page_key)
 
 
 def cut(page: np.ndarray, window: dict, rgb_to_bgr: bool) -> np.ndarray:
@@ -199,7 +212,7 @@ def crop_pixels(
     sizes = [StructField(c, IntegerType()) for c in ("height", "width", "nChannels", "mode")]
     schema = StructType(own + sizes + [StructField("data", BinaryType())])
     per_page = windows.groupBy(page_key).agg(F.collect_list(F.struct(*[k for k in keys if k != page_key], *WINDOW)).alias("_w"))
-    pages = checked_images(page_images, [page_key]).join(per_page, page_key)
+    pages = with_windows(checked_images(page_images, [page_key]), per_page, page_key)
     types = to_arrow_schema(schema)
 
     def run(batches):

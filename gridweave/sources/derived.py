@@ -258,7 +258,9 @@ def page_images(page_ids: DataFrame) -> DataFrame:
                     names=["page_id", "height", "width", "nChannels", "mode", "data"],
                 )
 
-    return page_ids.select("page_id").mapInArrow(run, schema)
+    # A page is 6 MB of work but its id a few bytes, which a shuffle would gather in one task.
+    n = 4 * page_ids.sparkSession.sparkContext.defaultParallelism
+    return page_ids.select("page_id").repartition(n, "page_id").mapInArrow(run, schema)
 
 
 def gray_classifier():
