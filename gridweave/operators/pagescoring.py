@@ -44,7 +44,7 @@ def score_crops(
     own = [windows.schema[page_key], windows.schema[crop_key], StructField("model_idx", IntegerType()), StructField("scores", ArrayType(FloatType()))]
     schema = StructType(own + SC.DET_SCHEMA.fields)
     per_page = windows.dropna(subset=list(PX.WINDOW)).groupBy(page_key).agg(F.collect_list(F.struct(F.col(crop_key).alias("crop"), *PX.WINDOW)).alias("windows"))
-    pages = PX.checked_images(page_images, [page_key]).join(per_page, page_key)
+    pages = PX.with_windows(PX.checked_images(page_images, [page_key]), per_page, page_key)
 
     names = schema.names
     types = to_arrow_schema(schema).types
