@@ -55,28 +55,48 @@ def source_positions(length: int, resized: int, first: int = 0, count: int | Non
     return np.clip((at + 0.5) * (length / resized) - 0.5, 0, length - 1)
 
 
-def sample_bilinear(img: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Bilinear samples at every (y, x) of two axes of source positions, float32 output (separable: x, then y)."""
+ROWS_AT_ONCE = 32  # of a resampled image: a block of 3 planes stays in the processor's cache
+
+
+def resampled(img: np.ndarray, xs: np.ndarray, ys: np.ndarray, swap_rb: bool = False, out: np.ndarray | None = None, finish=None) -> np.ndarray:
+    """Bilinear samples at every (y, x) of two axes of source positions, float32 planes (CHW; separable: x, then y).
+
+    The first and last channel are swapped on request (P19). ``finish`` works on each block
+    of rows in place before it is left; ``out`` takes the planes where given.
+    """
     x0 = np.floor(xs).astype(np.int64)
     y0 = np.floor(ys).astype(np.int64)
     x1 = np.minimum(x0 + 1, img.shape[1] - 1)
-    y1 = np.minimum(y0 + 1, img.shape[0] - 1)
-    fx = (xs - x0).astype(np.float32)[None, :, None]
-    fy = (ys - y0).astype(np.float32)[:, None, None]
-    src = img.astype(np.float32)
-    a = src[:, x0]
-    rows = a + (src[:, x1] - a) * fx
-    top = rows[y0]
-    return top + (rows[y1] - top) * fy
+    fx = (xs - x0).astype(np.float32)
+    fy = (ys - y0).astype(np.float32)[:, None]
+    planes = np.moveaxis(img, 2, 0)
+    src = np.ascontiguousarray(planes[::-1] if swap_rb else planes, dtype=np.float32)
+    rows = src.take(x0, axis=2)
+    step = src.take(x1, axis=2)
+    step -= rows
+    step *= fx
+    rows += step
+    down = np.zeros_like(rows)  # from each row to the next, nothing past the last
+    np.subtract(rows[:, 1:], rows[:, :-1], out=down[:, :-1])
+    if out is None:
+        out = np.empty((len(rows), len(ys), len(xs)), np.float32)
+    for first in range(0, len(ys), ROWS_AT_ONCE):
+        at = slice(first, first + ROWS_AT_ONCE)
+        block = down.take(y0[at], axis=1)
+        block *= fy[at]
+        block += rows.take(y0[at], axis=1)
+        if finish is not None:
+            finish(block)
+        out[:, at] = block
+    return out
 
 
-def _planes(pixels: np.ndarray, swap_rb: bool) -> np.ndarray:
-    """Pixels as one plane per channel, the first and last swapped on request."""
-    planes = np.moveaxis(pixels, 2, 0)
-    return planes[::-1] if swap_rb else planes
+def sample_bilinear(img: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """:func:`resampled` as rows of pixels (HWC)."""
+    return np.moveaxis(resampled(img, xs, ys), 0, 2)
 
 
-def classification_tensor(img: np.ndarray, swap_rb: bool = False) -> np.ndarray:
+def classification_tensor(img: np.ndarray, swap_rb: bool = False, out: np.ndarray | None = None) -> np.ndarray:
     """P16 + P17: the middle 224 x 224 of the image at shorter edge 256 (half-even size), normalised, CHW.
 
     Only the pixels of that window are sampled.
@@ -87,15 +107,30 @@ def classification_tensor(img: np.ndarray, swap_rb: bool = False) -> np.ndarray:
         resized = round(length * grow)
         return source_positions(length, resized, (resized - CLS_CROP) // 2, CLS_CROP)
 
-    planes = _planes(sample_bilinear(img, middle(img.shape[1]), middle(img.shape[0])), swap_rb)
     mean, factor = (np.array(v, np.float32).reshape(-1, 1, 1) for v in (CLS_MEAN, CLS_SCALE))
-    return np.ascontiguousarray((planes - mean) * factor, dtype=np.float32)
 
+    def normalise(block: np.ndarray) -> None:
+        block -= mean
+        block *= factor
 
-def detection_tensor(img: np.ndarray, size: int, swap_rb: bool = False) -> np.ndarray:
+    return resampled(img, middle(img.shape[1]), middle(img.shape[0]), swap_rb, out, normalise)
+
+
+def detection_tensor(img: np.ndarray, size: int, swap_rb: bool = False, out: np.ndarray | None = None) -> np.ndarray:
     """Stretch to ``size x size``, divide by 255, CHW (no channel swap unless asked, P19)."""
-    stretched = sample_bilinear(img, source_positions(img.shape[1], size), source_positions(img.shape[0], size))
-    return np.ascontiguousarray(_planes(stretched / np.float32(255.0), swap_rb), dtype=np.float32)
+
+    def unit(block: np.ndarray) -> None:
+        block /= np.float32(255.0)
+
+    return resampled(img, source_positions(img.shape[1], size), source_positions(img.shape[0], size), swap_rb, out, unit)
+
+
+def tensors_of(imgs: Sequence[np.ndarray], fn, size: int) -> np.ndarray:
+    """``fn(img, out=...)`` of every image, written straight into one ``N x 3 x size x size`` batch."""
+    batch = np.empty((len(imgs), 3, size, size), np.float32)
+    for img, out in zip(imgs, batch, strict=True):
+        fn(img, out=out)
+    return batch
 
 
 def checked_images(images: DataFrame, keys: Sequence[str], height: str = "height", width: str = "width") -> DataFrame:
@@ -134,18 +169,22 @@ def _tensor_job(images: DataFrame, key: str, fn, swap_rb: bool, summarize: bool
     def run(batches):
         import pyarrow as pa
 
+        spare = None
         for b in batches:
             for first in range(0, b.num_rows, TENSORS_AT_ONCE):
                 part = b.slice(first, TENSORS_AT_ONCE)
-                tensors = (fn(img, swap_rb).ravel() for img in pixel_arrays(part))
+                imgs = pixel_arrays(part)
                 if summarize:
-                    found = [(len(x), round(float(x.sum(dtype=np.float64)), 2)) for x in tensors]
+                    found = []
+                    for img in imgs:
+                        spare = fn(img, swap_rb, spare)  # one tensor's memory for all
+                        found.append((spare.size, round(float(spare.ravel().sum(dtype=np.float64)), 2)))
                     yield pa.RecordBatch.from_arrays(
                         [part.column(key), pa.array([n for n, _ in found], pa.int32()), pa.array([s for _, s in found], pa.float64())],
                         names=out.names,
                     )
                     continue
-                flat = list(tensors)
+                flat = [fn(img, swap_rb).ravel() for img in imgs]
                 offsets = np.cumsum([0, *map(len, flat)]).astype(np.int32)
                 tensor = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat), pa.float32()))
                 size = [part.column(c).cast(pa.int32()) for c in ("height", "width")]
@@ -165,7 +204,7 @@ def detection_tensors(
     images: DataFrame, size: int = CELL_INPUT, key: str = "image_id", swap_rb: bool = False, summarize: bool = False
 ) -> DataFrame:
     """P18 over a DataFrame of images: ``(key, height, width, tensor)`` of 3 x size x size."""
-    return _tensor_job(images, key, lambda img, sw: detection_tensor(img, size, sw), swap_rb, summarize)
+    return _tensor_job(images, key, lambda img, sw, out=None: detection_tensor(img, size, sw, out), swap_rb, summarize)
 
 
 WINDOW = ("crop_top", "crop_bottom", "crop_left", "crop_right")
