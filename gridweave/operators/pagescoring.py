@@ -12,6 +12,7 @@ page; one without pixels or with a null edge cannot be scored and gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,12 +62,12 @@ def score_crops(
                 crops = [(crop, img) for crop, img in crops if img.size]
                 for s in range(0, len(crops), batch_size):
                     part = crops[s : s + batch_size]
-                    logits = np.asarray(classify(np.stack([PX.classification_tensor(img) for _, img in part])), np.float32)
+                    logits = np.asarray(classify(PX.tensors_of([img for _, img in part], PX.classification_tensor, PX.CLS_CROP)), np.float32)
                     model_of = logits.argmax(axis=1)  # the first of equal scores
                     out = [{names[1]: crop, "model_idx": int(k), "scores": v.tolist()} for (crop, _), k, v in zip(part, model_of, logits, strict=True)]
                     for k in np.unique(model_of).tolist():
                         mine = [part[j] for j in np.flatnonzero(model_of == k)]
-                        rows, counts = SC._model(detectors[k])(np.stack([PX.detection_tensor(img, size) for _, img in mine]))
+                        rows, counts = SC._model(detectors[k])(PX.tensors_of([img for _, img in mine], partial(PX.detection_tensor, size=size), size))
                         shape = np.array([img.shape[:2] for _, img in mine])
                         owner, *columns = SC.split_packed(rows, counts, shape[:, 0], shape[:, 1], size, threshold)
                         for j, *values in zip(owner, *columns, strict=True):

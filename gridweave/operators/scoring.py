@@ -18,6 +18,7 @@ Wired and wireless detectors (U4) are the same job with different factories.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -69,7 +70,7 @@ def classifier(
         for b in batches:
             for s in range(0, b.num_rows, batch_size):
                 part = b.slice(s, batch_size)
-                x = np.stack([PX.classification_tensor(img, swap_rb) for img in PX.pixel_arrays(part)])
+                x = PX.tensors_of(PX.pixel_arrays(part), partial(PX.classification_tensor, swap_rb=swap_rb), PX.CLS_CROP)
                 logits = np.asarray(model(x), dtype=np.float32)
                 offsets = np.arange(0, logits.size + 1, logits.shape[1], dtype=np.int32)
                 scores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(logits.ravel(), type=pa.float32()))
@@ -133,7 +134,7 @@ def detector(
         for b in batches:
             for s in range(0, b.num_rows, batch_size):
                 part = b.slice(s, batch_size)
-                rows, counts = model(np.stack([PX.detection_tensor(img, size, swap_rb) for img in PX.pixel_arrays(part)]))
+                rows, counts = model(PX.tensors_of(PX.pixel_arrays(part), partial(PX.detection_tensor, size=size, swap_rb=swap_rb), size))
                 heights, widths = (part.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width"))
                 image, *columns = split_packed(rows, counts, heights, widths, size, threshold)
                 owner = pa.array(image)
