@@ -35,26 +35,35 @@ def _image_of(order_key: str) -> F.Column:
     return F.floor(F.col(order_key) / 8).cast("bigint")
 
 
-def _lineitem_images(spark: SparkSession, sf_dir: str, *extra: str, only: DataFrame | None = None) -> DataFrame:
+PARTS_OF_A_SPLIT = 16  # a scan split of 128 MB holds some millions of line items
+
+
+def _lineitem_images(spark: SparkSession, sf_dir: str, *extra: str, only: DataFrame | None = None, most: bool = False) -> DataFrame:
     # image_id is projected before any window on it so that the window and a
     # later group-by on image_id share one hash exchange. ``only`` (a frame of
     # image ids) keeps whole images before the window, which is exact because
-    # the window is partitioned by image.
+    # the window is partitioned by image. Where ``only`` may name most images
+    # (``most``), line items are dealt in parts that follow the scan's splits, whatever the
+    # session's shuffle partitions, and the ids are looked up by hash: one sort of a bounded part.
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", *extra
     )
     li = li.withColumn("image_id", _image_of("l_orderkey"))
     if only is not None:
-        li = li.join(only.select("image_id").distinct(), "image_id", "left_semi")
+        ids = only.select("image_id").distinct()
+        if most:  # an inner join with distinct ids keeps the same rows; a semi join would move below the repartition
+            li = li.repartition(PARTS_OF_A_SPLIT * li.rdd.getNumPartitions(), "image_id").join(ids.hint("shuffle_hash"), "image_id")
+        else:
+            li = li.join(ids, "image_id", "left_semi")
     w = Window.partitionBy("image_id").orderBy(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
     )
     return li.withColumn("det_idx", (F.row_number().over(w) - 1).cast("int"))
 
 
-def detections(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, only: DataFrame | None = None, most: bool = False) -> DataFrame:
     """``(image_id, det_idx, l, t, r, b FLOAT, score DOUBLE)`` cell detections."""
-    li = _lineitem_images(spark, sf_dir, only=only)
+    li = _lineitem_images(spark, sf_dir, only=only, most=most)
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     x0 = F.lit(150) * (sk % 4) + pk % 13
     y0 = F.lit(60) * (ln - 1) + pk % 14
@@ -195,7 +204,7 @@ def cell_detector(spark: SparkSession, sf_dir: str, variant: int = 0, keys=("ima
     def detect(imgs: DataFrame) -> DataFrame:
         s = src if src is not None else F.col(keys[0])
         want = imgs.select(*keys, s.alias("_src"))
-        dets = detections(spark, sf_dir, only=_src_ids(want)).withColumnRenamed("image_id", "_src")
+        dets = detections(spark, sf_dir, only=_src_ids(want), most=src is None).withColumnRenamed("image_id", "_src")
         if variant == 1:
             dets = dets.withColumn("score", F.lit(1.0) - F.col("score"))
         return want.join(dets, "_src").drop("_src")
