@@ -20,6 +20,7 @@ from gridweave.plans import tables as R
 from gridweave.operators import filters as P
 from gridweave.operators import structure as S
 from gridweave.plans import oracle as O
+from gridweave.session import materialize
 from gridweave.sources import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,7 +332,7 @@ ROUTED_SQL = [
 def q_route_detectors(spark, sf_dir):
     cl, dets = _scorers(spark, sf_dir)
     imgs = D.images(spark, sf_dir)
-    classes = R.classify_images(imgs, cl)
+    classes = materialize(R.classify_images(imgs, cl))  # read by every detector's branch
     routed = P.confidence_filter(R.route(imgs, classes, dets))
     return routed.select("image_id", "det_idx", F.col("model_idx").cast("int").alias("model_idx"), F.col("score").cast("double"))
 
@@ -347,7 +348,7 @@ def q_recombine(spark, sf_dir):
     """J2 at threshold 0.9: images whose detector kept nothing still appear, with 0."""
     cl, dets = _scorers(spark, sf_dir)
     imgs = D.images(spark, sf_dir)
-    classes = R.classify_images(imgs, cl)
+    classes = materialize(R.classify_images(imgs, cl))  # read by every detector's branch and the result
     kept = P.confidence_filter(R.route(imgs, classes, dets), 0.9)
     return R.recombine(imgs, classes, kept).select("image_id", F.col("model_idx").cast("int"), "n_cells")
 
