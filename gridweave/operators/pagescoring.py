@@ -54,6 +54,7 @@ def score_crops(
         import pyarrow as pa
 
         classify = SC._model(classifier)
+        small, large = PX.batch_memory(batch_size, PX.CLS_CROP), PX.batch_memory(batch_size, size)
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
@@ -62,12 +63,12 @@ def score_crops(
                 crops = [(crop, img) for crop, img in crops if img.size]
                 for s in range(0, len(crops), batch_size):
                     part = crops[s : s + batch_size]
-                    logits = np.asarray(classify(PX.tensors_of([img for _, img in part], PX.classification_tensor, PX.CLS_CROP)), np.float32)
+                    logits = np.asarray(classify(PX.tensors_of([img for _, img in part], PX.classification_tensor, PX.CLS_CROP, small)), np.float32)
                     model_of = logits.argmax(axis=1)  # the first of equal scores
                     out = [{names[1]: crop, "model_idx": int(k), "scores": v.tolist()} for (crop, _), k, v in zip(part, model_of, logits, strict=True)]
                     for k in np.unique(model_of).tolist():
                         mine = [part[j] for j in np.flatnonzero(model_of == k)]
-                        rows, counts = SC._model(detectors[k])(PX.tensors_of([img for _, img in mine], partial(PX.detection_tensor, size=size), size))
+                        rows, counts = SC._model(detectors[k])(PX.tensors_of([img for _, img in mine], partial(PX.detection_tensor, size=size), size, large))
                         shape = np.array([img.shape[:2] for _, img in mine])
                         owner, *columns = SC.split_packed(rows, counts, shape[:, 0], shape[:, 1], size, threshold)
                         for j, *values in zip(owner, *columns, strict=True):

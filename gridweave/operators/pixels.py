@@ -61,8 +61,8 @@ ROWS_AT_ONCE = 32  # of a resampled image: a block of 3 planes stays in the proc
 def resampled(img: np.ndarray, xs: np.ndarray, ys: np.ndarray, swap_rb: bool = False, out: np.ndarray | None = None, finish=None) -> np.ndarray:
     """Bilinear samples at every (y, x) of two axes of source positions, float32 planes (CHW; separable: x, then y).
 
-    The first and last channel are swapped on request (P19). ``finish`` works on each block
-    of rows in place before it is left; ``out`` takes the planes where given.
+    The first and last channel are swapped on request (P19). ``finish(block, out)`` leaves its form of each
+    block of rows in ``out`` and may work on the block in place; ``out`` takes the planes where given.
     """
     x0 = np.floor(xs).astype(np.int64)
     y0 = np.floor(ys).astype(np.int64)
@@ -71,8 +71,8 @@ def resampled(img: np.ndarray, xs: np.ndarray, ys: np.ndarray, swap_rb: bool = F
     fy = (ys - y0).astype(np.float32)[:, None]
     planes = np.moveaxis(img, 2, 0)
     src = np.ascontiguousarray(planes[::-1] if swap_rb else planes, dtype=np.float32)
-    rows = src.take(x0, axis=2)
-    step = src.take(x1, axis=2)
+    rows = src.take(x0, axis=2, mode="clip")
+    step = src.take(x1, axis=2, mode="clip")
     step -= rows
     step *= fx
     rows += step
@@ -80,14 +80,18 @@ def resampled(img: np.ndarray, xs: np.ndarray, ys: np.ndarray, swap_rb: bool = F
     np.subtract(rows[:, 1:], rows[:, :-1], out=down[:, :-1])
     if out is None:
         out = np.empty((len(rows), len(ys), len(xs)), np.float32)
+    held = np.empty((2, len(rows), min(ROWS_AT_ONCE, len(ys)), len(xs)), np.float32)  # one memory for all blocks
     for first in range(0, len(ys), ROWS_AT_ONCE):
         at = slice(first, first + ROWS_AT_ONCE)
-        block = down.take(y0[at], axis=1)
+        block, above = held[:, :, : len(y0[at])]
+        down.take(y0[at], axis=1, out=block, mode="clip")  # no position lies outside; other modes work on a copy
         block *= fy[at]
-        block += rows.take(y0[at], axis=1)
-        if finish is not None:
-            finish(block)
-        out[:, at] = block
+        rows.take(y0[at], axis=1, out=above, mode="clip")
+        block += above
+        if finish is None:
+            out[:, at] = block
+        else:
+            finish(block, out[:, at])
     return out
 
 
@@ -109,9 +113,9 @@ def classification_tensor(img: np.ndarray, swap_rb: bool = False, out: np.ndarra
 
     mean, factor = (np.array(v, np.float32).reshape(-1, 1, 1) for v in (CLS_MEAN, CLS_SCALE))
 
-    def normalise(block: np.ndarray) -> None:
+    def normalise(block: np.ndarray, out: np.ndarray) -> None:
         block -= mean
-        block *= factor
+        np.multiply(block, factor, out=out)
 
     return resampled(img, middle(img.shape[1]), middle(img.shape[0]), swap_rb, out, normalise)
 
@@ -119,15 +123,20 @@ def classification_tensor(img: np.ndarray, swap_rb: bool = False, out: np.ndarra
 def detection_tensor(img: np.ndarray, size: int, swap_rb: bool = False, out: np.ndarray | None = None) -> np.ndarray:
     """Stretch to ``size x size``, divide by 255, CHW (no channel swap unless asked, P19)."""
 
-    def unit(block: np.ndarray) -> None:
-        block /= np.float32(255.0)
+    def unit(block: np.ndarray, out: np.ndarray) -> None:
+        np.divide(block, np.float32(255.0), out=out)
 
     return resampled(img, source_positions(img.shape[1], size), source_positions(img.shape[0], size), swap_rb, out, unit)
 
 
-def tensors_of(imgs: Sequence[np.ndarray], fn, size: int) -> np.ndarray:
-    """``fn(img, out=...)`` of every image, written straight into one ``N x 3 x size x size`` batch."""
-    batch = np.empty((len(imgs), 3, size, size), np.float32)
+def batch_memory(images: int, size: int) -> np.ndarray:
+    """Room for a batch of tensors. Fresh memory costs a page fault for every 4 kB, so a task writes its batches over one."""
+    return np.empty((images, 3, size, size), np.float32)
+
+
+def tensors_of(imgs: Sequence[np.ndarray], fn, size: int, memory: np.ndarray | None = None) -> np.ndarray:
+    """``fn(img, out=...)`` of every image, written straight into one ``N x 3 x size x size`` batch (in ``memory`` where given)."""
+    batch = (batch_memory(len(imgs), size) if memory is None else memory)[: len(imgs)]
     for img, out in zip(imgs, batch, strict=True):
         fn(img, out=out)
     return batch

@@ -1,7 +1,8 @@
 """Pluggable batch scorers.
 
 A *model factory* is a zero-argument callable returning the model; it runs
-once per Python worker (cached), never on the driver. Two shapes:
+once per Python worker (cached), never on the driver. A batch is valid during
+the call only: the next one is written over it. Two shapes:
 
 * classification model: ``f(batch[N, 3, 224, 224]) -> logits[N, C]``; run in
   Arrow batches of ``batch_size`` images, fused with the pixel preparation.
@@ -66,12 +67,12 @@ def classifier(
     def run(batches):
         import pyarrow as pa
 
-        model = _model(factory)
+        model, memory = _model(factory), PX.batch_memory(batch_size, PX.CLS_CROP)
         for b in batches:
             for s in range(0, b.num_rows, batch_size):
                 part = b.slice(s, batch_size)
-                x = PX.tensors_of(PX.pixel_arrays(part), partial(PX.classification_tensor, swap_rb=swap_rb), PX.CLS_CROP)
-                logits = np.asarray(model(x), dtype=np.float32)
+                x = PX.tensors_of(PX.pixel_arrays(part), partial(PX.classification_tensor, swap_rb=swap_rb), PX.CLS_CROP, memory)
+                logits = np.array(model(x), dtype=np.float32)
                 offsets = np.arange(0, logits.size + 1, logits.shape[1], dtype=np.int32)
                 scores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(logits.ravel(), type=pa.float32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], scores], names=[*keys, "scores"])
@@ -130,11 +131,11 @@ def detector(
     def run(batches):
         import pyarrow as pa
 
-        model = _model(factory)
+        model, memory = _model(factory), PX.batch_memory(batch_size, size)
         for b in batches:
             for s in range(0, b.num_rows, batch_size):
                 part = b.slice(s, batch_size)
-                rows, counts = model(PX.tensors_of(PX.pixel_arrays(part), partial(PX.detection_tensor, size=size, swap_rb=swap_rb), size))
+                rows, counts = model(PX.tensors_of(PX.pixel_arrays(part), partial(PX.detection_tensor, size=size, swap_rb=swap_rb), size, memory))
                 heights, widths = (part.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width"))
                 image, *columns = split_packed(rows, counts, heights, widths, size, threshold)
                 owner = pa.array(image)
