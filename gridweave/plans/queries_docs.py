@@ -419,7 +419,7 @@ def _image_cells(spark, sf_dir):
 
 @register("text_match", O.with_(O.LI_IMAGES, O.DET, O.kept(), O.TEXT, IMG_CELLS, IMG_MATCH) + "SELECT * FROM imt")
 def q_text_match(spark, sf_dir):
-    m = T.match_texts(kept_detections(spark, sf_dir), D.text_cells(spark, sf_dir))
+    m = T.match_texts(kept_detections(spark, sf_dir).drop("score"), D.text_cells(spark, sf_dir))
     return m.select("image_id", "det_idx", "text")
 
 
@@ -447,7 +447,7 @@ FROM imt m LEFT JOIN (
 ) fb USING (image_id, det_idx)""",
 )
 def q_text_fallback(spark, sf_dir):
-    cells = kept_detections(spark, sf_dir)
+    cells = kept_detections(spark, sf_dir).drop("score")
     m = T.match_texts(cells, D.text_cells(spark, sf_dir))
     fb = T.with_fallback_text(m, D.page_words(spark, sf_dir))
     return fb.select("image_id", "det_idx", "text")
