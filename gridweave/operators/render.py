@@ -7,10 +7,11 @@ pipe table: row 0 is the header, every column is padded to its widest value
 the header, cells are padded by one space, and there is no trailing newline.
 Text is treated as text (no numeric re-formatting); ``|`` is escaped.
 
-Work is split so nothing is gathered per cell: slots are joined on
+Work is split so nothing is gathered per cell: slots are grouped by
 ``(key, row, col)``, widths are a window over ``(key, col)``, lines a
 group-by on ``(key, row)`` over at most ``num_cols`` pieces, and only the
-finished lines are joined per table.
+finished lines are joined per table. As a table ends as one string, its cells are dealt by
+table once, before they are expanded; the steps after that need no other exchange.
 """
 
 from __future__ import annotations
@@ -56,6 +57,32 @@ def full_grid(shapes: DataFrame, slots: DataFrame, key: str | Sequence[str] = "i
     )
 
 
+def table_grid(cells: DataFrame, shapes: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
+    """:func:`full_grid` of :func:`grid_slots` in one group-by, dealt by table.
+
+    A shape is a cell over the whole table that loses every slot to a real one. Cells
+    outside their shape, or without a key, show nowhere; a shape that stands twice lists its slots twice.
+    """
+    keys = _keys(key)
+    one, none = F.lit(1), F.lit(None)
+    own = cells.dropna(subset=keys).select(
+        *keys, F.lit(0).alias("_shape"), F.struct("det_idx", F.coalesce("text", F.lit("")).alias("text")).alias("_cell"),
+        "row", "row_span", "col", "col_span",
+    )
+    kind = own.schema["_cell"].dataType
+    whole = shapes.select(
+        *keys, one.alias("_shape"), none.cast(kind).alias("_cell"),
+        F.lit(0).alias("row"), F.col("num_rows").alias("row_span"), F.lit(0).alias("col"), F.col("num_cols").alias("col_span"),
+    )
+    rows = own.unionByName(whole).repartition(*keys)
+    slots = rows.select(
+        *keys, "_shape", "_cell", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1)).alias("grid_row"), "col", "col_span"
+    ).select(*keys, "_shape", "_cell", "grid_row", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)).alias("grid_col"))
+    g = slots.groupBy(*keys, "grid_row", "grid_col").agg(F.sum("_shape").alias("_n"), F.min("_cell").alias("_cell")).filter("_n > 0")
+    text = F.coalesce("_cell.text", F.lit("")).alias("text")
+    return g.select(*keys, "grid_row", "grid_col", text, F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_n")).drop("_n")
+
+
 def markdown_lines(grid: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
     """``(key, line_no, line)``: header, dash line, body rows of each table.
 
@@ -92,5 +119,4 @@ def markdown(lines: DataFrame, key: str | Sequence[str] = "image_id") -> DataFra
 
 def table_markdown(cells: DataFrame, shapes: DataFrame, key: str | Sequence[str] = "image_id") -> DataFrame:
     """X1 + X2 from matched cells (``text`` column) and shapes."""
-    slots = grid_slots(cells, key)
-    return markdown(markdown_lines(full_grid(shapes, slots, key), key), key)
+    return markdown(markdown_lines(table_grid(cells, shapes, key), key), key)

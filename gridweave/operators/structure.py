@@ -44,6 +44,7 @@ from pyspark.sql.types import ArrayType, DataType, FloatType
 
 
 from gridweave.constants import GROUPING_TOLERANCE as DEFAULT_TOLERANCE  # noqa: E402
+from gridweave.session import materialize
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -263,10 +264,17 @@ def build_tables(
     key: str | Sequence[str] = "image_id",
     tolerance: float = DEFAULT_TOLERANCE,
     images: DataFrame | None = None,
+    stage_outputs: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """A6 ``Table.from_detections``: ``(cells, shapes)`` frames sharing one anchor aggregate."""
+    """A6 ``Table.from_detections``: ``(cells, shapes)`` frames sharing one anchor aggregate.
+
+    With ``stage_outputs`` the anchors, which both frames read, are materialized once
+    (a join drops null keys before it, so Spark would plan their aggregate twice).
+    """
     keys = _keys(key)
     anchors = grid_anchors(dets, keys, tolerance)
+    if stage_outputs:
+        anchors = materialize(anchors)
     base = keys + ["det_idx", "l", "t", "r", "b"]
     joined = dets.select(*base).join(anchors, keys)
     cells = joined.select(*base, *axes_of(joined, tolerance, True, True))

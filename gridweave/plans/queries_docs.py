@@ -506,7 +506,7 @@ def q_grid_slots(spark, sf_dir):
 )
 def q_table_markdown(spark, sf_dir):
     dets = kept_detections(spark, sf_dir)
-    cells, shapes = S.build_tables(dets)
+    cells, shapes = S.build_tables(dets, stage_outputs=True)
     matched = T.match_texts(cells, D.text_cells(spark, sf_dir))
     return X.table_markdown(matched, shapes)
 

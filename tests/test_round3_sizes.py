@@ -83,3 +83,27 @@ def test_a_cell_with_null_text_keeps_its_other_columns(spark):
     words = spark.createDataFrame([(0, 1, "page", 5.0, 6.0, 7.0, 8.0)], TEXT.replace("text_idx", "word_idx"))
     got = sorted(map(tuple, T.with_fallback_text(cells, words).select("det_idx", "l", "b", "text").collect()))
     assert got == [(0, 1.0, 4.0, None), (1, 5.0, 8.0, "page")]
+
+
+def test_a_table_is_rendered_by_one_exchange_of_its_cells(spark, capsys):
+    kind = "image_id bigint, det_idx int, row int, col int, row_span int, col_span int, text string"
+    rows = [(0, 0, 0, 0, 1, 2, "a|b"), (0, 1, 0, 1, 1, 1, "lost"), (0, 2, 1, 1, 3, 1, "down"), (2, 0, 0, 0, 1, 1, None), (None, 0, 0, 0, 1, 1, "no key")]
+    cells = spark.createDataFrame(rows, kind)
+    shapes = spark.createDataFrame([(0, 3, 3), (1, 1, 1), (2, 1, 2), (None, 1, 1), (3, 2, 1), (3, 2, 1)], "image_id bigint, num_rows int, num_cols int")
+    old = X.full_grid(shapes, X.grid_slots(cells))
+    got = X.table_grid(cells, shapes)
+    assert sorted(map(str, got.collect())) == sorted(map(str, old.select(*got.columns).collect())) and got.count() == 17
+    md = X.table_markdown(cells, shapes)
+    assert plan(md, capsys).count("Exchange") == 1
+    assert {r.image_id: r.markdown for r in md.collect() if r.image_id == 0} == {
+        0: "| a\\|b   | a\\|b   |    |\n|--------|--------|----|\n|        | down   |    |\n|        | down   |    |"
+    }
+
+
+def test_anchors_are_computed_once_for_cells_and_shapes(spark, capsys):
+    dets = spark.createDataFrame([(k, i, 50.0 * i, 9.0 * i, 50.0 * i + 40, 9.0 * i + 8) for k in range(3) for i in range(5)], CELL)
+    cells, shapes = S.build_tables(dets)
+    staged = S.build_tables(dets, stage_outputs=True)
+    for a, b in zip((cells, shapes), staged, strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        assert "Window" in plan(a, capsys) and "Window" not in plan(b, capsys)
