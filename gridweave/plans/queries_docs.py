@@ -550,10 +550,11 @@ def q_verify_text(spark, sf_dir):
     """V1: is a cell's matched text exactly the text written for it (same source row)?"""
     from gridweave.functions.text import py_strip
 
-    m = T.match_texts(kept_detections(spark, sf_dir), D.text_cells(spark, sf_dir))
-    exp = D.text_cells(spark, sf_dir).select("image_id", F.col("text_idx").alias("det_idx"), py_strip("text").alias("text"))
     keys = ["image_id", "det_idx"]
-    v = V.verify_text(m.select(*keys, "text"), exp.join(m.select(*keys), keys, "left_semi"), keys)
+    m = T.match_texts(kept_detections(spark, sf_dir).drop("score"), D.text_cells(spark, sf_dir))
+    m = materialize(m.select(*keys, "text"))  # read by both sides of the check
+    exp = D.text_cells(spark, sf_dir).select("image_id", F.col("text_idx").alias("det_idx"), py_strip("text").alias("text"))
+    v = V.verify_text(m, exp.join(m.select(*keys), keys, "left_semi"), keys)
     return v.select(*keys, "ok")
 
 

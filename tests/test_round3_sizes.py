@@ -107,3 +107,7 @@ def test_anchors_are_computed_once_for_cells_and_shapes(spark, capsys):
     for a, b in zip((cells, shapes), staged, strict=True):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
         assert "Window" in plan(a, capsys) and "Window" not in plan(b, capsys)
+
+
+def test_verify_text_matches_once(spark, capsys):
+    assert "Generate" not in plan(QUERIES["verify_text"](spark, "/root/testdata/sf0.001"), capsys)
