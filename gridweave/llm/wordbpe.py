@@ -58,6 +58,7 @@ class WordBpe:
         self.tok = Tokenizer.from_str(content)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.tokenize = self.tok.model.tokenize  # the model is wrapped anew at each access
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u4")
         self.strings = [(self.tok.id_to_token(i) or "").encode() for i in range(size)]
@@ -92,7 +93,7 @@ class WordBpe:
         """Ids of a lower-case word as bytes."""
         if (known := self.words.get(w)) is None:
             if (known := self.before.get(w)) is None:
-                tokenize = self.tok.model.tokenize
+                tokenize = self.tokenize
                 if w.isascii() and w.isalpha():
                     ids = [t.id for t in tokenize(w)]
                 else:
@@ -141,8 +142,10 @@ class WordBpe:
         if len(rows):
             vocab, index, offs = self.split(col if len(rows) == len(col) else col.filter(pa.array(plain)))
             ids = [self.word(w) for w in vocab]
-            for r, a, z in zip(rows.tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                out[r] = b"".join([ids[i] for i in index[a:z].tolist()])
+            whole, at = buffers(pa.array(ids, pa.large_binary()).take(pa.array(index)))  # of all texts, one behind the other
+            whole, at = memoryview(whole.tobytes()), at[offs].tolist()
+            for r, a, z in zip(rows.tolist(), at[:-1], at[1:], strict=True):
+                out[r] = bytes(whole[a:z])
             texts = self.spell(ids, index, offs) if spell else [b""] * len(rows)
             for r, text in zip(rows.tolist(), texts, strict=True):
                 out[r] = (out[r], text)

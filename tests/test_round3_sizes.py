@@ -111,3 +111,18 @@ def test_anchors_are_computed_once_for_cells_and_shapes(spark, capsys):
 
 def test_verify_text_matches_once(spark, capsys):
     assert "Generate" not in plan(QUERIES["verify_text"](spark, "/root/testdata/sf0.001"), capsys)
+
+
+def test_texts_are_put_together_from_words_as_the_library_encodes_them():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from gridweave.llm.wordbpe import WordBpe, read_tokenizer
+
+    bpe = WordBpe(read_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["The cat's 12 hats", "", None, " \t ", "cat THE the", "Straße naïve", "日本 text", "it's <|endoftext|> over", "the cat"]
+    for part in (texts, [" ", ""], ["one"]):
+        got = bpe.encode(pa.array(part, pa.string()))
+        want = [bpe.tok.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == want and all(type(ids) is bytes for ids, _ in got)
+    assert [t.id for t in bpe.tokenize("cat")] == bpe.ids("cat")  # the model is held, not wrapped again for each word
