@@ -284,11 +284,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             whole = pa.RecordBatch.from_struct_array(batch.column(0))
             at = whole.schema.get_field_index(text_col)
-            new = [
-                mask(t or "", [(x["start"], x["end"], x["gone"]) for x in k or []])
-                for t, k in zip(whole.column(at).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            ]
-            cols = [pa.array(new, pa.string()) if i == at else whole.column(i) for i in range(whole.num_columns)]
-            yield pa.RecordBatch.from_arrays(cols, names=whole.schema.names)
+            names = [f"c{i}" for i in range(whole.num_columns)] + ["terms"]
+            for part in slices(pa.RecordBatch.from_arrays([*whole.columns, batch.column(1)], names=names), f"c{at}"):
+                marks = part.column(part.num_columns - 1).to_pylist()
+                new = [
+                    mask(t or "", [(x["start"], x["end"], x["gone"]) for x in k or []])
+                    for t, k in zip(part.column(at).to_pylist(), marks, strict=True)
+                ]
+                cols = [pa.array(new, pa.string()) if i == at else part.column(i) for i in range(whole.num_columns)]
+                yield pa.RecordBatch.from_arrays(cols, names=whole.schema.names)
 
     return joined.mapInArrow(run, docs.schema)
