@@ -55,14 +55,14 @@ def source_positions(length: int, resized: int, first: int = 0, count: int | Non
     return np.clip((at + 0.5) * (length / resized) - 0.5, 0, length - 1)
 
 
-ROWS_AT_ONCE = 32  # of a resampled image: a block of 3 planes stays in the processor's cache
+ROWS_AT_ONCE = 128  # of one plane of a resampled image: a block stays in the processor's cache
 
 
 def resampled(img: np.ndarray, xs: np.ndarray, ys: np.ndarray, swap_rb: bool = False, out: np.ndarray | None = None, finish=None) -> np.ndarray:
     """Bilinear samples at every (y, x) of two axes of source positions, float32 planes (CHW; separable: x, then y).
 
-    The first and last channel are swapped on request (P19). ``finish(block, out)`` leaves its form of each
-    block of rows in ``out`` and may work on the block in place; ``out`` takes the planes where given.
+    The first and last channel are swapped on request (P19). ``finish(plane, block, out)`` leaves its form of each
+    block of a plane's rows in ``out`` and may work on the block in place; ``out`` takes the planes where given.
     """
     x0 = np.floor(xs).astype(np.int64)
     y0 = np.floor(ys).astype(np.int64)
@@ -80,18 +80,20 @@ def resampled(img: np.ndarray, xs: np.ndarray, ys: np.ndarray, swap_rb: bool = F
     np.subtract(rows[:, 1:], rows[:, :-1], out=down[:, :-1])
     if out is None:
         out = np.empty((len(rows), len(ys), len(xs)), np.float32)
-    held = np.empty((2, len(rows), min(ROWS_AT_ONCE, len(ys)), len(xs)), np.float32)  # one memory for all blocks
+    held = np.empty((3, min(ROWS_AT_ONCE, len(ys)), len(xs)), np.float32)  # one memory for all blocks
     for first in range(0, len(ys), ROWS_AT_ONCE):
         at = slice(first, first + ROWS_AT_ONCE)
-        block, above = held[:, :, : len(y0[at])]
-        down.take(y0[at], axis=1, out=block, mode="clip")  # no position lies outside; other modes work on a copy
-        block *= fy[at]
-        rows.take(y0[at], axis=1, out=above, mode="clip")
-        block += above
-        if finish is None:
-            out[:, at] = block
-        else:
-            finish(block, out[:, at])
+        block, above, share = held[:, : len(y0[at])]
+        share[:] = fy[at]  # spread over the rows once for all planes: a product by a column takes each row by itself
+        for plane in range(len(rows)):
+            down[plane].take(y0[at], axis=0, out=block, mode="clip")  # no position lies outside; other modes work on a copy
+            block *= share
+            rows[plane].take(y0[at], axis=0, out=above, mode="clip")
+            block += above
+            if finish is None:
+                out[plane, at] = block
+            else:
+                finish(plane, block, out[plane, at])
     return out
 
 
@@ -111,11 +113,11 @@ def classification_tensor(img: np.ndarray, swap_rb: bool = False, out: np.ndarra
         resized = round(length * grow)
         return source_positions(length, resized, (resized - CLS_CROP) // 2, CLS_CROP)
 
-    mean, factor = (np.array(v, np.float32).reshape(-1, 1, 1) for v in (CLS_MEAN, CLS_SCALE))
+    mean, factor = (np.array(v, np.float32) for v in (CLS_MEAN, CLS_SCALE))
 
-    def normalise(block: np.ndarray, out: np.ndarray) -> None:
-        block -= mean
-        np.multiply(block, factor, out=out)
+    def normalise(plane: int, block: np.ndarray, out: np.ndarray) -> None:
+        block -= mean[plane]
+        np.multiply(block, factor[plane], out=out)
 
     return resampled(img, middle(img.shape[1]), middle(img.shape[0]), swap_rb, out, normalise)
 
@@ -123,7 +125,7 @@ def classification_tensor(img: np.ndarray, swap_rb: bool = False, out: np.ndarra
 def detection_tensor(img: np.ndarray, size: int, swap_rb: bool = False, out: np.ndarray | None = None) -> np.ndarray:
     """Stretch to ``size x size``, divide by 255, CHW (no channel swap unless asked, P19)."""
 
-    def unit(block: np.ndarray, out: np.ndarray) -> None:
+    def unit(plane: int, block: np.ndarray, out: np.ndarray) -> None:
         np.divide(block, np.float32(255.0), out=out)
 
     return resampled(img, source_positions(img.shape[1], size), source_positions(img.shape[0], size), swap_rb, out, unit)
@@ -301,12 +303,12 @@ def derived_images(source: DataFrame, key: str = "image_id") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        steps = (np.arange(55 * 39 * 3) * 7 % 256).astype(np.uint8)  # of the largest image; sums of bytes are taken mod 256
         for b in batches:
             ks = b.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
             ws = (32 + ks % 24).astype(np.int32)
             hs = (24 + ks % 16).astype(np.int32)
-            data = [((np.arange(h * w * 3, dtype=np.int64) * 7 + k * 13) % 256).astype(np.uint8).tobytes()
-                    for k, h, w in zip(ks, hs, ws)]
+            data = [(steps[: h * w * 3] + first).tobytes() for first, h, w in zip((ks * 13 % 256).astype(np.uint8), hs, ws)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ks), pa.array([f"derived:{k}" for k in ks]), pa.array(hs), pa.array(ws),
                  pa.array(np.full(len(ks), 3, np.int32)), pa.array(np.full(len(ks), 16, np.int32)),
